@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from . import decontamination, mixing, near_dedup, quality_rules, sharding
+from . import decontamination, language_model, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, sharding, token_output, toxicity
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_sharding": sharding.op2_sharding,
+    "op3_lm_scoring": language_model.op3_lm_scoring,
     "op4_decontamination": decontamination.op4_decontamination,
+    "op5_token_output": token_output.op5_token_output,
     "op6_quality_rules": quality_rules.op6_quality_rules,
+    "op7_toxicity": toxicity.op7_toxicity,
+    "op8_quality_classifier": quality_classifier.op8_quality_classifier,
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_mixing": mixing.op10_mixing,
 }
 
-ORACLE_SQL = {"op4_decontamination": decontamination.ORACLE_SQL}
+ORACLE_SQL = {"op1_line_dedup": line_dedup.ORACLE_SQL, "op4_decontamination": decontamination.ORACLE_SQL}
