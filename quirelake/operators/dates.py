@@ -9,6 +9,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.text import normalize_text
 
@@ -192,7 +193,7 @@ def context(maximum: int = CONTEXT) -> Column:
     return F.when(F.length(line) <= maximum, line).otherwise(F.substring(line, F.greatest(F.lit(0), right - maximum) + 1, F.lit(maximum)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def raw_slice(raw: pd.Series, start: pd.Series, end: pd.Series) -> pd.Series:
     """The part of the raw text that a span of its normalised form comes from."""
     import unicodedata

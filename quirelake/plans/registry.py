@@ -288,13 +288,10 @@ def date_scorecard_by(spark: SparkSession, sf_dir: str) -> DataFrame:
 # labs: lineitem rows laid out as a grid, read back
 
 
-_grid = Window.partitionBy("document_uuid").orderBy("l_linenumber", "p", "q")
-
-
 def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each order's lines as a table: a header row, then a row a line with name, result, unit and range."""
     lines = D.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("document_uuid"), F.col("l_quantity").cast("int").alias("q"), F.col("l_partkey").alias("p"), "l_linenumber")
-    lines = lines.withColumn("r", F.row_number().over(_grid))
+    lines = lines.withColumn("r", F.row_number().over(Window.partitionBy("document_uuid").orderBy("l_linenumber", "p", "q")))
     cells = lambda *texts: F.array(*[F.struct(F.lit(x).alias("x"), t.alias("text")) for x, t in zip((0.05, 0.35, 0.55, 0.75), texts)])
     body = lines.select("document_uuid", "r", F.explode(cells(F.concat(F.lit("Part"), F.translate(F.col("p").cast("string"), "0123456789", "abcdefghij")), F.col("q").cast("string"), F.lit("mg/dL"), F.concat(F.col("q").cast("string"), F.lit("-"), (F.col("q") + 9).cast("string")))).alias("c"))
     head = lines.select("document_uuid").distinct().select("document_uuid", F.lit(0).alias("r"), F.explode(cells(*map(F.lit, ("Test", "Result", "Unit", "Reference Range")))).alias("c"))
