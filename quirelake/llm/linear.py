@@ -46,8 +46,8 @@ def hash_of(text: bytes) -> int:
     return xxhash.xxh3_64_intdigest(text)
 
 
-def vectors(sample: DataFrame, of: Callable[[Iterator], list[np.ndarray]]) -> list[np.ndarray]:
-    """of(rows of a shard) for each shard, added up element by element; a few vectors of fixed length."""
+def vectors(sample: DataFrame, of: Callable[[Iterator], list[np.ndarray]], sizes: tuple[int, ...]) -> list[np.ndarray]:
+    """of(rows of a shard) for each shard, added up element by element; vectors of these sizes, zeros for an empty sample."""
 
     def run(batches):
         out = of(batches)
@@ -55,11 +55,10 @@ def vectors(sample: DataFrame, of: Callable[[Iterator], list[np.ndarray]]) -> li
 
     shards = SHARDS
     dealt = sample.repartition(shards, "shard").select("label", "text")
-    sums: dict[int, np.ndarray] = {}
+    sums = [np.zeros(n) for n in sizes]
     for row in dealt.mapInArrow(run, "v binary, i int").toLocalIterator():  # shards x vectors rows of fixed length
-        v = np.frombuffer(row["v"], np.float64)
-        sums[row["i"]] = sums[row["i"]] + v if row["i"] in sums else v
-    return [sums[i] for i in sorted(sums)]
+        sums[row["i"]] += np.frombuffer(row["v"], np.float64)
+    return sums
 
 
 def score(docs: DataFrame, features: Features, weights: np.ndarray, bias: float) -> DataFrame:

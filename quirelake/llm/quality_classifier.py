@@ -72,7 +72,7 @@ def _train(batches):
 
 def classify(docs: DataFrame, labels: DataFrame, learn, max_rows: int = MAX_ROWS) -> DataFrame:
     """doc_id and score (0 to 1, higher: likelier good) of every row of docs; learn: which rows of labels may be learnt from."""
-    weights, (shards,) = vectors(labelled_sample(docs, labels, "quality", learn, max_rows), _train)
+    weights, (shards,) = vectors(labelled_sample(docs, labels, "quality", learn, max_rows), _train, ((1 << BITS) + 1, 1))
     weights = weights / max(shards, 1.0)
     return score(docs, features, weights[:-1], float(weights[-1]))
 

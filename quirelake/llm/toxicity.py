@@ -90,8 +90,8 @@ def _train(ratios: np.ndarray):
 def classify(docs: DataFrame, labels: DataFrame, learn, max_rows: int = MAX_ROWS) -> DataFrame:
     """doc_id and score (0 to 1, higher: likelier toxic) of every row of docs; learn: which rows of labels may be learnt from."""
     sample = labelled_sample(docs, labels, "toxic", learn, max_rows)
-    ratios = log_count_ratios(*vectors(sample, _count))
-    weights, (bias, shards) = vectors(sample, _train(ratios))
+    ratios = log_count_ratios(*vectors(sample, _count, (1 << BITS, 1 << BITS)))
+    weights, (bias, shards) = vectors(sample, _train(ratios), (1 << BITS, 2))
     shards = max(shards, 1.0)
     return score(docs, features, weights / shards * ratios, bias / shards)
 
