@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_text, materialize, read_table, text_of, words_of
+from .common import SPACES, id_text, materialize, read_table, text_of
 
 DEPTH, MIN_TOKENS, MIN_DOCS, MIN_CONSTANT = 4, 3, 3, 0.5
 MAX_BROADCAST = 1_000_000
@@ -31,8 +31,9 @@ def document_key(text: str = "text") -> Column:
 
 
 def tokens_of(line: Column) -> Column:
-    """The line's tokens, those with a digit as variable fields."""
-    return words_of(F.regexp_replace(line, r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", FIELD))
+    """The line's tokens, those with a digit as variable fields; a blank line has one empty token."""
+    fields = F.regexp_replace(line, r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", FIELD)
+    return F.split(F.btrim(F.when(line.rlike("[0-9]"), fields).otherwise(line), F.lit(" \t\n\x0b\x0c\r")), SPACES, -1)
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -46,22 +47,24 @@ def lines_of(docs: DataFrame) -> DataFrame:
 def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """doc, n of each line whose template recurs."""
     slim = materialize(lines_of(docs).select("doc", "n", "leaf", "same"), "ld-lines")
-    equal = slim.groupBy("leaf", "same").agg(F.count_distinct("doc").alias("docs")).where(F.col("docs") >= min_docs).select("leaf", "same")
-    equal = materialize(equal, "ld-equal")
+    often = lambda df, *keys: df.groupBy(*keys).agg(F.count_distinct("doc").alias("docs")).where(F.col("docs") >= min_docs).select(*keys)
+    equal = materialize(often(slim, "leaf", "same"), "ld-equal")
     found = slim.join(equal.hint("merge"), ["leaf", "same"]).select("doc", "n")
-    rest = slim.join(equal.hint("merge"), ["leaf", "same"], "left_anti")
-    leaves = materialize(rest.groupBy("leaf").agg(F.count_distinct("doc").alias("docs")).where(F.col("docs") >= min_docs).select("leaf"), "ld-leaves")
-    mark = F.broadcast if leaves.count() <= max_broadcast else (lambda df: df.hint("shuffle_hash"))
-    open_lines = lines_of(docs).join(mark(leaves), "leaf").join(equal.hint("merge"), ["leaf", "same"], "left_anti")
-    placed = materialize(open_lines.select("doc", "n", "leaf", F.posexplode("tokens").alias("at", "token")), "ld-tokens")
-    fixed = placed.groupBy("leaf", "at", "token").agg(F.count_distinct("doc").alias("docs")).where((F.col("docs") >= min_docs) & (F.col("token") != FIELD))
-    fixed = fixed.select("leaf", "at", "token", F.lit(1).alias("fixed"))
+    rest = materialize(slim.join(equal.hint("merge"), ["leaf", "same"], "left_anti").select("doc", "n", "leaf"), "ld-rest")
+    open_lines = materialize(rest.join(often(rest, "leaf").hint("merge"), "leaf").select("doc", "n", "leaf"), "ld-open")
+
+    # the tokens of these lines: only texts that have some are read into lines again
+    wanted = materialize(open_lines.select("doc").distinct(), "ld-wanted")
+    mark = F.broadcast if wanted.count() <= max_broadcast else (lambda df: df.hint("shuffle_hash"))
+    texts = docs.select("doc_id", "text").join(mark(wanted), document_key() == F.col("doc"), "left_semi")
+    lines = lines_of(texts).select("doc", "n", "tokens").join(open_lines.hint("merge"), ["doc", "n"])
+    placed = materialize(lines.select("doc", "n", "leaf", F.posexplode("tokens").alias("at", "token")), "ld-tokens")
+    fixed = often(placed.where(F.col("token") != FIELD), "leaf", "at", "token").withColumn("fixed", F.lit(1))
     known = placed.join(fixed.hint("merge"), ["leaf", "at", "token"], "left")
     code = F.xxhash64("at", F.when(F.col("fixed") == 1, F.col("token")).otherwise(FIELD))
-    templates = known.groupBy("doc", "n", "leaf").agg(F.bit_xor(code).alias("template"), F.count("fixed").alias("fixed"), F.count("*").alias("tokens"))
+    templates = known.distinct().groupBy("doc", "n", "leaf").agg(F.bit_xor(code).alias("template"), F.count("fixed").alias("fixed"), F.count("*").alias("tokens"))
     templates = materialize(templates.where(F.col("fixed") >= MIN_CONSTANT * F.col("tokens")).select("doc", "n", "leaf", "template"), "ld-templates")
-    often = templates.groupBy("leaf", "template").agg(F.count_distinct("doc").alias("docs")).where(F.col("docs") >= min_docs).select("leaf", "template")
-    return found.union(templates.join(often.hint("merge"), ["leaf", "template"]).select("doc", "n"))
+    return found.union(templates.join(often(templates, "leaf", "template").hint("merge"), ["leaf", "template"]).select("doc", "n"))
 
 
 def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
