@@ -8,6 +8,7 @@ are the unit of parallelism; nothing else is ever grouped.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -178,11 +179,14 @@ def _role(text: Column, meaning: Column, seen: Column, has_test: Column) -> Colu
 def _roles(cells: Column) -> Column:
     """The role of each placed cell, which depends on whether a value or a name has come before it in the row."""
 
-    def step(acc: Column, x: Column) -> Column:
-        role = _role(x["cell"]["text"], x["meaning"], acc["seen"], acc["test"])
+    def after(acc: Column, x: Column, role: Column) -> Column:
         seen = acc["seen"] | role.isin("RESULT", "RESULT_TEXT", "UNIT") | ((x["meaning"] == "RESULT") & ~role.isin("FLAG", "DROP"))
         return F.struct(F.concat(acc["roles"], F.array(role)).alias("roles"), seen.alias("seen"), (acc["test"] | (role == "TEST")).alias("test"))
 
+    def step(acc: Column, x: Column) -> Column:
+        role = F.array(_role(x["cell"]["text"], x["meaning"], acc["seen"], acc["test"]))  # an array, so that it is computed once
+        return F.get(F.transform(role, lambda r: after(acc, x, r)), F.lit(0))
+
     start = F.struct(F.array().cast("array<string>").alias("roles"), F.lit(False).alias("seen"), F.lit(False).alias("test"))
     return F.aggregate(cells, start, step, lambda acc: acc["roles"])
 
@@ -216,8 +220,11 @@ def assemble(rows: DataFrame) -> DataFrame:
 
 
 def parse_pages(spans: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
-    """Result rows of all pages, numbered on each page, with wrapped reference lines merged into the row they belong to."""
-    rows = with_header(group_rows(spans, tolerance))
+    """Result rows of all pages, numbered on each page, with wrapped reference lines merged into the row they belong to.
+
+    Rows and results are read more than once, so they are persisted (on disk where memory is short), not computed again.
+    """
+    rows = with_header(group_rows(spans, tolerance).persist(StorageLevel.MEMORY_AND_DISK))
     joined = F.trim(F.array_join(F.transform("cells", lambda c: c["text"]), " "))
     rows = rows.withColumn("line", joined).where(F.col("header_row").isNull() | (F.col("row") > F.col("header_row"))).where("header_cells < 2")
     metadata = F.col("line") == ""
@@ -232,12 +239,12 @@ def parse_pages(spans: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     texts = F.filter(F.transform("cells", lambda c: c["text"]), lambda t: t != "")
     clean = F.array_join(texts, " ")
     carries = ~F.exists(texts, is_unit) & ~(F.get(texts, F.lit(0)).rlike(DECIMAL) & (F.size(texts) >= 2)) & (clean.rlike(CONTINUATION) | clean.rlike(RANGE))
-    rows = rows.withColumn("carries", F.when(F.size(texts) > 0, carries).otherwise(False)).withColumn("extra", F.trim(clean))
+    rows = rows.withColumn("carries", F.when(F.size(texts) > 0, carries).otherwise(False)).withColumn("extra", F.trim(clean)).persist(StorageLevel.MEMORY_AND_DISK)
 
     panels = F.array_sort(F.array_distinct(F.transform("placed", lambda x: x["panel"])))
     tests = F.size(F.filter("header.meanings", lambda m: m == "TEST"))
     split = rows.where(~F.col("metadata")).withColumn("panels", F.greatest(F.coalesce(tests, F.lit(1)), F.lit(1))).withColumn("panel", F.explode(panels))
-    results = assemble(split.withColumn("placed", F.filter("placed", lambda x: x["panel"] == F.col("panel"))))
+    results = assemble(split.withColumn("placed", F.filter("placed", lambda x: x["panel"] == F.col("panel")))).persist(StorageLevel.MEMORY_AND_DISK)
     seeds = (F.col("reference_range_raw") != "") & (F.col("panels") == 1) & F.col("reference_range_raw").rlike(RANGE_ANYWHERE)
     last = results.groupBy(*PAGE, "row").agg(F.max_by(seeds, "panel").alias("seeds"), F.max("panel").alias("last_panel"))
 
