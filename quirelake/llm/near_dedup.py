@@ -8,9 +8,12 @@
 3. Classes that share a band key form a bucket. Each bucket links its members to one of them (a star,
    not all pairs); candidates whose sketches say well under the threshold go, the others are
    confirmed on their full shingle sets, and links make components.
-4. Buckets whose members are still in several components get further stars with other centres while
-   these keep the work small, and at last every pair across components of one bucket is compared.
-   So no pair that shares a bucket and isn't connected already goes unseen.
+4. Members of buckets that still hold several components get a second star with other centres. What
+   is left in mixed buckets is compared exactly and without regard to buckets: a class that links
+   with another shares one of its rarest quarter of shingles with it (shingles ordered by how many
+   of these classes have them), so only classes of different components that share such a shingle,
+   and whose sketches agree, are confirmed. Passages that many documents share are frequent, come
+   last in that order, and make no pairs.
 
 The chance that a pair with similarity 0.75 shares no band is (1 - 0.75^5)^40 = 2e-5.
 
@@ -28,16 +31,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, read_table, text_of
+from .common import materialize, read_table, temporary, text_of
 from .components import components
 
 SHINGLE, PERCENT = 5, 75
 BANDS, ROWS = 40, 5
 SKETCH_BITS = 512
-#: Candidates whose sketches estimate less than this are dropped; five standard deviations under the threshold.
-SKETCH_FLOOR = 0.5
-#: Further stars are tried while the pairs left exceed so many for each member of a mixed bucket.
-PAIRS_PER_MEMBER, MAX_STARS = 2, 6
+#: Candidates whose sketches estimate less than this are dropped: 4.75 standard deviations under the threshold, 1 link in a million.
+SKETCH_FLOOR = 0.553
+STARS = 2
 
 _MASK = (1 << 64) - 1
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -154,18 +156,25 @@ def describe(docs: DataFrame) -> DataFrame:
 def _both(pairs: DataFrame, of: DataFrame, columns: list[str]) -> DataFrame:
     """pairs (a, b) with the columns of both ends, as a_x and b_x."""
     for end in ("a", "b"):
-        side = of.select(F.col("cid").alias(f"_{end}"), *[F.col(c).alias(f"{end}_{c}") for c in columns])
-        pairs = pairs.join(side.hint("merge"), F.col(end) == F.col(f"_{end}")).drop(f"_{end}")
+        pairs = pairs.join(_named(of, end, columns).hint("merge"), end)
     return pairs
 
 
+def _named(of: DataFrame, end: str, columns: list[str]) -> DataFrame:
+    return of.select(F.col("cid").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in columns])
+
+
 def _sketch_distance() -> Column:
     return sum((F.bit_count(F.col(f"a_{s}").bitwiseXOR(F.col(f"b_{s}"))) for s in _SKETCH[1:]), F.bit_count(F.col(f"a_{_SKETCH[0]}").bitwiseXOR(F.col(f"b_{_SKETCH[0]}"))))
 
 
-def _confirm(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of pairs (a, b) that link: first by sketch, then on the full sets."""
-    near = _both(pairs, classes, _SKETCH).where(_sketch_distance() <= sketch_limit()).select("a", "b")
+def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Those of pairs (a, b) whose sketches don't say that they are far apart."""
+    return _both(pairs, classes, _SKETCH).where(_sketch_distance() <= sketch_limit()).select("a", "b")
+
+
+def _confirm(near: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of pairs (a, b) that link, by their full sets."""
     full = _both(materialize(near, "nd-near"), sets, ["shingles"])
     common = F.size(F.array_intersect("a_shingles", "b_shingles"))
     counted = full.select("a", "b", common.alias("common"), (F.size("a_shingles") + F.size("b_shingles")).alias("total"))
@@ -181,20 +190,60 @@ def _stars(members: DataFrame, turn: int) -> DataFrame:
     return met.select(F.least("cid", "b").alias("a"), F.greatest("cid", "b").alias("b")).distinct()
 
 
-def _mixed(members: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """The members of buckets that hold several components, with `minor` false in the bucket's largest one."""
+def _mixed(members: DataFrame, roots: DataFrame | None, *more: str) -> DataFrame:
+    """The members of buckets that hold several components, with `minor` false in the bucket's largest one, and more columns."""
     if roots is not None:
         labelled = members.select("key", "cid").join(roots.select(F.col("node").alias("_n"), F.col("root").alias("_r")).hint("merge"), F.col("cid") == F.col("_n"), "left")
         members = materialize(labelled.select("key", "cid", F.coalesce("_r", "cid").alias("root")), "nd-labelled")
     per = members.groupBy("key", "root").agg(F.count("*").alias("n"))
     per = per.groupBy("key").agg(F.count("*").alias("roots"), F.sum("n").alias("members"), F.max(F.struct("n", "root")).alias("top")).where(F.col("roots") > 1)
-    kept = members.join(per.hint("merge"), "key").select("key", "cid", "root", "members", (F.col("root") != F.col("top.root")).alias("minor"))
+    kept = members.join(per.hint("merge"), "key").select("key", "cid", "root", "members", (F.col("root") != F.col("top.root")).alias("minor"), *more)
     return materialize(kept, "nd-mixed")
 
 
+def _rare_shingles(mixed: DataFrame, sets: DataFrame) -> DataFrame:
+    """key (a shingle), cid, root: of each class in mixed buckets the rarest shingles, one of which any class that links with it has too.
+
+    Shingles that only one class has come first in the order and lead nowhere, so they are only counted. With n, the size of
+    the class's set, how many shingles that others have too stand before (`before`) and from here on (`left`), and whether the
+    shingle is among the fewer ones that a link with a set that isn't smaller must hit (`short`): such a link shares 6 / 7 of the set.
+    """
+    own = mixed.select("cid", "root").distinct().join(sets.hint("merge"), "cid").select("cid", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("key"))
+    shared = own.groupBy("key").agg(F.count("*").alias("classes")).where("classes > 1")
+    rows = own.join(shared.hint("merge"), "key")
+    of = Window.partitionBy("cid")
+    nth = F.row_number().over(of.orderBy("classes", "key"))
+    must_share = F.floor((PERCENT * F.col("n") + 99) / 100)
+    ranked = rows.withColumn("nth", nth).withColumn("shared", F.count("*").over(of)).where(F.col("nth") <= F.col("shared") - must_share + 1)
+    place, short = F.col("nth") - 1, F.col("nth") <= F.col("shared") - F.floor((6 * F.col("n") + 6) / 7) + 1
+    return materialize(ranked.select("key", "cid", "root", "n", place.alias("before"), (F.col("shared") - place).alias("left"), short.alias("short")), "nd-rare")
+
+
+def _across(rare: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that share a key, can have enough in common by the sizes of their sets and the
+    key's place in both, and whose sketches agree; in a key's largest component nothing is paired.
+
+    What two classes share lies before the key in both or from the key on in both; a link needs 3 / 7 of both sizes.
+    """
+    columns = ("n", "before", "left", "short", *_SKETCH)
+    sketched = rare.join(classes.select("cid", *_SKETCH).hint("merge"), "cid")
+    end = lambda df, x: df.select("key", F.col("root").alias(f"{x}_root"), F.col("cid").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in columns])
+    enough = 7 * (F.least("a_before", "b_before") + F.least("a_left", "b_left")) >= 3 * (F.col("a_n") + F.col("b_n"))
+    short = F.when((F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a") < F.col("b"))), F.col("a_short")).otherwise(F.col("b_short"))
+    minor, other = end(sketched.where("minor"), "a"), end(sketched, "b")
+    met = minor.join(other.hint("merge"), (minor["key"] == other["key"]) & (F.col("a_root") != F.col("b_root")) & short & enough & (_sketch_distance() <= sketch_limit()))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(described rows, classes): classes have k1, k2, cid, doc_id (smallest), n and component_id."""
-    described = materialize(describe(docs), "nd-docs")
+    """(described rows, classes): classes have k1, k2 and component_id. The tables on the way there are deleted."""
+    described = materialize(describe(docs), "nd-docs", keep=True)
+    with temporary(docs.sparkSession):
+        return described, _classes(docs, described)
+
+
+def _classes(docs: DataFrame, described: DataFrame) -> DataFrame:
+    """The classes of described rows with their component_id."""
     whole = described.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     first = [F.first(c).alias(c) for c in ("n", "bands", *_SKETCH)]
     classes = whole.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), *first).withColumn("cid", F.monotonically_increasing_id())
@@ -209,35 +258,22 @@ def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sets = texts.select("cid", "k1", "k2", "text").mapInArrow(_sets, "cid long, shingles array<long>")
     sets = materialize(sets.groupBy("cid").agg(F.first("shingles").alias("shingles")), "nd-sets")
 
-    links, roots, turn = None, None, 0
-    while True:
-        left = _mixed(members, roots)
-        work = left.agg(F.sum(F.when(F.col("minor"), F.col("members"))).alias("pairs"), F.count("*").alias("members")).first()
-        if not work["pairs"]:
+    links, roots = None, None
+    for turn in range(STARS + 1):
+        mixed = _mixed(members, roots)
+        if mixed.isEmpty():
             break
-        last = turn > 0 and (work["pairs"] <= PAIRS_PER_MEMBER * work["members"] or turn >= MAX_STARS)
-        if last:
-            minor = left.where("minor").select("key", F.col("cid").alias("a"), F.col("root").alias("a_root"))
-            other = left.select("key", F.col("cid").alias("b"), F.col("root").alias("b_root"))
-            met = minor.join(other.hint("merge"), "key").where(F.col("a_root") != F.col("b_root"))
-            pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        else:
-            pairs = _stars(left, turn)
-        found = materialize(_confirm(pairs, classes, sets), "nd-links")
+        near = _near(_stars(mixed, turn), classes) if turn < STARS else _across(_mixed(_rare_shingles(mixed, sets), None, "n", "before", "left", "short"), classes)
+        found = materialize(_confirm(near, sets), "nd-links")
         links = found if links is None else links.union(found)
-        if last or turn == 0 or not found.isEmpty():
-            roots = components(links)
-        turn += 1
-        if last:
-            break
+        roots = components(links)
     if roots is not None:
         labelled = classes.join(roots.select(F.col("node").alias("_n"), "root").hint("merge"), F.col("cid") == F.col("_n"), "left").drop("_n")
     else:
         labelled = classes.withColumn("root", F.col("cid"))
     labelled = labelled.select("k1", "k2", "doc_id", F.coalesce("root", "cid").alias("root"))
     smallest = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    classes = materialize(labelled.join(smallest.hint("merge"), "root").select("k1", "k2", "component_id"), "nd-components")
-    return described, classes
+    return materialize(labelled.join(smallest.hint("merge"), "root").select("k1", "k2", "component_id"), "nd-components", keep=True)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
