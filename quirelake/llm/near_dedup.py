@@ -39,7 +39,7 @@ BANDS, ROWS = 40, 5
 SKETCH_BITS = 512
 #: Candidates whose sketches estimate less than this are dropped: 4.75 standard deviations under the threshold, 1 link in a million.
 SKETCH_FLOOR = 0.553
-STARS = 2
+STARS, SEEN = 2, 64
 
 _MASK = (1 << 64) - 1
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -207,16 +207,18 @@ def _rare_shingles(mixed: DataFrame, sets: DataFrame) -> DataFrame:
     Shingles that only one class has come first in the order and lead nowhere, so they are only counted. With n, the size of
     the class's set, how many shingles that others have too stand before (`before`) and from here on (`left`), and whether the
     shingle is among the fewer ones that a link with a set that isn't smaller must hit (`short`): such a link shares 6 / 7 of the set.
+    `earlier` holds the last SEEN of the keys before, by which a pair is made once and not for each key that it shares.
     """
     own = mixed.select("cid", "root").distinct().join(sets.hint("merge"), "cid").select("cid", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("key"))
     shared = own.groupBy("key").agg(F.count("*").alias("classes")).where("classes > 1")
     rows = own.join(shared.hint("merge"), "key")
     of = Window.partitionBy("cid")
-    nth = F.row_number().over(of.orderBy("classes", "key"))
+    order = of.orderBy("classes", "key")
+    nth, earlier = F.row_number().over(order), F.collect_list("key").over(order.rowsBetween(-SEEN, -1))
     must_share = F.floor((PERCENT * F.col("n") + 99) / 100)
-    ranked = rows.withColumn("nth", nth).withColumn("shared", F.count("*").over(of)).where(F.col("nth") <= F.col("shared") - must_share + 1)
+    ranked = rows.withColumn("nth", nth).withColumn("earlier", earlier).withColumn("shared", F.count("*").over(of)).where(F.col("nth") <= F.col("shared") - must_share + 1)
     place, short = F.col("nth") - 1, F.col("nth") <= F.col("shared") - F.floor((6 * F.col("n") + 6) / 7) + 1
-    return materialize(ranked.select("key", "cid", "root", "n", place.alias("before"), (F.col("shared") - place).alias("left"), short.alias("short")), "nd-rare")
+    return materialize(ranked.select("key", "cid", "root", "n", place.alias("before"), (F.col("shared") - place).alias("left"), short.alias("short"), "earlier"), "nd-rare")
 
 
 def _across(rare: DataFrame, classes: DataFrame) -> DataFrame:
@@ -225,13 +227,14 @@ def _across(rare: DataFrame, classes: DataFrame) -> DataFrame:
 
     What two classes share lies before the key in both or from the key on in both; a link needs 3 / 7 of both sizes.
     """
-    columns = ("n", "before", "left", "short", *_SKETCH)
+    columns = ("n", "before", "left", "short", "minor", "earlier", *_SKETCH)
     sketched = rare.join(classes.select("cid", *_SKETCH).hint("merge"), "cid")
     end = lambda df, x: df.select("key", F.col("root").alias(f"{x}_root"), F.col("cid").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in columns])
     enough = 7 * (F.least("a_before", "b_before") + F.least("a_left", "b_left")) >= 3 * (F.col("a_n") + F.col("b_n"))
     short = F.when((F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a") < F.col("b"))), F.col("a_short")).otherwise(F.col("b_short"))
+    once = (~F.col("b_minor") | (F.col("a") < F.col("b"))) & ~F.arrays_overlap("a_earlier", "b_earlier")
     minor, other = end(sketched.where("minor"), "a"), end(sketched, "b")
-    met = minor.join(other.hint("merge"), (minor["key"] == other["key"]) & (F.col("a_root") != F.col("b_root")) & short & enough & (_sketch_distance() <= sketch_limit()))
+    met = minor.join(other.hint("merge"), (minor["key"] == other["key"]) & (F.col("a_root") != F.col("b_root")) & short & enough & once & (_sketch_distance() <= sketch_limit()))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -263,7 +266,7 @@ def _classes(docs: DataFrame, described: DataFrame) -> DataFrame:
         mixed = _mixed(members, roots)
         if mixed.isEmpty():
             break
-        near = _near(_stars(mixed, turn), classes) if turn < STARS else _across(_mixed(_rare_shingles(mixed, sets), None, "n", "before", "left", "short"), classes)
+        near = _near(_stars(mixed, turn), classes) if turn < STARS else _across(_mixed(_rare_shingles(mixed, sets), None, "n", "before", "left", "short", "earlier"), classes)
         found = materialize(_confirm(near, sets), "nd-links")
         links = found if links is None else links.union(found)
         roots = components(links)
