@@ -6,8 +6,10 @@ small and the footer has page indexes, so a reader of some documents or only of
 the rest. The range bounds and a running sum in each part give every document's place in the whole.
 
 A text is encoded word by word, as its tokenizer never joins across ASCII white space; a worker
-keeps the ids of words that it has seen (up to CACHE words, then it starts anew). That gives the
-same ids as encoding the whole text.
+keeps the ids of words that it has seen (up to CACHE words, then it starts anew). ASCII words are
+put in lower case first, so fewer are distinct; not so where the tokenizer looks at the raw text:
+words with other characters, which it composes before it lower-cases, and texts that hold a special
+token in any case. That gives the same ids as encoding the whole text.
 
 Rows: a null or empty text is the end id alone; a null doc_id comes first; rows that repeat a doc_id
 lie side by side, in order of a hash of the text; an empty table gives an empty result. Further
@@ -35,6 +37,8 @@ TOKENS = "doc_id long, part int, start long, n_tokens int, ids array<int>"
 #: Letters below this code point lower-case and classify alike everywhere; others go to the tokenizer whole.
 _LATIN_END = "ɐ"
 _STOP = re.compile(rb"(?<=[a-z])([.,])(?![^ \t-\r])")
+#: A capital that may compose with the mark after it where its small letter doesn't, or the reverse.
+_CAPITAL = re.compile(rb"[A-Z][\x80-\xff]")
 
 
 class _Index(dict):
@@ -64,7 +68,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
-        self.special = [w.encode() for w in self.tokenizer.get_added_tokens_decoder().values() for w in [w.content]]
+        self.special = [w.encode().lower() for w in self.tokenizer.get_added_tokens_decoder().values() for w in [w.content]]
         self.reset()
 
     def reset(self) -> None:
@@ -105,9 +109,12 @@ class WordEncoder:
 
     def words(self, text: bytes) -> list[bytes]:
         """Words that encode apart: ASCII in lower case, a stop or comma that ends a word of letters on its own."""
-        if any(x in text for x in self.special):
+        low = text.lower()
+        if any(x in low for x in self.special):
             return text.split()
-        return _STOP.sub(rb" \1", text.lower()).split()
+        if _CAPITAL.search(text):
+            low = b" ".join([w.lower() if w.isascii() else w for w in text.split()])
+        return _STOP.sub(rb" \1", low).split()
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with the end id, and the number of ids of each."""

@@ -118,6 +118,16 @@ def test_op5_words_encode_apart():
         assert ids[ends[i] : ends[i + 1]].tolist() == [*e.tokenizer.encode(h, add_special_tokens=False).ids, 2]
 
 
+@pytest.mark.parametrize("text", [
+    "<|EndOfText|>", "a <|ENDOFTEXT|> B. C", "x<|StartOfText|>y", "<|ENDOFTEXT|> <|endoftext|>", "T\u0308x", "J\u030c H\u0331. W\u030a,", "AT\u0308X Plain. WORDS, BESIDE", "A\u0328\u0301 E\u0323\u0302Z", "I\u0307 \u0130 S\u0323\u0307", "Z\u00c9 Q\u4e2d",
+])
+def test_op5_raw_text_decides(text):
+    # one text to an encoder: what it has seen before can't help
+    P = pytest.importorskip("public_tokenizers")
+    e = token_output.WordEncoder(str(P.path("word_bpe_49k.json")))
+    assert e.encode([text.encode()])[0].tolist() == [*e.tokenizer.encode(text, add_special_tokens=False).ids, 2]
+
+
 def brute_em(patterns, n_rules, rounds):
     """patterns: {votes: count}; the same start, smoothing and steps, in plain Python."""
     q = {v: 0.9 if sum(2 * x if x < 0 else x for x in v) > 0 else 0.1 for v in patterns}
