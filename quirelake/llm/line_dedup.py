@@ -6,7 +6,9 @@ documents recur. Among the other lines of a leaf, a token is part of a template
 documents of the leaf have it in that place, and is a variable field otherwise; lines with the same
 template, at least MIN_CONSTANT of it constant, recur if `min_docs` documents have them. Every
 occurrence of a recurring line is dropped. Counts are summed before each shuffle, so a line that
-fills the corpus is a few rows; the text moves once, to meet the list of its dropped lines.
+fills the corpus is a few rows; the text moves once, to meet the list of its dropped lines. With
+`pair_tokens`, lines of that many tokens recur from two documents on, and so do their leaves, tokens
+and templates.
 
 Rows: a null or empty text has no lines and stays as it is (null becomes empty); lines of fewer than
 MIN_TOKENS tokens and blank lines stay; doc_id may be null or repeat: a document is known by doc_id
@@ -23,6 +25,8 @@ from .common import SPACES, id_text, materialize, read_table, text_of
 
 DEPTH, MIN_TOKENS, MIN_DOCS, MIN_CONSTANT = 4, 3, 3, 0.5
 MAX_BROADCAST = 1_000_000
+#: From so many tokens on, op1_line_dedup_pairs lets a line recur in two documents.
+PAIR_TOKENS = 20
 FIELD = "<*>"
 
 
@@ -44,10 +48,13 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return tokens.select("doc", "n", leaf.alias("leaf"), F.xxhash64("tokens").alias("same"), "tokens")
 
 
-def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, max_broadcast: int = MAX_BROADCAST, pair_tokens: int | None = None) -> DataFrame:
     """doc, n of each line whose template recurs."""
-    slim = materialize(lines_of(docs).select("doc", "n", "leaf", "same"), "ld-lines")
-    often = lambda df, *keys: df.groupBy(*keys).agg(F.count_distinct("doc").alias("docs")).where(F.col("docs") >= min_docs).select(*keys)
+    # a leaf has one number of tokens: its last bit says in how many documents its lines have to be
+    marked = F.col("leaf") if pair_tokens is None else F.shiftleft("leaf", 1).bitwiseOR((F.size("tokens") >= pair_tokens).cast("long"))
+    need = F.lit(min_docs) if pair_tokens is None else F.when(F.col("leaf").bitwiseAND(F.lit(1)) == 1, F.least(F.lit(2), F.lit(min_docs))).otherwise(min_docs)
+    slim = materialize(lines_of(docs).select("doc", "n", marked.alias("leaf"), "same"), "ld-lines")
+    often = lambda df, *keys: df.groupBy(*keys).agg(F.count_distinct("doc").alias("docs")).where(F.col("docs") >= need).select(*keys)
     equal = materialize(often(slim, "leaf", "same"), "ld-equal")
     found = slim.join(equal.hint("merge"), ["leaf", "same"]).select("doc", "n")
     rest = materialize(slim.join(equal.hint("merge"), ["leaf", "same"], "left_anti").select("doc", "n", "leaf"), "ld-rest")
@@ -67,9 +74,9 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, max_broadcast: int = MA
     return found.union(templates.join(often(templates, "leaf", "template").hint("merge"), ["leaf", "template"]).select("doc", "n"))
 
 
-def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, max_broadcast: int = MAX_BROADCAST, pair_tokens: int | None = None) -> DataFrame:
     """A struct column `_row` with the columns of docs, and `_text`, `_n_lines`, `_n_dropped`."""
-    dropped = recurring(docs, min_docs, max_broadcast).groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("n").alias("_drop"))
+    dropped = recurring(docs, min_docs, max_broadcast, pair_tokens).groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("n").alias("_drop"))
     dropped = materialize(dropped, "ld-dropped")
     rows = docs.select(F.struct("*").alias("_row"))
     key = F.xxhash64(F.coalesce(F.col("_row.doc_id").cast("string"), F.lit("")), text_of("_row.text"))
@@ -83,15 +90,23 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, max_broadcas
     )
 
 
-def clean(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def clean(docs: DataFrame, min_docs: int = MIN_DOCS, pair_tokens: int | None = None) -> DataFrame:
     """docs with the recurring lines gone from text; its other columns as they are."""
-    out = drop_recurring_lines(docs, min_docs)
+    out = drop_recurring_lines(docs, min_docs, pair_tokens=pair_tokens)
     return out.select(*[F.col("_text").alias(c) if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's lines, how many of them recur and go, and the text that is left."""
-    out = drop_recurring_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return _measured(drop_recurring_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op1_line_dedup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, but lines of PAIR_TOKENS tokens and more go from two documents on."""
+    return _measured(drop_recurring_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"), pair_tokens=PAIR_TOKENS))
+
+
+def _measured(out: DataFrame) -> DataFrame:
     return out.select("_row.doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.length("_text").cast("long").alias("kept_chars"), F.sha2("_text", 256).alias("kept_sha256"))
 
 
@@ -124,3 +139,8 @@ kept AS (
   FROM d LEFT JOIN per p ON d.doc = p.doc)
 SELECT doc_id, n_lines, n_dropped, CAST(length(text) AS BIGINT) AS kept_chars, sha256(text) AS kept_sha256 FROM kept
 """
+
+#: op1_line_dedup_pairs: a count of documents has its limit by the number of tokens, with which a leaf begins.
+PAIRS_SQL = ORACLE_SQL.replace("GROUP BY same HAVING count(DISTINCT doc) >= 3", "GROUP BY same HAVING count(DISTINCT doc) >= CASE WHEN any_value(len(w)) >= 20 THEN 2 ELSE 3 END").replace(
+    "HAVING count(DISTINCT doc) >= 3)", "HAVING count(DISTINCT doc) >= CASE WHEN CAST(split_part(leaf, ' ', 1) AS INTEGER) >= 20 THEN 2 ELSE 3 END)"
+)

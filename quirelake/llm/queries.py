@@ -6,6 +6,7 @@ from . import decontamination, language_model, line_dedup, mixing, near_dedup, q
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op1_line_dedup_pairs": line_dedup.op1_line_dedup_pairs,
     "op2_sharding": sharding.op2_sharding,
     "op3_lm_scoring": language_model.op3_lm_scoring,
     "op4_decontamination": decontamination.op4_decontamination,
@@ -17,4 +18,4 @@ QUERIES = {
     "op10_mixing": mixing.op10_mixing,
 }
 
-ORACLE_SQL = {"op1_line_dedup": line_dedup.ORACLE_SQL, "op4_decontamination": decontamination.ORACLE_SQL}
+ORACLE_SQL = {"op1_line_dedup": line_dedup.ORACLE_SQL, "op1_line_dedup_pairs": line_dedup.PAIRS_SQL, "op4_decontamination": decontamination.ORACLE_SQL}

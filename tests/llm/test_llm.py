@@ -128,6 +128,17 @@ def test_op5_raw_text_decides(text):
     assert e.encode([text.encode()])[0].tolist() == [*e.tokenizer.encode(text, add_special_tokens=False).ids, 2]
 
 
+def test_op1_passage_of_two_documents(spark):
+    passage, short = " ".join(f"p{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(50)), "seen in two documents"
+    form = "{} " + " ".join("form" + chr(97 + i) for i in range(24)) + " {}"
+    texts = [f"one alone\n{passage}\n{short}", f"{short}\nanother\n{passage}", f"{form.format('same', 'ann')}\nx", f"y\n{form.format('same', 'bob')}", f"{passage[:-1]} changed"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id: r.text for r in line_dedup.clean(df, pair_tokens=20).collect()}
+    assert kept == {0: f"one alone\n{short}", 1: f"{short}\nanother", 2: "x", 3: "y", 4: texts[4]}
+    assert {r.doc_id: r.text for r in line_dedup.clean(df).collect()} == dict(enumerate(texts))
+    assert line_dedup.PAIRS_SQL.count("THEN 2 ELSE 3") == line_dedup.ORACLE_SQL.count("count(DISTINCT doc) >= 3") == 4
+
+
 def brute_em(patterns, n_rules, rounds):
     """patterns: {votes: count}; the same start, smoothing and steps, in plain Python."""
     q = {v: 0.9 if sum(2 * x if x < 0 else x for x in v) > 0 else 0.1 for v in patterns}
