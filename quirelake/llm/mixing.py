@@ -17,13 +17,15 @@ from __future__ import annotations
 import heapq
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, materialize, read_table, text_of
 
-#: Cells (source, shard) that the driver apportions at most: one short row each, never a document.
-MAX_CELLS = 2_000_000
+#: Cells (source, shard) whose plan is broadcast at most: one short row each, never a document.
+MAX_BROADCAST = 1_000_000
+CELLS = "source string, _shard int, source_size long, target double, line long, n_blocks long, rounds long, picks long, stride long, shift long"
 #: Strides of the block permutation; one that doesn't divide the number of blocks is coprime to it.
 STRIDES = (1_000_003, 998_244_353, 7_368_787)
 
@@ -106,7 +108,27 @@ def _picked_words() -> Column:
     )
 
 
-def mix(docs: DataFrame, plan: MixPlan = MixPlan(), keep: tuple[str, ...] = ()) -> DataFrame:
+def _plan_cells(plan: MixPlan):
+    """The quotas of one source's shards, from (source, _shard, words, source_size, target, won)."""
+
+    def cells(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("_shard")
+        size, target, won = int(own["source_size"].iloc[0]), float(own["target"].iloc[0]), int(own["won"].iloc[0])
+        words = [int(w) for w in own["words"]]
+        n_blocks = [max(1, round(w / plan.block_tokens)) if w else 0 for w in words]
+        blocks = round(won * plan.block_tokens * sum(n_blocks) / size) if size else 0
+        quotas = apportion([float(n) for n in n_blocks], min(blocks, int(plan.cap * sum(n_blocks))))
+        rows = []
+        for source, shard, line, n, quota in zip(own["source"], own["_shard"], words, n_blocks, quotas):
+            rounds, picks = divmod(quota, n) if n else (0, 0)
+            stride = next((p for p in STRIDES if n and n % p), 1)
+            rows.append((source, shard, size, target, line, n, rounds, picks, stride, (int(shard) * 7919 + plan.seed) % max(n, 1)))
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in CELLS.split(", ")])
+
+    return cells
+
+
+def mix(docs: DataFrame, plan: MixPlan = MixPlan(), keep: tuple[str, ...] = (), max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """Per row of docs (doc_id, text, source): doc_id, size, source_size, target, taken, start (of the document on its
     cell's line of words), the cell's line (words), n_blocks, rounds, picks, stride and shift, and the columns in keep.
 
@@ -118,30 +140,19 @@ def mix(docs: DataFrame, plan: MixPlan = MixPlan(), keep: tuple[str, ...] = ())
     n_docs = sized.count()
     shards = max(plan.min_shards, -(-n_docs // plan.docs_per_shard))
     sized = sized.withColumn("_at", F.xxhash64(F.lit(plan.seed), "doc_id", "size")).withColumn("_shard", F.pmod("_at", F.lit(shards)).cast("int"))
-    cells = sized.groupBy("source", "_shard").agg(F.sum("size").alias("words")).limit(MAX_CELLS + 1).collect()
-    if len(cells) > MAX_CELLS:
-        raise ValueError(f"over {MAX_CELLS} cells of source and shard: use fewer shards")
-    cells.sort(key=lambda c: (c["source"] is None, c["source"] or "", c["_shard"]))
-    sizes: dict[str | None, int] = {}
-    for c in cells:
-        sizes[c["source"]] = sizes.get(c["source"], 0) + c["words"]
+    cells = materialize(sized.groupBy("source", "_shard").agg(F.sum("size").alias("words")), "mix-cells")
+    sizes: dict[str | None, int] = {r["source"]: r["words"] for r in cells.groupBy("source").agg(F.sum("words").alias("words")).collect()}
     wanted = targets(sizes, plan)
-    sources = list(sizes)
-    won = dict(zip(sources, apportion([wanted[s] for s in sources], round(sum(wanted.values()) / plan.block_tokens))))
-    rows = []
-    for source in sources:
-        own = [c for c in cells if c["source"] == source]
-        n_blocks = [max(1, round(c["words"] / plan.block_tokens)) if c["words"] else 0 for c in own]
-        blocks = round(won[source] * plan.block_tokens * sum(n_blocks) / sizes[source]) if sizes[source] else 0
-        quotas = apportion([float(n) for n in n_blocks], min(blocks, int(plan.cap * sum(n_blocks))))
-        for c, n, quota in zip(own, n_blocks, quotas):
-            rounds, picks = divmod(quota, n) if n else (0, 0)
-            stride = next((p for p in STRIDES if n and n % p), 1)
-            rows.append((source, c["_shard"], sizes[source], float(wanted[source]), c["words"], n, rounds, picks, stride, (c["_shard"] * 7919 + plan.seed) % max(n, 1)))
-    plan_df = spark.createDataFrame(rows, "source string, _shard int, source_size long, target double, line long, n_blocks long, rounds long, picks long, stride long, shift long")
+    sources = sorted(sizes, key=lambda s: (s is None, s or ""))
+    won = apportion([wanted[s] for s in sources], round(sum(wanted.values()) / plan.block_tokens))
+    shares = spark.createDataFrame([(s, sizes[s], float(wanted[s]), w) for s, w in zip(sources, won)], "_source string, source_size long, target double, won long")
+    shares = F.broadcast(shares) if len(sources) <= max_broadcast else shares
+    shared = cells.join(shares, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    plan_df = materialize(shared.groupBy("source").applyInPandas(_plan_cells(plan), CELLS), "mix-plan")
     before = Window.partitionBy("source", "_shard").orderBy("_at", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.withColumn("start", F.coalesce(F.sum("size").over(before), F.lit(0)).cast("long"))
-    p = F.broadcast(plan_df.withColumnsRenamed({"source": "_source", "_shard": "_cell"}))  # at most MAX_CELLS short rows
+    p = plan_df.withColumnsRenamed({"source": "_source", "_shard": "_cell"})
+    p = F.broadcast(p) if p.count() <= max_broadcast else p.hint("merge")
     joined = placed.join(p, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_shard") == F.col("_cell")))
     taken = F.when(F.col("size") > 0, F.col("rounds") * F.col("size") + F.when(F.col("picks") > 0, _picked_words()).otherwise(0)).otherwise(0)
     return joined.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "start", "line", "n_blocks", "rounds", "picks", "stride", "shift", *keep)

@@ -297,6 +297,18 @@ def test_op10_mix(spark, docs):
     assert per == {r.doc_id: r.taken for r in rows if r.taken}
 
 
+def test_op10_more_cells_than_the_driver_takes(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_CELLS", 100, raising=False)  # the bound that there was
+    docs = spark.range(3000).selectExpr("id AS doc_id", "repeat('w ', int(1 + id % 200)) AS text", "nullif(concat('s', id % 7), 's6') AS source")
+    size = collections.Counter()
+    for r in docs.collect():
+        size[r.source] += len(r.text.split())
+    got = mixing.mix(docs).collect()
+    assert len(got) == 3000 and {r.source_size for r in got} == set(size.values())
+    assert sorted({r.target for r in got}) == pytest.approx(sorted(set(mixing.targets(dict(size)).values())))
+    assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.mix(docs, max_broadcast=0).collect()))
+
+
 CLASH = "doc_id long, text string, lang string, source string, n_chars long, n_words int, slot int, kept boolean, _row int, h int, size int, _quality string"
 LONG = "very long text of words " * 4000
 
