@@ -3,9 +3,10 @@
 Sources win blocks of `block_tokens` words by highest quotient target / (2 * won + 1); a source's
 blocks go to its shards in the same way, in proportion to their words, which gives each cell
 (source, shard) an integer quota. Inside a cell the documents lie in a seeded order on a line of
-words that is cut into blocks of equal size (to a word), and a seeded permutation of the blocks says
-which are taken: the first `quota` ones, a second round over the line beginning when all have been
-taken once. A document gets the words of its taken blocks.
+words that is cut into blocks of equal size (to a word); the first `quota` ones are taken, a second
+round over the line beginning when all have been taken once. So the seeded order says which documents
+are taken, whole, and a round's last block ends inside one document of the cell at most: of that one
+the words before the end are taken, in one run.
 
 Rows: doc_id may be null or repeat (each row is a document of its own); a null or empty text has
 size 0 and takes 0; a null source is a source of its own, last in order; an empty table gives an
@@ -25,9 +26,7 @@ from .common import WORD, materialize, read_table, text_of
 
 #: Cells (source, shard) whose plan is broadcast at most: one short row each, never a document.
 MAX_BROADCAST = 1_000_000
-CELLS = "source string, _shard int, source_size long, target double, line long, n_blocks long, rounds long, picks long, stride long, shift long"
-#: Strides of the block permutation; one that doesn't divide the number of blocks is coprime to it.
-STRIDES = (1_000_003, 998_244_353, 7_368_787)
+CELLS = "source string, _shard int, source_size long, target double, line long, n_blocks long, rounds long, picks long"
 
 
 @dataclass(frozen=True)
@@ -87,25 +86,10 @@ def apportion(wants: list[float], blocks: int) -> list[int]:
     return seats
 
 
-def _block_at(word: Column) -> Column:
-    """The block of a word of the line; block j begins at floor(line * j / n_blocks)."""
-    return F.floor(((word + 1) * F.col("n_blocks") - 1) / F.col("line")).cast("long")
-
-
-def _picked(block: Column) -> Column:
-    return F.pmod(block * F.col("stride") + F.col("shift"), F.col("n_blocks")) < F.col("picks")
-
-
 def _picked_words() -> Column:
-    """Words of the document that are in picked blocks of the last round."""
-    begin, end = F.col("start"), F.col("start") + F.col("size")
-    edge = lambda j: F.floor(F.col("line") * j / F.col("n_blocks")).cast("long")
-    zero = F.lit(0).cast("long")
-    return F.aggregate(
-        F.sequence(_block_at(begin), _block_at(end - 1)),
-        zero,
-        lambda acc, j: acc + F.when(_picked(j), F.least(end, edge(j + 1)) - F.greatest(begin, edge(j))).otherwise(zero),
-    )
+    """Words of the document that are in the blocks of the last round; block j begins at floor(line * j / n_blocks)."""
+    end = F.floor(F.col("line") * F.col("picks") / F.col("n_blocks")).cast("long")
+    return F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), end - F.col("start")))
 
 
 def _plan_cells(plan: MixPlan):
@@ -121,8 +105,7 @@ def _plan_cells(plan: MixPlan):
         rows = []
         for source, shard, line, n, quota in zip(own["source"], own["_shard"], words, n_blocks, quotas):
             rounds, picks = divmod(quota, n) if n else (0, 0)
-            stride = next((p for p in STRIDES if n and n % p), 1)
-            rows.append((source, shard, size, target, line, n, rounds, picks, stride, (int(shard) * 7919 + plan.seed) % max(n, 1)))
+            rows.append((source, shard, size, target, line, n, rounds, picks))
         return pd.DataFrame(rows, columns=[c.split()[0] for c in CELLS.split(", ")])
 
     return cells
@@ -130,9 +113,9 @@ def _plan_cells(plan: MixPlan):
 
 def mix(docs: DataFrame, plan: MixPlan = MixPlan(), keep: tuple[str, ...] = (), max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """Per row of docs (doc_id, text, source): doc_id, size, source_size, target, taken, start (of the document on its
-    cell's line of words), the cell's line (words), n_blocks, rounds, picks, stride and shift, and the columns in keep.
+    cell's line of words), the cell's line (words), n_blocks, rounds and picks, and the columns in keep.
 
-    `rounds` whole rounds are taken plus those blocks j of the line with (j * stride + shift) mod n_blocks < picks.
+    `rounds` whole rounds are taken plus the first `picks` blocks of the line.
     """
     spark = docs.sparkSession
     sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.regexp_count(text_of("text"), F.lit(WORD)).cast("long").alias("size"), *keep)
@@ -155,17 +138,17 @@ def mix(docs: DataFrame, plan: MixPlan = MixPlan(), keep: tuple[str, ...] = (),
     p = F.broadcast(p) if p.count() <= max_broadcast else p.hint("merge")
     joined = placed.join(p, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_shard") == F.col("_cell")))
     taken = F.when(F.col("size") > 0, F.col("rounds") * F.col("size") + F.when(F.col("picks") > 0, _picked_words()).otherwise(0)).otherwise(0)
-    return joined.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "start", "line", "n_blocks", "rounds", "picks", "stride", "shift", *keep)
+    return joined.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "start", "line", "n_blocks", "rounds", "picks", *keep)
 
 
 def apply_mix(docs: DataFrame, plan: MixPlan = MixPlan()) -> DataFrame:
-    """The mix itself, with the columns of docs: each document once for every whole round, and once more with only
-    the words of its blocks of the last round (their white space kept) if there are any. n_chars, if there, is the new length."""
+    """The mix itself, with the columns of docs: each document once for every whole round, and once more if the last
+    round takes it; the one that this round ends in has its first words only. n_chars, if there, is the new length."""
     mixed = mix(docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("_row")), plan, keep=("_row",))
     text = F.col("_row.text")
     pieces = F.regexp_extract_all(text_of(text), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
-    chosen = F.filter(pieces, lambda w, i: _picked(_block_at(F.col("start") + i)))
-    partial = F.when((F.col("picks") > 0) & (F.col("size") > 0), F.array_join(chosen, ""))
+    words = F.col("taken") - F.col("rounds") * F.col("size")
+    partial = F.when((F.col("size") > 0) & (words == F.col("size")), text).when(words > 0, F.array_join(F.slice(pieces, F.lit(1), words.cast("int")), ""))
     whole = F.when(F.col("size") > 0, F.array_repeat(text, F.col("rounds").cast("int"))).otherwise(F.array().cast("array<string>"))
     texts = F.concat(whole, F.filter(F.array(partial), lambda t: t.isNotNull() & (t != F.lit(""))))
     out = mixed.withColumn("_texts", texts).withColumn("_text", F.explode("_texts"))

@@ -309,6 +309,15 @@ def test_op10_more_cells_than_the_driver_takes(spark, monkeypatch):
     assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.mix(docs, max_broadcast=0).collect()))
 
 
+def test_op10_documents_stay_whole(spark):
+    text = "concat_ws(' ', transform(sequence(1, int(100 + id % 300)), i -> concat('d', id, 'w', i))) || '\n'"
+    docs = spark.range(2000).selectExpr("id AS doc_id", f"{text} AS text", "if(id % 10 = 0, 'small', 'hot') AS source", "id AS n_chars")
+    whole = {r.doc_id: r.text for r in docs.collect()}
+    cut = [r for r in mixing.apply_mix(docs).collect() if r.text != whole[r.doc_id]]
+    assert all(whole[r.doc_id].startswith(r.text) and whole[r.doc_id][len(r.text)] == " " and r.n_chars == len(r.text) for r in cut)
+    assert 0 < len(cut) <= 2 * mixing.MixPlan().min_shards  # one for each source and shard at most
+
+
 CLASH = "doc_id long, text string, lang string, source string, n_chars long, n_words int, slot int, kept boolean, _row int, h int, size int, _quality string"
 LONG = "very long text of words " * 4000
 
