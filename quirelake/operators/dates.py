@@ -42,7 +42,7 @@ BASE_SCORES = {
 PROXIMITY, CLOSE = 64, 16
 SAME_LINE, CLOSE_LABEL, ADJACENT_LINE = 0.04, 0.04, 0.03
 GENERIC_PENALTY, AMBIGUOUS_PENALTY, FUTURE_PENALTY, COMPACT_PENALTY = 0.15, 0.15, 0.55, 0.10
-MIN_SCORE, TIE_TOLERANCE, FUTURE_DAYS, CONTEXT, MAX_CANDIDATES = 0.75, 0.01, 14, 160, 500
+MIN_SCORE, TIE_TOLERANCE, FUTURE_DAYS, CONTEXT = 0.75, 0.01, 14, 160
 #: Words that mark a line's digits as an identifier.
 IDENTIFIER_HINTS = ("number", "barcode", "serial", "رقم", "patient number", "national", "code", "identifier")
 

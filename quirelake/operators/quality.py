@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .archive import is_minor
+
 #: Limits of texts, candidates, pages and files; file kinds with their first bytes, last bytes and extensions.
 MAX_PAGE_TEXT, MAX_DOCUMENT_TEXT, MAX_CANDIDATES, MAX_PAGES, MAX_FILE = 100_000, 2_000_000, 500, 250, 25 * 1024 * 1024
 FILE_KINDS = {
@@ -22,6 +24,12 @@ def unique(df: DataFrame, keys: list[str], rule: str, where: Column | None = Non
     return rows.groupBy(*keys).agg(F.count("*").alias("rows")).where("rows > 1").select(F.lit(rule).alias("rule"), *keys, "rows")
 
 
+def too_many(df: DataFrame, keys: list[str], rule: str, limit: int, where: Column | None = None) -> DataFrame:
+    """Keys that more than limit rows have: rule, the keys, rows."""
+    rows = df if where is None else df.where(where)
+    return rows.groupBy(*keys).agg(F.count("*").alias("rows")).where(F.col("rows") > limit).select(F.lit(rule).alias("rule"), *keys, "rows")
+
+
 def bad_rows(df: DataFrame, rule: str, good: Column) -> DataFrame:
     """Rows for which a condition doesn't hold; unknown counts as holding."""
     return df.where(~F.coalesce(good, F.lit(True))).withColumn("rule", F.lit(rule))
@@ -116,6 +124,9 @@ RULES: dict[str, Callable[[DataFrame], DataFrame]] = {
     "email_once": lambda d: unique(d.withColumn("email", F.lower("email")), ["email"], "email_once"),
     "country_code": lambda d: bad_rows(d, "country_code", F.col("nationality").rlike("^[A-Z]{2}$")),
     "born_before_today": lambda d: bad_rows(d, "born_before_today", F.col("date_of_birth") <= F.current_date()),
+    "owner_adult": lambda d: bad_rows(d, "owner_adult", F.col("user_uuid").isNull() | ~is_minor(F.col("date_of_birth"), F.current_date())),
+    "candidates_per_document": lambda d: too_many(d, ["document_uuid"], "candidates_per_document", MAX_CANDIDATES, F.col("is_current")),
+    "pages_per_document": lambda d: too_many(d, ["document_uuid"], "pages_per_document", MAX_PAGES),
     "page_text_size": lambda d: bad_rows(d, "page_text_size", F.length("text") <= MAX_PAGE_TEXT),
     "document_text_size": lambda d: bad_rows(d, "document_text_size", F.length("text") <= MAX_DOCUMENT_TEXT),
 }

@@ -349,3 +349,12 @@ def test_queues(spark):
     df = spark.createDataFrame([("q", "a", 1), ("q", "b", 2), ("r", "c", 1)], "queue string, document_uuid string, created_at int")
     assert rows(archive.next_pending(df), "document_uuid", "next_uuid") == [("a", "b"), ("b", "a"), ("c", None)]
     assert audit.audit_counts(df, "queue").count() == 2
+
+
+def test_quality_limits_and_adult_owner(spark):
+    candidates = spark.range(1503).selectExpr("if(id < 501, 'a', if(id < 1001, 'b', 'c')) AS document_uuid", "id < 1100 AS is_current")
+    assert rows(quality.violations(candidates, "candidates_per_document")) == [("candidates_per_document", "a", 501)]
+    pages = spark.range(501).selectExpr("if(id < 251, 'a', 'b') AS document_uuid", "id AS page_number")
+    assert rows(quality.violations(pages, "pages_per_document")) == [("pages_per_document", "a", 251)]
+    people = spark.range(1).selectExpr("explode(array('u', null)) AS user_uuid").selectExpr("user_uuid", "explode(array(add_months(current_date(), -216), add_months(current_date(), -216) + 1, null)) AS date_of_birth")
+    assert [(r.user_uuid, r.rule) for r in quality.violations(people, "owner_adult").collect()] == [("u", "owner_adult")]
