@@ -5,11 +5,14 @@ doc_id, part (the range), start (inside the part), n_tokens and ids. Row groups
 small and the footer has page indexes, so a reader of some documents or only of the metadata skips
 the rest. The range bounds and a running sum in each part give every document's place in the whole.
 
-A text is encoded word by word, as its tokenizer never joins across ASCII white space; a worker
-keeps the ids of words that it has seen (up to CACHE words, then it starts anew). ASCII words are
-put in lower case first, so fewer are distinct; not so where the tokenizer looks at the raw text:
-words with other characters, which it composes before it lower-cases, and texts that hold a special
-token in any case. That gives the same ids as encoding the whole text.
+A text is encoded word by word, as its tokenizer never joins across ASCII white space. Arrow splits
+a batch of texts and numbers its distinct words; ASCII words are put in lower case and the signs at
+a word's end count as a word of their own, so fewer are distinct; not so where the tokenizer
+looks at the raw text: words with other characters, which it composes before it lower-cases, and
+words that may hold a special token. Words of Latin letters alone need its merges and nothing else
+of it. Only the distinct words of a batch are looked up in Python; a
+worker keeps the ids of words that it has seen (up to CACHE words, then it starts anew). That gives
+the same ids as encoding the whole text.
 
 Rows: a null or empty text is the end id alone; a null doc_id comes first; rows that repeat a doc_id
 lie side by side, in order of a hash of the text; an empty table gives an empty result. Further
@@ -20,10 +23,12 @@ from __future__ import annotations
 
 import os
 import re
+import string
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,50 +37,53 @@ from .common import parallelism, read_table, scratch, text_of
 
 END_ID = 2
 CACHE = 800_000
-CHUNK = 256
+CHUNK = 1024
 TOKENS = "doc_id long, part int, start long, n_tokens int, ids array<int>"
-#: Letters below this code point lower-case and classify alike everywhere; others go to the tokenizer whole.
-_LATIN_END = "ɐ"
-_STOP = re.compile(rb"(?<=[a-z])([.,])(?![^ \t-\r])")
-#: A capital that may compose with the mark after it where its small letter doesn't, or the reverse.
-_CAPITAL = re.compile(rb"[A-Z][\x80-\xff]")
+#: Latin letters that compose with nothing before them and have one letter as their lower case.
+_LETTERS = r"A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F"
+_is_plain = re.compile(f"[{_LETTERS}]+").fullmatch
+#: ASCII signs after such a letter, up to the word's end: a run of their own for the tokenizer.
+_SIGNS = r"[%s](?P<signs>[!-/:-@\[-`{-~]+)$" % re.sub(r"\\u(....)", r"\\x{\1}", _LETTERS)
+#: A special token begins with this; words that hold it are left to the tokenizer as they are.
+_SPECIAL = "<|"
 
 
 class _Index(dict):
     """Numbers words as they come; `new` lists those that have no ids yet."""
 
     def __init__(self):
-        self.new: list[bytes] = []
+        self.new: list[str] = []
 
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: str) -> int:
         self[word] = n = len(self)
         self.new.append(word)
         return n
 
 
-def _is_plain(word: str) -> bool:
-    """Letters only, of those that every library classifies alike: one run for the tokenizer."""
-    return word.isalpha() and max(word) < _LATIN_END
-
-
 class WordEncoder:
     """Ids of white-space separated words by a tokenizers file, each distinct word encoded once."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has as many tasks as cores
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merger = Tokenizer.from_file(path)
+        self.merger.normalizer = normalizers.Lowercase()
+        self.merger.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.merger.model._resize_cache(0)  # each word comes once
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
-        self.special = [w.encode().lower() for w in self.tokenizer.get_added_tokens_decoder().values() for w in [w.content]]
+        if not all(_SPECIAL in w.content for w in self.tokenizer.get_added_tokens_decoder().values()):
+            raise ValueError(f"a special token without {_SPECIAL}")
         self.reset()
 
     def reset(self) -> None:
         self.index = _Index()
         self.flat, self.used = np.empty(1 << 16, np.int32), 0
         self.offset, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-        self._store(np.array([self.index[b""]]), np.array([END_ID], np.int32), np.array([1]))  # no word is empty: the end's place
+        # no word holds white space: the end's place; the empty word has no ids
+        self._store(np.array([self.index[" "], self.index[""]]), np.array([END_ID], np.int32), np.array([1, 0]))
         self.index.new.clear()
 
     def _store(self, numbers: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
@@ -91,11 +99,10 @@ class WordEncoder:
         """Encode the new words: plain ones in lines, cut again where a word's last piece stands; the others one by one."""
         new, self.index.new = self.index.new, []
         first = len(self.index) - len(new)
-        texts = [w.decode() for w in new]
-        plain = [i for i, w in enumerate(texts) if _is_plain(w)]
-        odd = sorted(set(range(len(texts))).difference(plain))
+        plain = [i for i, w in enumerate(new) if _is_plain(w)]
+        odd = sorted(set(range(len(new))).difference(plain))
         lines = [plain[i : i + 200] for i in range(0, len(plain), 200)]
-        for line, got in zip(lines, self.tokenizer.encode_batch_fast([" ".join([texts[i] for i in x]) for x in lines], add_special_tokens=False)):
+        for line, got in zip(lines, self.merger.encode_batch_fast([" ".join([new[i] for i in x]) for x in lines], add_special_tokens=False)):
             ids = np.array(got.ids, np.int32)
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) != len(line) or stops[-1] != len(ids):  # a word isn't one run of pieces
@@ -104,36 +111,50 @@ class WordEncoder:
                 self._store(np.array(line) + first, ids, np.diff(stops, prepend=0))
         for at in range(0, len(odd), 1000):
             some = odd[at : at + 1000]
-            got = [x.ids for x in self.tokenizer.encode_batch_fast([texts[i] for i in some], add_special_tokens=False)]
+            got = [x.ids for x in self.tokenizer.encode_batch_fast([new[i] for i in some], add_special_tokens=False)]
             self._store(np.array(some) + first, np.array([t for ids in got for t in ids], np.int32), np.array([len(ids) for ids in got]))
 
-    def words(self, text: bytes) -> list[bytes]:
-        """Words that encode apart: ASCII in lower case, a stop or comma that ends a word of letters on its own."""
-        low = text.lower()
-        if any(x in low for x in self.special):
-            return text.split()
-        if _CAPITAL.search(text):
-            low = b" ".join([w.lower() if w.isascii() else w for w in text.split()])
-        return _STOP.sub(rb" \1", low).split()
-
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def _numbers(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of words' stems and of the signs after them (the empty word's if there are none)."""
+        raw = pc.or_(pc.invert(pc.string_is_ascii(words)), pc.match_substring(words, _SPECIAL))
+        low = pc.if_else(raw, words, pc.ascii_lower(words))
+        signs = pc.fill_null(pc.struct_field(pc.extract_regex(low, _SIGNS), 0), "")
+        signs = pc.if_else(pc.match_substring(words, _SPECIAL), "", signs)
+        stems = pc.if_else(pc.equal(signs, ""), low, pc.utf8_rtrim(low, string.punctuation)).dictionary_encode()
+        number = self.index.__getitem__
+        return tuple(np.fromiter(map(number, x.dictionary.to_numpy(zero_copy_only=False)), np.int64, len(x.dictionary))[x.indices.to_numpy()] for x in (stems, signs.dictionary_encode()))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with the end id, and the number of ids of each."""
-        if not texts:
+        if not len(texts):
             return np.empty(0, np.int32), np.empty(0, np.int64)
         if len(self.index) > CACHE:
             self.reset()
-        number, at, words = self.index.__getitem__, [], []
-        for text in texts:
-            split = self.words(text)
-            words.append(np.fromiter(map(number, split), np.int64, len(split)))
-            words.append(np.zeros(1, np.int64))
-            at.append(len(split) + 1)
+        split = pc.ascii_split_whitespace(texts)
+        words = split.flatten().dictionary_encode()
+        pair = np.stack([*self._numbers(words.dictionary)], axis=1) if len(words.dictionary) else np.zeros((0, 2), np.int64)
         self._learn()
-        flat = np.concatenate(words)
-        length = self.length[flat]
+        # the ids of each distinct word, then of the end, side by side
+        pieces = np.append(pair.ravel(), [0, 1])
+        ids, ends = self._gather(pieces)
+        ends = ends[1::2]
+        length = np.diff(ends, prepend=0)
+        # the texts' words with an end after each text
+        edges = split.offsets.to_numpy().astype(np.int64)
+        edges -= edges[0]
+        flat = np.full(edges[-1] + len(texts), len(length) - 1)
+        after = np.ones(len(flat), bool)
+        after[edges[1:] + np.arange(len(texts))] = False
+        flat[after] = words.indices.to_numpy()
+        many, begin = length[flat], (ends - length)[flat]
+        last = np.cumsum(many)
+        return ids[np.repeat(begin - last + many, many) + np.arange(last[-1])], np.diff(last[~after], prepend=0)
+
+    def _gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these numbers' words, and where each one's ids end."""
+        length = self.length[numbers]
         ends = np.cumsum(length)
-        ids = self.flat[np.repeat(self.offset[flat] - ends + length, length) + np.arange(ends[-1])]
-        return ids, np.diff(ends[np.cumsum(at) - 1], prepend=0)
+        return self.flat[np.repeat(self.offset[numbers] - ends + length, length) + np.arange(ends[-1])], ends
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -155,7 +176,7 @@ def _encode(path: str):
         for batch in batches:
             for at in range(0, batch.num_rows, CHUNK):
                 rows = batch.slice(at, CHUNK)
-                ids, lengths = encoder.encode(rows.column(1).cast(pa.binary()).to_pylist())
+                ids, lengths = encoder.encode(rows.column(1))
                 starts = start + np.cumsum(lengths) - lengths
                 start += int(lengths.sum())
                 columns = [rows.column(0), pa.array([part] * rows.num_rows, pa.int32()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int32()), _lists(ids, lengths)]

@@ -3,10 +3,12 @@
 import collections
 import math
 import re
+import string
 import zlib
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,7 +114,7 @@ def test_op5_words_encode_apart():
     P = pytest.importorskip("public_tokenizers")
     e = token_output.WordEncoder(str(P.path("word_bpe_49k.json")))
     hard = ["İstanbul. ΑΣ. ΟΔΟΣ, x", "don't it's WE'LL 3.14 a1b2 ###, <|endoftext|> a<|endoftext|>b <|ENDOFTEXT|>", "", "é ́a\xa0 x y\x1cz\x85w", "日本語。 ÀÉ. ß, ŉ. ǅ.", "Ⅷ. ªº. 'S 'Tx", "K. ſ, ..", "a" * 50_000]
-    ids, n = e.encode([h.encode() for h in hard])
+    ids, n = e.encode(pa.array(hard))
     ends = np.cumsum([0, *n])
     for i, h in enumerate(hard):
         assert ids[ends[i] : ends[i + 1]].tolist() == [*e.tokenizer.encode(h, add_special_tokens=False).ids, 2]
@@ -125,7 +127,26 @@ def test_op5_raw_text_decides(text):
     # one text to an encoder: what it has seen before can't help
     P = pytest.importorskip("public_tokenizers")
     e = token_output.WordEncoder(str(P.path("word_bpe_49k.json")))
-    assert e.encode([text.encode()])[0].tolist() == [*e.tokenizer.encode(text, add_special_tokens=False).ids, 2]
+    assert e.encode(pa.array([text]))[0].tolist() == [*e.tokenizer.encode(text, add_special_tokens=False).ids, 2]
+
+
+def test_op5_letters_and_signs():
+    # every letter that is merged without the tokenizer's own rules, and every sign after a letter
+    P = pytest.importorskip("public_tokenizers")
+    e = token_output.WordEncoder(str(P.path("word_bpe_49k.json")))
+    letters = [chr(c) for c in range(0x260) if chr(c).isalpha()]
+    texts = [f"{c} a{c}b x{c}{c.upper()}{c}." for c in letters] + [f"a{a}{b} \u00e9{b}{a} 7{a} \u4e2d{b}" for a in string.punctuation for b in string.punctuation]
+    ids, n = e.encode(pa.array(texts))
+    ends = np.cumsum([0, *n])
+    for i, t in enumerate(texts):
+        assert ids[ends[i] : ends[i + 1]].tolist() == [*e.tokenizer.encode(t, add_special_tokens=False).ids, 2], t
+    assert sum(map(bool, map(token_output._is_plain, letters))) > 400
+
+
+def test_op5_empty_table(spark, tmp_path):
+    P = pytest.importorskip("public_tokenizers")
+    token_output.write_tokens(spark.createDataFrame([], "doc_id long, text string"), str(P.path("word_bpe_49k.json")), str(tmp_path / "t"))
+    assert token_output.checksums(token_output.read_tokens(spark, str(tmp_path / "t"))).count() == 0
 
 
 def test_op1_passage_of_two_documents(spark):
