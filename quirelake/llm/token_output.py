@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 from .common import parallelism, read_table, scratch, text_of
 
 END_ID = 2
-CACHE = 800_000
-CHUNK = 1024
+CACHE = 400_000
+CHUNK = 512
 TOKENS = "doc_id long, part int, start long, n_tokens int, ids array<int>"
 #: Latin letters that compose with nothing before them and have one letter as their lower case.
 _LETTERS = r"A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F"
@@ -102,15 +102,16 @@ class WordEncoder:
         plain = [i for i, w in enumerate(new) if _is_plain(w)]
         odd = sorted(set(range(len(new))).difference(plain))
         lines = [plain[i : i + 200] for i in range(0, len(plain), 200)]
-        for line, got in zip(lines, self.merger.encode_batch_fast([" ".join([new[i] for i in x]) for x in lines], add_special_tokens=False)):
+        encoded = (x for at in range(0, len(lines), 50) for x in self.merger.encode_batch_fast([" ".join([new[i] for i in x]) for x in lines[at : at + 50]], add_special_tokens=False))
+        for line, got in zip(lines, encoded):
             ids = np.array(got.ids, np.int32)
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) != len(line) or stops[-1] != len(ids):  # a word isn't one run of pieces
                 odd += line
             else:
                 self._store(np.array(line) + first, ids, np.diff(stops, prepend=0))
-        for at in range(0, len(odd), 1000):
-            some = odd[at : at + 1000]
+        for at in range(0, len(odd), 200):
+            some = odd[at : at + 200]
             got = [x.ids for x in self.tokenizer.encode_batch_fast([new[i] for i in some], add_special_tokens=False)]
             self._store(np.array(some) + first, np.array([t for ids in got for t in ids], np.int32), np.array([len(ids) for ids in got]))
 
@@ -148,13 +149,20 @@ class WordEncoder:
         flat[after] = words.indices.to_numpy()
         many, begin = length[flat], (ends - length)[flat]
         last = np.cumsum(many)
-        return ids[np.repeat(begin - last + many, many) + np.arange(last[-1])], np.diff(last[~after], prepend=0)
+        return ids[_spread(begin - last + many, many)], np.diff(last[~after], prepend=0)
 
     def _gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of these numbers' words, and where each one's ids end."""
         length = self.length[numbers]
         ends = np.cumsum(length)
-        return self.flat[np.repeat(self.offset[numbers] - ends + length, length) + np.arange(ends[-1])], ends
+        return self.flat[_spread(self.offset[numbers] - ends + length, length)], ends
+
+
+def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Each start so many times as its length, plus 0, 1, 2 and so on over all."""
+    out = np.repeat(starts.astype(np.int32), lengths)
+    out += np.arange(len(out), dtype=np.int32)
+    return out
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
