@@ -221,6 +221,78 @@ def test_op8_held_out_accuracy(spark):
     assert accuracy(spark, "op8_quality_classifier", "quality") > 0.9
 
 
+def test_op7_ratios_and_training_by_hand(spark):
+    """The model of a small table against counts, ratios and AdaGrad steps in plain Python, run by run."""
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("abcdeé"), 4)) for _ in range(14)]
+    rows = [(i, " ".join(rng.choice(words[: 10 if i % 3 else 14], 30)) + " grim" * (i % 3 == 0), int(i % 3 == 0)) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = {r.doc_id: r.score for r in toxicity.classify(df, df, F.lit(True)).collect()}
+
+    def runs(text):
+        line = f" {' '.join(text.lower().split())} "
+        return collections.Counter(line[i : i + n] for n in (3, 4, 5) for i in range(len(line) - n + 1))
+
+    counts = {0: collections.Counter(), 1: collections.Counter()}
+    having = collections.Counter()
+    for _, t, y in rows:
+        counts[y].update(runs(t))
+        having.update(set(runs(t)))
+    size = 1 << toxicity.BITS
+    total = [sum(counts[y].values()) + size for y in (0, 1)]
+    ratio = {g: math.log((counts[1][g] + 1) / total[1]) - math.log((counts[0][g] + 1) / total[0]) for g in having if having[g] >= toxicity.MIN_TEXTS}
+    ratio = {g: r for g, r in ratio.items() if r >= toxicity.MIN_RATIO}
+    order = sorted(rows, key=lambda r: (linear.hash_of(r[1].encode()), r[2]))
+    w, square, b, bs = collections.defaultdict(float), collections.defaultdict(lambda: 1.0), 0.0, 1.0
+    values = {i: {g: math.log1p(n) * ratio[g] for g, n in runs(t).items() if g in ratio} for i, t, _ in rows}
+    for epoch in range(toxicity.EPOCHS):
+        for k in np.random.default_rng(epoch).permutation(len(order)):
+            i, _, y = order[k]
+            error = 1 / (1 + math.exp(-(b + sum(w[g] * x for g, x in values[i].items())))) - y
+            for g, x in values[i].items():
+                square[g] += (error * x) ** 2
+                w[g] -= toxicity.RATE * error * x / math.sqrt(square[g])
+            bs += error * error
+            b -= toxicity.RATE * error / math.sqrt(bs)
+    for i, _, _ in rows:
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-(b + sum(w[g] * x for g, x in values[i].items())))), rel=1e-4)
+
+
+def test_op8_follows_the_regularised_leader_by_hand(spark):
+    """The model of a small table against FTRL-proximal in plain Python, coordinate by coordinate."""
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join(rng.choice(["oak", "elm", "ash", "fir", "yew", "###"][: 5 if i % 4 else 6], 12)) + "!" * (i % 4 == 0), int(i % 4 > 0)) for i in range(48)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    got = {r.doc_id: r.score for r in quality_classifier.classify(df, df, F.lit(True)).collect()}
+    Q8 = quality_classifier
+
+    def grams(text):
+        t = re.findall(r"[A-Za-z0-9]+|[^A-Za-z0-9\s]+", text)
+        return {*t, *((a, b) if a != b else "same" for a, b in zip(t, t[1:]))}
+
+    order = sorted(rows, key=lambda r: (linear.hash_of(r[1].encode()), r[2]))
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+    ones = sum(y for _, _, y in rows)
+    weight = {1: 1.0, 0: ones / (len(rows) - ones)}
+
+    def value(g):
+        l1 = 0.0 if g == "bias" else Q8.L1
+        return 0.0 if abs(z[g]) <= l1 else -(z[g] - math.copysign(l1, z[g])) / ((Q8.BETA + math.sqrt(n[g])) / Q8.ALPHA + Q8.L2)
+
+    def predict(text):
+        return 1 / (1 + math.exp(-sum(value(g) for g in [*grams(text), ("bias")])))
+
+    for epoch in range(Q8.EPOCHS):
+        for k in np.random.default_rng(epoch).permutation(len(order)):
+            _, t, y = order[k]
+            step = weight[y] * (predict(t) - y)
+            for g, v in [(g, value(g)) for g in [*grams(t), "bias"]]:
+                z[g] += step - (math.sqrt(n[g] + step * step) - math.sqrt(n[g])) / Q8.ALPHA * v
+                n[g] += step * step
+    for i, t, _ in rows:
+        assert got[i] == pytest.approx(predict(t), rel=1e-4)
+
+
 def brute_components(docs):
     sets = {d: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := words(t)) else set() for d, t in docs.items()}
     root = {d: d for d in docs}
