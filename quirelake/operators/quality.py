@@ -109,6 +109,7 @@ RULES: dict[str, Callable[[DataFrame], DataFrame]] = {
     "suggestion_per_page": lambda d: unique(d, ["document_uuid", "page_number"], "suggestion_per_page", F.col("is_current") & F.col("is_suggested")),
     "candidate_score": lambda d: bad_rows(d, "candidate_score", in_unit("score")),
     "extraction_once": lambda d: unique(d, ["document_uuid", "page_number", "pipeline_version"], "extraction_once"),
+    "extraction_confidence": lambda d: bad_rows(d, "extraction_confidence", in_unit("confidence")),
     "lab_row": lambda d: bad_rows(d, "lab_row", (F.col("page_number") >= 1) & (F.col("row_index") >= 0) & in_unit("extraction_confidence")),
     "facility_region": lambda d: bad_rows(d, "facility_region", F.col("city").isNull() | F.col("region").isNotNull()),
     "facility_once": lambda d: unique(d, ["country", "city", "normalized_name"], "facility_once"),

@@ -11,32 +11,12 @@ from ..functions import text as T
 from ..operators import archive, audit, dates, evaluate, identity, labs, narrative, quality, relations, rollup, search, series, text_quality
 from ..streaming import streams
 from . import driver_tables as D
+from .register import ORACLE_SQL, QUERIES, query  # noqa: F401
 
 KEY = b"archive-demo-key"
 TODAY = date(2001, 8, 2)
 NOW = 1_706_659_200
 DAY = 86_400
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None, days: tuple[str, ...] = ()):
-    """Register a query with its oracle; columns in `days` are dates, which both sides give as text."""
-
-    def add(f):
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(spark, sf_dir).withColumns({c: F.col(c).cast("string") for c in days})
-
-        run.__name__, run.__doc__ = f.__name__, f.__doc__
-        QUERIES[f.__name__] = run
-        if sql:
-            texts = ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in days)
-            ORACLE_SQL[f.__name__] = f"SELECT * REPLACE ({texts}) FROM ({sql})" if days else sql
-        return run
-
-    return add
-
-
 def stamp(column: str):
     return F.date_format(column, "yyyy-MM-dd HH:mm:ss").alias(column)
 
@@ -537,3 +517,7 @@ def dq_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     regions = D.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("uuid"), F.col("n_regionkey").cast("int").alias("country"))
     cities = regions.select("uuid", F.col("country").alias("region")).where("false")
     return quality.hierarchy(placed, regions, cities)
+
+
+# the other families register themselves
+from . import checks, people, sinks, states  # noqa: E402, F401
