@@ -7,6 +7,7 @@ Regular expressions carry (?U) where letters and digits of any script are meant.
 from __future__ import annotations
 
 import hashlib
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -172,15 +173,56 @@ def request_hash(*columns: Column) -> Column:
     return F.sha2(F.to_json(F.struct(*columns)), 256)
 
 
+#: The tokens of a JSON text; what isn't well formed is a token as it stands.
+_JSON_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"?|[{}\[\]:,]|\s+|[^\s{}\[\]:,"]+', re.S)
+
+
+def redact_json(text: str, keys: frozenset[str]) -> str:
+    """A JSON text with the values of the keys replaced, whatever they hold and however deep they stand; the rest as it is."""
+    tokens, out, i = _JSON_TOKEN.findall(text), [], 0
+    while i < len(tokens):
+        token = tokens[i]
+        out.append(token)
+        i += 1
+        if not token.startswith('"') or _json_key(token) not in keys:
+            continue
+        colon = next((j for j in range(i, len(tokens)) if not tokens[j].isspace()), len(tokens))
+        if colon == len(tokens) or tokens[colon] != ":":
+            continue
+        out.append(f':"{REDACTED}"')
+        i, depth, begun = colon + 1, 0, False
+        while i < len(tokens) and not (begun and depth == 0):
+            depth += (tokens[i] in "{[") - (tokens[i] in "}]")
+            begun |= not tokens[i].isspace()
+            i += 1
+    return "".join(out)
+
+
+def _json_key(token: str) -> str:
+    import json
+
+    try:
+        return json.loads(token, strict=False)
+    except ValueError:
+        return token
+
+
 def redact(column: Column, keys: tuple[str, ...] = SENSITIVE_KEYS) -> Column:
-    """A JSON object with the values of sensitive keys replaced, at any depth: texts, numbers, and one level of
-    objects and arrays inside such a value. White space between tokens goes with to-and-fro through the parser."""
-    names = "|".join(keys)
-    text = r'"(?:[^"\\\\]|\\\\.)*"'.replace("\\\\", "\\")
-    scalar = rf"{text}|-?[0-9.eE+-]+|true|false|null"
-    flat = rf"\[(?:[^\[\]{{}}\"]|{text})*\]|\{{(?:[^\[\]{{}}\"]|{text})*\}}"
-    deep = rf"\[(?:[^\[\]{{}}\"]|{text}|{flat})*\]|\{{(?:[^\[\]{{}}\"]|{text}|{flat})*\}}"
-    return F.regexp_replace(column, rf'"({names})"\s*:\s*(?:{scalar}|{flat}|{deep})', '"$1":"' + REDACTED.replace("[", r"\[") + '"')
+    """A JSON text with the values of sensitive keys replaced at any depth, in objects and arrays, whatever the value is.
+
+    Texts and numbers are replaced in the JVM; rows in which such a key has an object or an array, or in which a key may be
+    written with escapes, go through Python.
+    """
+    names, wanted = "|".join(keys), frozenset(keys)
+
+    @F.pandas_udf(StringType())
+    def nested(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: redact_json(t, wanted), na_action="ignore")
+
+    scalar = r'"(?:[^"\\]|\\.)*+"|-?[0-9.eE+-]+|true|false|null'
+    flat = F.regexp_replace(column, rf'"({names})"\s*:\s*(?:{scalar})', '"$1":"' + REDACTED.replace("[", r"\[") + '"')
+    deep = column.rlike(rf'"({names})"\s*:\s*[^\s"0-9tfn-]') | column.contains("\\u")
+    return F.when(deep, nested(F.when(deep, column))).otherwise(flat)
 
 
 def text_outcome(usable: Column) -> Column:

@@ -14,7 +14,7 @@ MAX_PAGE_TEXT, MAX_DOCUMENT_TEXT, MAX_CANDIDATES, MAX_PAGES, MAX_FILE = 100_000,
 FILE_KINDS = {
     "application/pdf": ("255044462D", "2525454F46", ("pdf",)),
     "image/jpeg": ("FFD8FF", "FFD9", ("jpg", "jpeg")),
-    "image/png": ("89504E470D0A1A0A", "49454E44AE426082", ("png",)),
+    "image/png": ("89504E470D0A1A0A", "0000000049454E44AE426082", ("png",)),
 }
 
 
@@ -55,13 +55,14 @@ def hierarchy(facilities: DataFrame, regions: DataFrame, cities: DataFrame) -> D
 
 def file_problems(blobs: DataFrame) -> DataFrame:
     """Files (uuid, name, mime, length, content) that are empty, too large, or not what their type and name say."""
-    head, tail = F.hex(F.substring("content", 1, 8)), F.hex(F.expr("substring(content, -8, 8)"))
+    head, tail = F.hex(F.substring("content", 1, 8)), lambda content: F.hex(F.substring(content, -12, 12))
+    trimmed = F.btrim(F.col("content"), F.lit(b" \t\n\r\x0b\x0c"))  # blanks may follow the end of a PDF, but not of an image
     suffix = F.lower(F.substring_index("name", ".", -1))
     kind_ok, name_ok, end_ok = F.lit(False), F.lit(False), F.lit(False)
     for mime, (first, last, names) in FILE_KINDS.items():
         own = F.col("mime") == mime
         kind_ok, name_ok = kind_ok | (own & head.startswith(first)), name_ok | (own & suffix.isin(*names))
-        end_ok = end_ok | (own & F.regexp_replace(tail, "(0A|0D|20)+$", "").endswith(last))
+        end_ok = end_ok | (own & tail(trimmed if mime == "application/pdf" else F.col("content")).endswith(last))
     rule = (
         F.when(F.col("length") == 0, "empty").when(F.col("length") > MAX_FILE, "too_large").when(~F.col("mime").isin(*FILE_KINDS), "unknown_type")
         .when(~name_ok, "extension").when(~kind_ok, "first_bytes").when(~end_ok, "end_marker")

@@ -109,7 +109,7 @@ def dq_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = list(quality.FILE_KINDS.items())
     pick = lambda values: F.get(F.array(*values), (F.col("c_custkey") % 3).cast("int"))
     head, tail = pick([F.lit(h) for _, (h, _, _) in kinds]), pick([F.lit(t) for _, (_, t, _) in kinds])
-    content = F.unhex(F.concat(F.when(segment == "FURNITURE", "0000000000000000").otherwise(head), F.hex(F.encode("c_name", "utf-8")), F.when(F.col("c_nationkey") < 5, "000000000000000000").otherwise(tail), F.lit("0D0A")))
+    content = F.unhex(F.concat(F.when(segment == "FURNITURE", "0000000000000000").otherwise(head), F.hex(F.encode("c_name", "utf-8")), F.when(F.col("c_nationkey") < 5, "000000000000000000").otherwise(tail), F.when(F.col("c_custkey") % 3 == 0, "0D0A20").otherwise("")))
     blobs = D.table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("uuid"), F.concat(F.lit("a.b."), F.when(segment == "MACHINERY", "exe").otherwise(F.upper(pick([F.lit(n[-1]) for _, (_, _, n) in kinds])))).alias("name"),
         F.when(segment == "BUILDING", "text/html").otherwise(pick([F.lit(m) for m, _ in kinds])).alias("mime"), F.when(balance < 0, 0).when(balance > 9900, quality.MAX_FILE + 1).otherwise(F.length(content)).alias("length"), content.alias("content"),

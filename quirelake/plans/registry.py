@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import archive, audit, dates, evaluate, identity, labs, narrative, quality, relations, rollup, search, series, text_quality
+from ..sources import io
 from ..streaming import streams
 from . import driver_tables as D
 from .register import ORACLE_SQL, QUERIES, query  # noqa: F401
@@ -419,11 +420,7 @@ def series_read(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _streamed(spark: SparkSession, sf_dir: str, aggregate) -> DataFrame:
     """The events table as a stream, through an aggregate in complete mode, to a table in the shared folder."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    out = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    out = io.scratch(spark, "stream")
     path = f"{sf_dir}/events.parquet"
     static = spark.read.parquet(path)
     stream = spark.readStream.schema(static.schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events*.parquet")

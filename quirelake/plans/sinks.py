@@ -1 +1,156 @@
-"""Sinks."""
+"""Queries that write tables, reports and streams to the shared folder and read them back, with their DuckDB SQL."""
+
+from __future__ import annotations
+
+from datetime import date
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import dates
+from ..sources import io
+from ..streaming import streams
+from . import driver_tables as D
+from .register import query
+
+TODAY = date(2001, 8, 2)
+NOW, DAY = 1_706_659_200, 86_400
+
+
+@query()
+def blob_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of one table as blobs: size and digest. Their paths aren't known to SQL."""
+    return io.read_blobs(spark, f"{sf_dir}/documents.parquet", "*.parquet").select("length", "content_sha256")
+
+
+@query("SELECT event_type AS service, 'used' AS metric, epoch(ts) AS ts, value FROM events UNION ALL SELECT event_type, 'total', epoch(ts), user_id FROM events")
+def metric_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as JSON payloads of two series, with a third that isn't asked for and a point without a time."""
+    at, value = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6, lambda c: F.col(c).cast("double")
+    point = lambda t, v: F.struct(t.alias("ts"), v.alias("value"))
+    one = lambda name, *points: F.struct(F.lit(name).alias("measurement"), F.array(*points).alias("values"))
+    lists = F.array(one("a", point(at, value("value")), point(F.lit(None).cast("double"), value("value"))), one("b", point(at, value("user_id"))), one("c", point(at, value("value"))))
+    payloads = D.table(spark, sf_dir, "events").select(F.col("event_type").alias("service"), F.to_json(lists).alias("payload"))
+    return io.read_metric_payload(payloads, ["used", "total"])
+
+
+@query("SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type AS action, count(*) AS n FROM events GROUP BY ALL")
+def log_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events written to an append-only log in two turns, and read back by day."""
+    path, rows = io.scratch(spark, "log"), D.events(spark, sf_dir)
+    for turn in (F.col("action") == "error", F.col("action") != "error"):
+        io.append_events(rows.where(turn), path)
+    return spark.read.parquet(path).groupBy(F.col("day").cast("string").alias("day"), "action").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey AS document_uuid, CASE WHEN o_orderstatus = 'F' THEN o_totalprice * 2 ELSE o_totalprice END AS score FROM orders UNION ALL SELECT o_orderkey, -o_totalprice FROM orders WHERE o_orderstatus <> 'F'")
+def versioned_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two candidates for each order, of which one status' orders get a new set of one."""
+    path, orders = io.scratch(spark, "versioned"), D.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("document_uuid"), F.col("o_totalprice").alias("score"), "o_orderstatus")
+    first = orders.select("document_uuid", "score").union(orders.select("document_uuid", F.negative("score")))
+    io.replace_current(first, path, F.lit("2024-01-01").cast("timestamp"))
+    io.replace_current(orders.where("o_orderstatus = 'F'").select("document_uuid", (F.col("score") * 2).alias("score")), path, F.lit("2024-01-02").cast("timestamp"))
+    current = io.latest_sets(spark.read.parquet(path), ["document_uuid"]).where("is_current").select("document_uuid", "score")
+    same = io.read_current(spark, path, ["document_uuid"]).select("document_uuid", "score")
+    return current.intersectAll(same)
+
+
+_KEPT = "FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'F' OR l_quantity > 25"
+
+
+@query(f"SELECT l_orderkey AS document_uuid, l_linenumber AS page_number, l_quantity AS result, 'v1' AS pipeline_version {_KEPT} UNION ALL SELECT l_orderkey, l_linenumber, l_quantity, 'v2' FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'P'")
+def results_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of all orders; one status' are replaced by fewer, twice, and another version's rows lie beside them."""
+    path, orders = io.scratch(spark, "results"), D.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("document_uuid"), "o_orderstatus")
+    rows = D.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("document_uuid"), F.col("l_linenumber").alias("page_number"), F.col("l_quantity").alias("result")).join(orders, "document_uuid")
+    results = rows.drop("o_orderstatus")
+    io.replace_results(results, path, "v1", buckets=16)
+    for _ in range(2):
+        io.replace_results(rows.where("o_orderstatus = 'F' AND result > 25").drop("o_orderstatus"), path, "v1", orders.where("o_orderstatus = 'F'"), buckets=16)
+    io.replace_results(rows.where("o_orderstatus = 'P'").drop("o_orderstatus"), path, "v2", buckets=16)
+    return spark.read.parquet(path).select("document_uuid", "page_number", "result", "pipeline_version")
+
+
+@query(f"WITH {D.SERIES} SELECT service, metric, ts, value FROM series WHERE ts >= {NOW} - {20 * DAY} - 60")
+def series_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = io.scratch(spark, "series")
+    for _ in range(2):
+        io.replace_series(D.points(spark, sf_dir), path, NOW, 20 * DAY)
+    return spark.read.parquet(path)
+
+
+@query("SELECT kind, o_orderpriority AS layout, count(*) AS n FROM orders, (VALUES ('csv'), ('json')) k(kind) GROUP BY ALL UNION ALL SELECT 'text', 'layout=' || o_orderpriority || chr(9) || 'n=' || count(*), NULL FROM orders GROUP BY o_orderpriority")
+def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report as CSV, JSON and text, read back."""
+    path = io.scratch(spark, "reports")
+    rows = D.table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("layout")).agg(F.count("*").alias("n"), F.max("o_totalprice").alias("most"))
+    for kind in ("csv", "json", "text"):
+        io.write_report(rows, f"{path}/{kind}", kind, ["layout", "n"] if kind != "json" else None)
+    read = {"csv": spark.read.option("header", True).csv(f"{path}/csv"), "json": spark.read.json(f"{path}/json"), "text": spark.read.text(f"{path}/text").select(F.col("value").alias("layout"), F.lit(None).cast("long").alias("n"))}
+    parts = [df.select(F.lit(kind).alias("kind"), "layout", F.col("n").cast("long").alias("n")) for kind, df in read.items()]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+@query("SELECT 'documents' AS name, count(*) AS n FROM orders WHERE o_orderstatus <> 'P' UNION ALL SELECT 'pages', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')")
+def cascade_purge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of documents and pages once one status' documents are gone."""
+    docs = D.documents(spark, sf_dir)
+    left = io.purge({"documents": docs, "pages": D.pages(spark, sf_dir)}, docs.where("archive_status = 'DELETED'"))
+    parts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, df in left.items()]
+    return parts[0].union(parts[1])
+
+
+@query("SELECT o_orderkey AS uuid FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 500")
+def integrity_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first five hundred files to be verified."""
+    files = D.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("uuid"), F.col("o_orderdate").alias("created_at"), F.col("o_custkey").alias("patient_uuid"))
+    return io.scan_files(files, limit=500).select("uuid")
+
+
+# streams
+
+
+def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream of files."""
+    static = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.readStream.schema(static.schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/{name}*.parquet")
+
+
+def _points(events: DataFrame) -> DataFrame:
+    ts = F.unix_seconds(F.col("ts").cast("timestamp"))
+    return events.select(F.col("event_type").alias("service"), F.concat(F.lit("m"), F.pmod("user_id", F.lit(10)).cast("string")).alias("metric"), ts.alias("ts"), "value", F.col("event_id").alias("arrival"))
+
+
+@query(f"WITH {D.SERIES} SELECT service, metric, ts, value FROM series WHERE ts >= (SELECT max(ts) FROM points) - {5 * DAY}")
+def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last value of each second over the retention, from the points as a stream."""
+    path = io.scratch(spark, "points")
+    streams.dedupe_stream(_points(_stream(spark, sf_dir, "events")), 5 * DAY, path, f"{path}-state")
+    return spark.read.parquet(path).select("service", "metric", "ts", "value")
+
+
+@query(f"WITH {D.SERIES}, w AS (SELECT * FROM series WHERE ts >= {NOW - 3 * DAY}) SELECT service, metric, arg_max(value, ts) AS current, max(value) AS peak FROM w GROUP BY ALL")
+def stream_live_peak(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Current value and peak over a trailing window of what the stream has kept."""
+    path = io.scratch(spark, "points")
+    streams.dedupe_stream(_points(_stream(spark, sf_dir, "events")), 40 * DAY, path, f"{path}-state")
+    return streams.live_current_peak(spark.read.parquet(path), 3 * DAY, F.lit(NOW))
+
+
+@query(f"""WITH {D.SERIES}, r AS (SELECT *, ts - lag(ts) OVER w AS dt, value - lag(value) OVER w AS dv FROM series WINDOW w AS (PARTITION BY service, metric ORDER BY ts))
+SELECT service, metric, ts, round(greatest(0.0, dv / dt * 1024), 6) AS value FROM r WHERE dt > 0""")
+def stream_counter_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates from the state that a stream keeps of each series."""
+    path = io.scratch(spark, "rates")
+    streams.run(streams.stream_rates(_points(_stream(spark, sf_dir, "events"))), f"{path}-state", lambda df, n: df.write.mode("overwrite").parquet(f"{path}/{n}"))
+    return spark.read.schema(streams.POINT).parquet(f"{path}/*").withColumn("value", F.round("value", 6))
+
+
+@query("SELECT o_orderkey AS document_uuid, CAST(o_orderdate AS DATE) AS detected_date FROM orders", days=("detected_date",))
+def stream_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates of new pages, as they come, each document's rows replaced."""
+    path = io.scratch(spark, "extracted")
+    text = F.concat(F.lit("Report date: "), F.date_format("o_orderdate", "yyyy-MM-dd"))
+    pages = _stream(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("document_uuid"), F.lit(1).alias("page_number"), F.lit("OCR").alias("source"), text.alias("text"))
+    streams.incremental(pages, lambda df: dates.detect_dates(df, F.lit(TODAY)), ["document_uuid"], path, f"{path}-state", buckets=8)
+    return spark.read.parquet(path).select("document_uuid", "detected_date")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import archive, dates, evaluate, narrative, rollup, search, text_quality
+from ..operators import archive, audit, dates, evaluate, narrative, rollup, search, text_quality
 from . import driver_tables as D
 from .register import query
 
@@ -245,6 +245,17 @@ def clean_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("""SELECT event_id AS uuid, '{"a":{"b":[{"c":[[{"token":"[REDACTED]","k":' || CAST(json_extract(props, '$.k') AS VARCHAR) || '}]]}]},"to\\u006ben":"[REDACTED]","kept":"\\"token\\": ' || event_type || '","secret":"[REDACTED]"}' AS metadata FROM events""")
+def redacted_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events' JSON with secrets at depth five and more, behind escaped keys, in arrays of arrays."""
+    k, value = F.get_json_object("metadata", "$.k"), F.col("value").cast("string")
+    full = F.concat(
+        F.lit('{"a":{"b":[{"c":[[{"token":{"a":{"b":{"c":["'), value, F.lit('",{"d":"}"}]}}},"k":'), k, F.lit('}]]}]},"to\\u006ben":"'), value,
+        F.lit('","kept":"\\"token\\": '), F.col("event_type"), F.lit('","secret":["\\\\",{"x":['), value, F.lit("]}]}"),
+    )
+    return audit.redacted(D.events(spark, sf_dir).withColumn("metadata", full), "metadata").select("uuid", "metadata")
+
+
 # dates in planted forms
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -60,18 +61,69 @@ def read_current(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     return rows.join(latest, keys).where((F.col("set_uuid") == F.col("_latest.set_uuid"))).drop("_latest")
 
 
-def replace_results(df: DataFrame, path: str, version: str) -> None:
-    """Replace one pipeline version's rows of the documents' buckets that df touches; running twice changes nothing.
+def replace_results(df: DataFrame, path: str, version: str, documents: DataFrame | None = None, buckets: int = 256) -> None:
+    """Replace one pipeline version's rows of the given documents (of those in df, if none are given) by df; running twice
+    changes nothing, and other documents' rows and other versions stay."""
+    replace_rows(df, path, ["document_uuid"], documents, {"pipeline_version": version}, buckets)
 
-    Rows lie by version and by bucket of the document, and only partitions in df are overwritten: df holds whole buckets.
-    """
-    out = df.withColumn("pipeline_version", F.lit(version)).withColumn("bucket", F.pmod(F.xxhash64("document_uuid"), F.lit(256)).cast("int"))
-    out.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("pipeline_version", "bucket").parquet(path)
 
+def replace_rows(new: DataFrame, path: str, keys: list[str], gone: DataFrame | None = None, part: dict[str, str] | None = None, buckets: int = 256) -> None:
+    """Replace the rows of the keys in gone (of those in new, if it isn't given) by new, in one part of a table.
 
-def merge_results(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """old without the keys of new, and new."""
-    return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)
+    Rows lie by part and by bucket of the keys; only the buckets that keys fall into are read and written.
+    """
+    part, spark = part or {}, new.sparkSession
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias("bucket")
+    new = new.select("*", *[F.lit(v).alias(k) for k, v in part.items()], bucket)
+    gone = (new if gone is None else gone).select(*keys).distinct()
+    touched = [r["bucket"] for r in gone.select(bucket).distinct().collect()]  # as many as there are buckets at most
+    old = existing(spark, path)
+    if old is not None:
+        own = old.withColumns({k: F.col(k).cast("string") for k in part}).where(F.col("bucket").isin(touched))
+        for k, v in part.items():
+            own = own.where(F.col(k) == v)
+        new = new.unionByName(own.join(gone, keys, "left_anti"), allowMissingColumns=True)
+    written = overwrite_parts(new, path, [*part, "bucket"])
+    for at in sorted(set(touched) - {r["bucket"] for r in written}):  # no row is left there
+        delete(spark, "/".join([path.rstrip("/"), *[f"{k}={v}" for k, v in part.items()], f"bucket={at}"]))
+
+
+def overwrite_parts(df: DataFrame, path: str, columns: list[str]) -> list:
+    """Write df over those partitions of a table that it has rows for, and return them. df may read the table: it is written
+    beside it first, and from there over the old partitions, so that a job that fails on the way loses no rows."""
+    spark, staging = df.sparkSession, f"{path.rstrip('/')}-staging-{uuid.uuid4().hex}"
+    df.write.parquet(staging)
+    staged = spark.read.schema(df.schema).parquet(staging)
+    staged.repartition(*columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*columns).parquet(path)
+    parts = staged.select(*columns).distinct().collect()
+    delete(spark, staging)
+    return parts
+
+
+def _place(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def existing(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table under path, if there is one."""
+    place, system = _place(spark, path)
+    return spark.read.parquet(path) if system.exists(place) else None
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    place, system = _place(spark, path)
+    system.delete(place, True)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that spark.checkpoint.dir names; only where that is unset and the master is local, in a folder of its own."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def replace_series(points: DataFrame, path: str, now: int, retention_seconds: int) -> None:

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import series
 from ..operators.audit import latest_event
-from ..sources.io import merge_results, read_metric_payload
+from ..sources import io
+from ..sources.io import read_metric_payload
 
 POINT = "service string, metric string, ts long, value double"
 
@@ -34,27 +37,54 @@ def run(df: DataFrame, checkpoint: str, batch: Callable[[DataFrame, int], None],
     return query
 
 
-def dedupe_stream(points: DataFrame, retention_seconds: int, path: str, checkpoint: str):
+def dedupe_stream(points: DataFrame, retention_seconds: int, path: str, checkpoint: str, slot_seconds: int = 3600):
     """Keep a table of points under path, the last arrival of each second winning, for as long as the retention.
 
-    A batch rewrites the table beside the old one under its own number, so a repeated batch does no harm: the reader takes
-    the highest number. Points older than the retention count as too late.
+    Rows lie by slots of time. A batch reads and writes the slots that its points fall into, and drops those that the
+    retention has passed; points older than that count as too late. A repeated batch changes nothing. With a column
+    `arrival`, it orders the points of a batch.
     """
 
     def batch(df: DataFrame, number: int) -> None:
         spark = df.sparkSession
-        new = df.withColumn("arrival", F.lit(number).cast("long"))
-        if number:
-            new = new.unionByName(spark.read.parquet(f"{path}/{number - 1}").withColumn("arrival", F.lit(-1).cast("long")))
-        newest = new.agg(F.max("ts")).first()[0]
-        kept = series.dedupe_series(new)
-        if newest is not None:
-            kept = series.within(kept, F.lit(newest), retention_seconds)
-        kept.write.mode("overwrite").parquet(f"{path}/{number}")
+        inner = F.col("arrival").cast("long") if "arrival" in df.columns else F.lit(0).cast("long")
+        clean = df.select(*series.KEY, F.floor(F.col("ts").try_cast("double")).cast("long").alias("ts"), F.col("value").try_cast("double").alias("value"), F.struct(F.lit(number).cast("long").alias("batch"), inner.alias("at")).alias("arrival"))
+        clean = clean.where(F.col("ts").isNotNull() & F.col("value").isNotNull()).withColumn("slot", F.floor(F.col("ts") / slot_seconds))
+        old = io.existing(spark, path)
+        newest = [x for x in (d.agg(F.max("ts")).first()[0] for d in (clean, old) if d is not None) if x is not None]
+        if not newest:
+            return
+        begin = max(newest) - retention_seconds
+        slots = [r["slot"] for r in clean.where(F.col("ts") >= begin).select("slot").distinct().collect()]  # bounded by the retention
+        if old is not None:
+            clean = clean.unionByName(old.where(F.col("slot").isin(slots)).withColumn("slot", F.col("slot").cast("long")))
+        kept = clean.where(F.col("ts") >= begin).groupBy(*series.KEY, "ts", "slot").agg(F.max(F.struct("arrival", "value")).alias("x"))
+        io.overwrite_parts(kept.select(*series.KEY, "ts", "x.value", "x.arrival", "slot"), path, ["slot"])
+        for r in spark.read.parquet(path).where(F.col("slot") < begin // slot_seconds).select("slot").distinct().collect():
+            io.delete(spark, f"{path.rstrip('/')}/slot={r['slot']}")
 
     return run(points, checkpoint, batch)
 
 
+def stream_rates(points: DataFrame) -> DataFrame:
+    """Counters in GB to rates in MB a second across batches: the state of a series is its last point, and a batch's points
+    after that give rates; what is older than the state is too late. For append mode."""
+
+    def rates(key, frames, state):
+        frame = pd.concat(list(frames)).sort_values(["ts", "arrival"]).drop_duplicates("ts", keep="last")
+        last = state.getOption
+        if last is not None:
+            frame = frame[frame["ts"] > last[0]]
+        if len(frame):
+            before = ([] if last is None else [last[0]], [] if last is None else [last[1]])
+            ts, value = np.append(before[0], frame["ts"]), np.append(before[1], frame["value"])
+            state.update((int(ts[-1]), float(value[-1])))
+            rate = np.maximum(0.0, np.diff(value) / np.diff(ts) * 1024)
+            yield pd.DataFrame({"service": key[0], "metric": key[1], "ts": ts[1:].astype(np.int64), "value": rate})
+
+    return points.groupBy(*series.KEY).applyInPandasWithState(rates, POINT, "ts long, value double", "append", "NoTimeout")
+
+
 def live_current_peak(points: DataFrame, window_seconds: int, now) -> DataFrame:
     """Current value and peak of each series over the trailing window of the retained points."""
     return series.current_peak(series.within(points, now, window_seconds))
@@ -80,13 +110,11 @@ def stream_latest_event(events: DataFrame) -> DataFrame:
     return latest_event(events)
 
 
-def incremental(pages: DataFrame, job: Callable[[DataFrame], DataFrame], keys: list[str], path: str, checkpoint: str):
-    """Run a batch job on new pages and replace its rows of their keys in the table under path; a repeated batch changes nothing."""
+def incremental(pages: DataFrame, job: Callable[[DataFrame], DataFrame], keys: list[str], path: str, checkpoint: str, buckets: int = 256):
+    """Run a batch job on new pages and replace its rows of their keys in the table under path, bucket by bucket; a repeated
+    batch changes nothing."""
 
     def batch(df: DataFrame, number: int) -> None:
-        spark, new = df.sparkSession, job(df)
-        if number:
-            new = merge_results(spark.read.parquet(f"{path}/{number - 1}"), new, keys)
-        new.write.mode("overwrite").parquet(f"{path}/{number}")
+        io.replace_rows(job(df), path, keys, df, buckets=buckets)
 
     return run(pages, checkpoint, batch)

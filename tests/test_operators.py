@@ -153,6 +153,15 @@ def test_text_functions(spark):
     assert [one(spark, T.report_subtype, t) for t in ("serum CBC panel", "Biochemistry", "x\nTest one\ny", "A" * 40 + "\n", "")] == ["LAB_CBC", "UNKNOWN", "LAB_CHEMISTRY", "UNKNOWN", "UNKNOWN"]
 
 
+@pytest.mark.parametrize("json, expected", [
+    ('{"token":{"a":{"b":{"c":{"d":"secret"}}}}}', '{"token":"[REDACTED]"}'), ('{"x":[[[{"raw":[[1,["}"]],{"a":"]"}],"y":"token"}]]]}', '{"x":[[[{"raw":"[REDACTED]","y":"token"}]]]}'),
+    ('{"a":"say \\"token\\": {","secret":"\\"x"}', '{"a":"say \\"token\\": {","secret":"[REDACTED]"}'), ('{"\\u0074oken":{"a":1}}', '{"\\u0074oken":"[REDACTED]"}'), ('{"token":{"a":"never closed', '{"token":"[REDACTED]"'),
+    ('{"token" : null, "text":-1.5e3,"tokens":{"a":1}}', '{"token":"[REDACTED]", "text":"[REDACTED]","tokens":{"a":1}}'), (None, None),
+])
+def test_redaction_at_any_depth(spark, json, expected):
+    assert one(spark, T.redact, json) == expected
+
+
 def test_redaction_at_depth(spark):
     json = '{"a": 1, "password": "x\\"y", "in": {"token": {"deep": [1, 2]}, "b": [{"text": null}]}, "texts": "kept"}'
     assert one(spark, T.redact, json) == '{"a": 1, "password":"[REDACTED]", "in": {"token":"[REDACTED]", "b": [{"text":"[REDACTED]"}]}, "texts": "kept"}'
@@ -331,18 +340,43 @@ def test_sinks_and_payload(spark, tmp_path):
 
 def test_streams(spark, tmp_path):
     source = str(tmp_path / "in")
-    for ts, value in ((10, 1.0), (10, 2.0), (500, 3.0)):
+    for ts, value in ((10, 1.0), (10, 2.0), (500, 3.0), (9000, 4.0), (8000, 5.0), (8500, 6.0)):
+        if ts == 9000:
+            kept = spark.read.parquet(str(tmp_path / "out"))
+            assert rows(kept, "ts", "value") == [(10, 2.0), (500, 3.0)]
+            assert rows(streams.live_current_peak(kept, 100, F.lit(500)), "peak") == [(3.0,)] and streams.live_rates(kept, 1000, F.lit(500)).count() == 1
         spark.createDataFrame([("s", "m", ts, value)], streams.POINT).coalesce(1).write.mode("append").parquet(source)
         streams.dedupe_stream(streams.read_points(spark, source), 600, str(tmp_path / "out"), str(tmp_path / "state"))
-    assert rows(spark.read.parquet(str(tmp_path / "out" / "2")), "ts", "value") == [(10, 2.0), (500, 3.0)]
-    kept = spark.read.parquet(str(tmp_path / "out" / "2"))
-    assert rows(streams.live_current_peak(kept, 100, F.lit(500)), "peak") == [(3.0,)] and streams.live_rates(kept, 1000, F.lit(500)).count() == 1
+    # 8000 came too late for a retention of 600 seconds, the slot of 10 and 500 is gone
+    assert rows(spark.read.parquet(str(tmp_path / "out")), "ts", "value") == [(8500, 6.0), (9000, 4.0)]
     pages = str(tmp_path / "pages")
     for k in range(2):
         spark.createDataFrame([("a", 1, "OCR", f"Report Date: 1{k}/03/2026")], PAGE).write.mode("append").parquet(pages)
         stream = spark.readStream.schema(PAGE).parquet(pages)
-        streams.incremental(stream, lambda df: dates.detect_dates(df, F.lit(TODAY)), ["document_uuid", "page_number"], str(tmp_path / "found"), str(tmp_path / "state2"))
-    assert rows(spark.read.parquet(str(tmp_path / "found" / "1")), "detected_date") == [(date(2026, 3, 11),)]
+        streams.incremental(stream, lambda df: dates.detect_dates(df, F.lit(TODAY)), ["document_uuid", "page_number"], str(tmp_path / "found"), str(tmp_path / "state2"), buckets=4)
+    assert rows(spark.read.parquet(str(tmp_path / "found")), "detected_date") == [(date(2026, 3, 11),)]
+
+
+def test_rates_keep_state_across_batches(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = streams.POINT + ", arrival long"
+    for batch in ([("s", "m", 10, 1.0, 0), ("s", "m", 10, 2.0, 1)], [("s", "m", 20, 12.0, 2), ("t", "m", 5, 1.0, 3)], [("s", "m", 15, 99.0, 4), ("s", "m", 30, 2.0, 5)]):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(source)
+        points = streams.read_points(spark, source, schema)
+        streams.run(streams.stream_rates(points), str(tmp_path / "state"), lambda df, n: df.write.mode("overwrite").parquet(f"{out}/{n}"))
+    # the last arrival at 10 counts; 15 comes after 20 and is too late; a counter that falls gives 0
+    assert rows(spark.read.schema(streams.POINT).parquet(f"{out}/*"), "service", "ts", "value") == [("s", 20, 1024.0), ("s", 30, 0.0)]
+
+
+def test_results_of_other_documents_stay(spark, tmp_path):
+    path, schema = str(tmp_path / "r"), "document_uuid string, x int"
+    io.replace_results(spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], schema), path, "v1", buckets=1)
+    io.replace_results(spark.createDataFrame([("a", 9)], schema), path, "v1", buckets=1)
+    io.replace_results(spark.createDataFrame([("a", 7)], schema), path, "v2", buckets=1)
+    assert rows(spark.read.parquet(path), "document_uuid", "x", "pipeline_version") == [("a", 7, "v2"), ("a", 9, "v1"), ("b", 3, "v1")]
+    gone = spark.createDataFrame([("a",), ("b",)], "document_uuid string")
+    io.replace_results(spark.createDataFrame([], schema), path, "v1", gone, buckets=1)
+    assert rows(spark.read.parquet(path), "document_uuid", "x", "pipeline_version") == [("a", 7, "v2")]
 
 
 def test_queues(spark):
