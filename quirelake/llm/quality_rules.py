@@ -8,7 +8,8 @@ those rates, decides: kept if it is at least `min_posterior`. The base rule (too
 much repetition) rejects on its own.
 
 Rows: a null or empty text has no words and fails the base rule; doc_id may be null or repeat
-(each row is judged by itself); an empty table gives an empty result. Columns of the input that
+(each row is judged by itself); a posterior of exactly `min_posterior` keeps; a very long text is one
+row, counted whole; an empty table gives an empty result. Columns of the input that
 bear the name of a result don't matter: the result's columns are the feature columns.
 """
 
@@ -21,17 +22,20 @@ from .common import WORD, fresh, materialize, read_table, text_of, words_of
 
 MIN_POSTERIOR = 0.5
 ROUNDS = 40
-#: Fixed values: (name, measure, votes bad if at least, votes good if below); between them the rule abstains.
+#: Fixed values: (name, measure, votes bad if at least, votes good if below or never); otherwise the rule abstains. A text
+#: that isn't bad in one way isn't thereby good: only the shapes of its words speak for it.
 RULES = (
     ("word_length", "mean_word", 12.0, 9.0),
-    ("symbols", "symbol_share", 0.10, 0.02),
-    ("repeats", "repeat_share", 0.30, 0.10),
-    ("same_lines", "dup_line_share", 0.30, 0.10),
-    ("shouting", "shout_share", 0.15, 0.03),
-    ("bars", "bar_share", 0.15, 0.03),
-    ("stutter", "stutter_share", 0.15, 0.05),
-    ("few_words", "few_words", 1.0, 0.5),
+    ("odd_words", "odd_share", 0.30, 0.10),
+    ("symbols", "symbol_share", 0.10, None),
+    ("repeats", "repeat_share", 0.30, None),
+    ("same_lines", "dup_line_share", 0.30, None),
+    ("shouting", "shout_share", 0.15, None),
+    ("bars", "bar_share", 0.15, None),
+    ("stutter", "stutter_share", 0.15, None),
 )
+#: A word of letters (or a run of them, where words aren't set apart), with quotes and brackets around it and stops after it.
+PLAIN_WORD = r"(?<![^\x20\x09-\x0D])[\"'(\[«„“]*+[\p{L}\p{M}'’、。，！？-]++[.,;:!?\"')\]»”…]*+(?![^\x20\x09-\x0D])"
 
 
 def _once(value: Column, use) -> Column:
@@ -69,6 +73,7 @@ def with_features(docs: DataFrame, into: str, text: str = "text") -> DataFrame:
         n_repeat_words(words).alias("n_repeat_words"),
         _once(lines, lambda x: F.size(x)).cast("long").alias("n_lines"),
         F.regexp_count(body, F.lit(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0Da-z]*[A-Z]{2}[^\x20\x09-\x0Da-z]*!{2}")).cast("long").alias("n_shouts"),
+        F.regexp_count(body, F.lit(PLAIN_WORD)).cast("long").alias("n_plain_words"),
         F.regexp_count(body, F.lit(r"(?<![^\x20\x09-\x0D])\|(?![^\x20\x09-\x0D])")).cast("long").alias("n_bars"),
         F.regexp_count(body, F.lit(r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+\1(?![^\x20\x09-\x0D])")).cast("long").alias("n_stutters"),
     )
@@ -80,20 +85,20 @@ def measures(f: str) -> dict[str, Column]:
     share = lambda x, of: F.when(of > 0, x / of)
     return {
         "mean_word": share(c("word_chars"), c("n_words")),
+        "odd_share": share(c("n_words") - c("n_plain_words"), c("n_words")),
         "symbol_share": share(c("n_symbols"), c("word_chars")),
         "repeat_share": share(c("n_repeat_words"), c("n_words")),
         "dup_line_share": F.when(c("n_lines") > 1, c("n_dup_lines") / c("n_lines")),
         "shout_share": share(c("n_shouts"), c("n_words")),
         "bar_share": share(c("n_bars"), c("n_words")),
         "stutter_share": share(2 * c("n_stutters"), c("n_words")),
-        "few_words": (c("n_words") < 50).cast("double"),
     }
 
 
 def votes(f: str, rules=RULES) -> Column:
     """An array of a vote for each rule; a measure that is null abstains."""
     m = measures(f)
-    return F.array(*[F.when(m[k] >= bad, -1).when(m[k] < good, 1).otherwise(0).cast("int") for _, k, bad, good in rules])
+    return F.array(*[F.when(m[k] >= bad, -1).when(m[k] < good if good is not None else F.lit(False), 1).otherwise(0).cast("int") for _, k, bad, good in rules])
 
 
 def fit(voted: DataFrame, column: str, n_rules: int = len(RULES), rounds: int = ROUNDS) -> Row | None:
