@@ -9,6 +9,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word for most operators: a run without the ASCII white space 0x20, 0x09-0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -92,5 +93,23 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+MAX_BROADCAST_MB = 128
+
+
+def fits_broadcast(df: DataFrame, max_rows: int, max_mb: int = MAX_BROADCAST_MB) -> bool:
+    """Whether df, counted and measured, has at most so many rows and so many bytes: 16 a value, and the bytes of its texts."""
+
+    def size(column: Column, kind) -> Column:
+        if isinstance(kind, T.StringType):
+            return F.coalesce(F.octet_length(column), F.lit(0)) + 16
+        if isinstance(kind, T.ArrayType):
+            return F.coalesce(F.aggregate(column, F.lit(0), lambda acc, x: acc + size(x, kind.elementType).cast("int")), F.lit(0)) + 16
+        return F.lit(16)
+
+    total = sum((size(F.col(f.name), f.dataType).cast("long") for f in df.schema.fields), F.lit(16).cast("long"))
+    rows, width = df.agg(F.count("*"), F.coalesce(F.sum(total), F.lit(0))).first()
+    return rows <= max_rows and width <= max_mb << 20
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -7,9 +7,10 @@ row (word, place in the item, the range of window starts). The anchors are joine
 the documents; the place of the word in the document and the item bound where the window can begin
 and end, and each remaining window is compared word by word.
 
-Documents are cut into chunks of 64 words with 12 words of context on each side, so that a row
-never carries a whole long text. The anchors are broadcast up to `max_broadcast` rows and joined by
-a shuffle on the word beyond that.
+Documents are cut into chunks of 64 words with 12 words of context on each side, and anchors carry the
+25 words of their item that its windows can reach, so that no row carries a whole long text. The
+anchors are broadcast up to `max_broadcast` rows and 128 MB, both counted first; beyond that words
+and places are joined by a shuffle on the word, and the chunks are fetched for the places that match.
 
 Rows: a null or empty text has no words and is clean; an item without words is ignored; items that
 share an item_id count once, a null item_id counts as the empty text; doc_id may be null, and rows
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialize, read_table, text_of
+from .common import ascii_lower, fits_broadcast, materialize, read_table, text_of
 
 N = 13
 #: What separates words here: ASCII other than digits and letters.
@@ -54,33 +55,45 @@ def own_words(chunks: DataFrame, *keep: str) -> DataFrame:
 
 
 def anchors(docs: DataFrame, benchmark: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """item_id, iw (the item's words), size (of its windows), word, a (its place in the item), s_lo, s_hi (first and last window start)."""
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), item_words("text").alias("iw")).where(F.size("iw") > 0).distinct()
-    items = items.withColumn("size", F.least(F.lit(N), F.size("iw")))
-    vocabulary = materialize(items.select(F.explode("iw").alias("word")).distinct(), "bench-words")
-    small = vocabulary.count() <= max_broadcast
-    hint = (lambda df: F.broadcast(df)) if small else (lambda df: df.hint("merge"))
+    """item_id, size (of its windows), word, around (at most 25 words of the item about it), a (its place there), s_lo, s_hi
+    (first and last window start there)."""
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), item_words("text").alias("iw")).where(F.size("iw") > 0)
+    placed = items.select("item_id", F.xxhash64("item_id", "iw").alias("item"), F.size("iw").alias("length"), F.posexplode("iw").alias("a", "word"))
+    # texts that repeat under one id are one item
+    placed = materialize(placed.dropDuplicates(["item_id", "item", "a"]), "bench-placed")
+    vocabulary = materialize(placed.select("word").distinct(), "bench-words")
+    hint = F.broadcast if fits_broadcast(vocabulary, max_broadcast) else (lambda df: df.hint("merge"))
     seen = docs.select(F.explode(item_words("text")).alias("word")).join(hint(vocabulary), "word").groupBy("word").count()
     rarity = materialize(vocabulary.hint("merge").join(seen.hint("merge"), "word", "left").select("word", F.coalesce("count", F.lit(0)).alias("n")), "bench-rarity")
-    placed = items.select("item_id", "iw", "size", F.posexplode("iw").alias("a", "word"))
-    ranked = placed.join(hint(rarity), "word").select("item_id", "iw", "size", F.struct("n", "word", "a").alias("x"))
-    per_item = ranked.groupBy("item_id", "iw", "size").agg(F.sort_array(F.collect_list(F.struct(F.col("x.a").alias("a"), F.col("x").alias("x")))).alias("xs"))
-    rarest = lambda s: F.array_min(F.transform(F.slice("xs", s + 1, F.col("size")), lambda e: e["x"]))
-    windows = per_item.select("item_id", "iw", "size", F.explode(F.sequence(F.lit(0), F.size("iw") - F.col("size"))).alias("s")).join(
-        per_item.select("item_id", "iw", "xs"), ["item_id", "iw"]
+    order = Window.partitionBy("item_id", "item").orderBy("a")
+    ranked = placed.join(hint(rarity), "word").select(
+        "item_id", "item", "length", "a", F.min(F.struct("n", "word", "a")).over(order.rowsBetween(0, N - 1)).alias("r"),
+        F.collect_list("word").over(order.rowsBetween(1 - N, N - 1)).alias("around"),
+    )
+    ranked = materialize(ranked, "bench-ranked")
+    size = F.least(F.lit(N), F.col("length"))
+    # a window for each place that enough words follow; a word that no document has: no window of its
+    starts = ranked.where((F.col("a") <= F.col("length") - size) & (F.col("r.n") > 0)).select("item_id", "item", size.alias("size"), "a", F.col("r.a").alias("at"), F.col("r.word").alias("word"))
+    found = starts.groupBy("item_id", "item", "size", "word", F.col("at").alias("a")).agg(F.min("a").alias("lo"), F.max("a").alias("hi"))
+    first = F.greatest(F.lit(0), F.col("a") - (N - 1))
+    return found.join(ranked.select("item_id", "item", "a", "around").hint("merge"), ["item_id", "item", "a"]).select(
+        "item_id", "size", "word", "around", (F.col("a") - first).alias("a"), (F.col("lo") - first).alias("s_lo"), (F.col("hi") - first).alias("s_hi")
     )
-    found = windows.withColumn("r", rarest(F.col("s"))).where(F.col("r.n") > 0)  # a word that no document has: no window of its
-    return found.groupBy("item_id", "iw", "size", F.col("r.word").alias("word"), F.col("r.a").alias("a")).agg(F.min("s").alias("s_lo"), F.max("s").alias("s_hi"))
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """doc_id, h, item_id, size and starts: the places in the document where windows of the item begin, as found from one anchor."""
-    marks = materialize(anchors(docs, benchmark, max_broadcast), "bench-anchors")
-    marks = F.broadcast(marks) if marks.count() <= max_broadcast else marks.hint("merge")
-    found = own_words(corpus_chunks(docs), "doc_id", "h", "at", "w").join(marks, "word")
+    marks, chunks = materialize(anchors(docs, benchmark, max_broadcast), "bench-anchors"), corpus_chunks(docs)
+    if fits_broadcast(marks, max_broadcast):
+        found = own_words(chunks, "doc_id", "h", "at", "w").join(F.broadcast(marks), "word")
+    else:
+        # words and places meet the anchors by a shuffle; the chunks come after, for the places that are left
+        met = own_words(chunks, "doc_id", "h", "at").join(marks.hint("merge"), "word").withColumnsRenamed({"doc_id": "_id", "h": "_h", "at": "_at"})
+        here = chunks.select("doc_id", "h", "at", "w").distinct()
+        found = met.join(here.hint("merge"), (F.col("_h") == F.col("h")) & (F.col("_at") == F.col("at")) & F.col("_id").eqNullSafe(F.col("doc_id")))
     here = lambda s: F.col("k") - F.col("a") + s  # noqa: E731  a window's start in the chunk
     fits = lambda s: (here(s) >= 0) & (here(s) + F.col("size") <= F.size("w"))
-    equal = lambda s: F.slice("w", F.greatest(here(s), F.lit(0)) + 1, F.col("size")) == F.slice("iw", s + 1, F.col("size"))
+    equal = lambda s: F.slice("w", F.greatest(here(s), F.lit(0)) + 1, F.col("size")) == F.slice("around", s + 1, F.col("size"))
     starts = F.transform(F.filter(F.sequence("s_lo", "s_hi"), lambda s: fits(s) & equal(s)), lambda s: F.col("at") + here(s))
     return found.select("doc_id", "h", "item_id", "size", starts.alias("starts")).where(F.size("starts") > 0)
 
