@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, read_table, text_of
+from .common import WORD, fits_broadcast, materialize, read_table, text_of
 
 #: Cells (source, shard) whose plan is broadcast at most: one short row each, never a document.
 MAX_BROADCAST = 1_000_000
@@ -129,13 +129,13 @@ def mix(docs: DataFrame, plan: MixPlan = MixPlan(), keep: tuple[str, ...] = (),
     sources = sorted(sizes, key=lambda s: (s is None, s or ""))
     won = apportion([wanted[s] for s in sources], round(sum(wanted.values()) / plan.block_tokens))
     shares = spark.createDataFrame([(s, sizes[s], float(wanted[s]), w) for s, w in zip(sources, won)], "_source string, source_size long, target double, won long")
-    shares = F.broadcast(shares) if len(sources) <= max_broadcast else shares
+    shares = F.broadcast(shares) if fits_broadcast(shares, max_broadcast) else shares.hint("merge")
     shared = cells.join(shares, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     plan_df = materialize(shared.groupBy("source").applyInPandas(_plan_cells(plan), CELLS), "mix-plan")
     before = Window.partitionBy("source", "_shard").orderBy("_at", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.withColumn("start", F.coalesce(F.sum("size").over(before), F.lit(0)).cast("long"))
     p = plan_df.withColumnsRenamed({"source": "_source", "_shard": "_cell"})
-    p = F.broadcast(p) if p.count() <= max_broadcast else p.hint("merge")
+    p = F.broadcast(p) if fits_broadcast(p, max_broadcast) else p.hint("merge")
     joined = placed.join(p, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_shard") == F.col("_cell")))
     taken = F.when(F.col("size") > 0, F.col("rounds") * F.col("size") + F.when(F.col("picks") > 0, _picked_words()).otherwise(0)).otherwise(0)
     return joined.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "start", "line", "n_blocks", "rounds", "picks", *keep)
