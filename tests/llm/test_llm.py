@@ -1,9 +1,11 @@
 """The training-data operators against brute-force versions, on whole small tables."""
 
 import collections
+import hashlib
 import math
 import re
 import string
+import time
 import zlib
 from zlib import crc32
 
@@ -44,8 +46,6 @@ def test_op2_table_and_placement(spark, docs):
     assert sum(a != b for a, b in zip(table, fewer) if a != 6) < 0.25 * 1009
     with pytest.raises(ValueError):
         sharding.lookup_table(["a"], 10)
-    import hashlib
-
     full = sharding.lookup_table([f"shard-{k}" for k in range(sharding.N_SHARDS)])
     for r in Q.QUERIES["op2_sharding"](spark, SF).collect():
         slot = int(hashlib.md5(str(r.doc_id).encode()).hexdigest()[:15], 16) % sharding.SLOTS
@@ -197,6 +197,167 @@ def test_op6_base_counts_and_expectation_maximisation(spark, docs):
     assert np.array(model["rate"]).ravel() == pytest.approx(np.array(rate).ravel())
 
 
+def test_op4_long_item(spark):
+    """An item of 20,000 words: anchors stay small, and passages of it are found in both ways of joining."""
+    rng = np.random.default_rng(8)
+    w = [f"w{x}" for x in rng.integers(0, 3000, 20_000)]
+    bench = spark.createDataFrame([("long", " ".join(w)), ("long", " ".join(w))], "item_id string, text string")
+    texts = [" ".join(w[i : i + 40]) + " z" * 10 for i in (0, 7, 9_999, 19_960)] + [" ".join(w[5:17]) + " z", "", " ".join(w)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    marks = decontamination.anchors(docs, bench)
+    assert marks.agg(F.max(F.size("around"))).first()[0] == 25 and marks.count() <= 20_000
+    expected = {0: 40, 1: 40, 2: 40, 3: 40, 4: 0, 5: 0, 6: 20_000}
+    for most in (decontamination.MAX_BROADCAST, 0):
+        assert {r.doc_id: r.n_hit for r in decontamination.report(docs, bench, max_broadcast=most).collect()} == expected
+
+
+def test_broadcasts_are_measured(spark):
+    df = spark.range(10).select(F.repeat(F.lit("x"), 200_000).alias("text"), F.array(F.lit("ab"), F.lit("c")).alias("words"))
+    assert common.fits_broadcast(df, 10) and not common.fits_broadcast(df, 9) and not common.fits_broadcast(df, 10, 1) and common.fits_broadcast(df.limit(0), 0)
+
+
+def brute_mix(rows, plan):
+    """taken of each (doc_id, text, source), by quotas of blocks and a walk along each cell's line, in plain Python; cells as Spark deals them."""
+    size = collections.Counter()
+    for r in rows:
+        size[r.source] += r.size
+    wanted = mixing.targets(dict(size), plan)
+
+    def seats(wants, n):
+        got = [0] * len(wants)
+        for _ in range(n if sum(wants) > 0 else 0):
+            k = max(range(len(wants)), key=lambda i: (wants[i] / (2 * got[i] + 1), -i))
+            got[k] += 1
+        return got
+
+    sources = sorted(size, key=lambda s: (s is None, s or ""))
+    won = dict(zip(sources, seats([wanted[s] for s in sources], round(sum(wanted.values()) / plan.block_tokens))))
+    taken = {}
+    for s in sources:
+        cells = collections.defaultdict(list)
+        for r in rows:
+            if r.source == s:
+                cells[r.cell].append(r)
+        order = sorted(cells)
+        words = [sum(r.size for r in cells[c]) for c in order]
+        blocks = [max(1, round(n / plan.block_tokens)) if n else 0 for n in words]
+        most = round(won[s] * plan.block_tokens * sum(blocks) / size[s]) if size[s] else 0
+        for c, line, n, quota in zip(order, words, blocks, seats([float(b) for b in blocks], min(most, int(plan.cap * sum(blocks))))):
+            rounds, picks = divmod(quota, n) if n else (0, 0)
+            end, at = line * picks // n if n else 0, 0
+            for r in sorted(cells[c], key=lambda r: (r.at, r.doc_id)):
+                taken[r.doc_id] = rounds * r.size + max(0, min(r.size, end - at))
+                at += r.size
+    return taken
+
+
+def test_op10_choice_of_blocks_by_hand(spark):
+    plan = mixing.MixPlan()
+    got = Q.QUERIES["op10_mixing"](spark, SF).collect()
+    docs = common.read_table(spark, SF, "documents")
+    shards = max(plan.min_shards, -(-docs.count() // plan.docs_per_shard))
+    size = F.regexp_count(common.text_of("text"), F.lit(common.WORD)).cast("long")
+    dealt = docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size")).withColumn("at", F.xxhash64(F.lit(plan.seed), "doc_id", "size")).withColumn("cell", F.pmod("at", F.lit(shards)).cast("int"))
+    assert {r.doc_id: r.taken for r in got} == brute_mix(dealt.collect(), plan)
+
+
+def test_op10_many_sources(spark):
+    docs = spark.range(15_000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("a b c "), 20).alias("text"), F.concat(F.lit("s"), F.pmod("id", F.lit(5000)).cast("string")).alias("source"))
+    began = time.time()
+    per = mixing.mix(docs).groupBy(F.pmod("doc_id", F.lit(5000)).alias("s")).agg(F.count("*").alias("n"), F.max("taken").alias("most"), F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    assert len(per) == 5000 and all(r.n == 3 and r.most <= 120 and abs(r.taken - r.target) <= 64 for r in per)
+    assert time.time() - began < 60
+
+
+def brute_lookup(shards, slots):
+    """Shards claim slots in turn along their permutations, which are written out in full."""
+    number = lambda t: int(hashlib.md5(t.encode()).hexdigest()[:16], 16)
+    prefers = [[(number(f"offset:{s}") + j * (number(f"skip:{s}") % (slots - 1) + 1)) % slots for j in range(slots)] for s in shards]
+    assert all(len(set(p)) == slots for p in prefers)
+    table, at = {}, [0] * len(shards)
+    while len(table) < slots:
+        for k, p in enumerate(prefers):
+            while len(table) < slots and p[at[k]] in table:
+                at[k] += 1
+            if len(table) < slots:
+                table[p[at[k]]] = k
+    return [table[i] for i in range(slots)]
+
+
+def test_op2_table_by_hand():
+    names = [f"shard-{k}" for k in range(sharding.N_SHARDS)]
+    assert sharding.lookup_table(names, 1009) == brute_lookup(names, 1009)
+    assert sharding.lookup_table(names) == brute_lookup(names, sharding.SLOTS)
+
+
+def test_edge_values(spark):
+    """What nulls, empty texts, ties and repeated rows come out as, value by value."""
+    schema = "doc_id long, text string, source string"
+    docs = spark.createDataFrame([(1, None, "a"), (2, "", None), (3, "one two", "a"), (3, "one two", "a"), (None, "one two", None)], schema)
+    got = lambda df, *c: sorted((tuple(r[x] for x in c) for r in df.collect()), key=str)
+    assert got(near_dedup.near_duplicates(docs), "doc_id", "n_shingles", "component_id", "kept") == sorted([(1, 0, 1, True), (2, 0, 2, True), (3, 1, 3, True), (3, 1, 3, True), (None, 1, None, True)], key=str)
+    scored = got(language_model.score_texts(docs, F.lit(False)), "doc_id", "n_tokens", "n_known", "train_tokens")
+    assert scored == sorted([(1, 1, 1, 11), (2, 1, 1, 11), (3, 3, 3, 11), (3, 3, 3, 11), (None, 3, 3, 11)], key=str)
+    q = quality_rules.judge(docs)
+    assert got(q.select("doc_id", "_quality.*"), "doc_id", "n_words", "base_failed", "kept") == sorted([(1, 0, True, False), (2, 0, True, False), (3, 2, True, False), (3, 2, True, False), (None, 2, True, False)], key=str)
+    mixed = got(mixing.mix(docs), "doc_id", "size", "source_size")
+    assert mixed == sorted([(1, 0, 4), (2, 0, 2), (3, 2, 4), (3, 2, 4), (None, 2, 2)], key=str)
+    placed = {(r.doc_id, r.slot) for r in sharding.shard_documents(docs).collect()}
+    assert len(placed) == 4 and {r.slot for r in sharding.shard_documents(docs).where("doc_id IS NULL").collect()} == {int(hashlib.md5(b"").hexdigest()[:15], 16) % sharding.SLOTS}
+    assert got(line_dedup.clean(docs, min_docs=2), "doc_id", "text") == sorted([(1, ""), (2, ""), (3, "one two"), (3, "one two"), (None, "one two")], key=str)
+    none = spark.createDataFrame([], "doc_id long, toxic int, quality int")
+    for classify in (toxicity.classify, quality_classifier.classify):
+        assert {r.score for r in classify(docs, none, F.lit(True)).collect()} == {0.5}
+
+
+def brute_votes(text):
+    """The votes of the rules, measured in plain Python."""
+    import regex
+
+    plain = WORD
+    w = plain.findall(text)
+    lines = [x for x in text.split("\n") if plain.search(x)]
+    triples, covered = collections.Counter(zip(w, w[1:], w[2:])), set()
+    for i in range(len(w) - 2):
+        if triples[tuple(w[i : i + 3])] > 1:
+            covered |= {i, i + 1, i + 2}
+    stutters, i = 0, 0
+    while i + 1 < len(w):  # a pair of equal words is one, and the next begins behind it
+        equal = w[i] == w[i + 1]
+        stutters, i = stutters + equal, i + 1 + equal
+    chars = sum(map(len, w))
+    shape = regex.compile(r"[\"'(\[«„“]*[\p{L}\p{M}'’、。，！？-]+[.,;:!?\"')\]»”…]*")
+    shouts = sum(bool(re.fullmatch(r"[^a-z]*[A-Z]{2}[^a-z]*!{2}.*", x, re.S)) for x in w)
+    share = lambda x, of: x / of if of else None
+    m = {
+        "mean_word": share(chars, len(w)), "odd_share": share(sum(not shape.fullmatch(x) for x in w), len(w)), "symbol_share": share(sum(x in "#*$%&|<>" for x in text), chars),
+        "repeat_share": share(len(covered), len(w)), "dup_line_share": (len(lines) - len(set(lines))) / len(lines) if len(lines) > 1 else None, "shout_share": share(shouts, len(w)),
+        "bar_share": share(w.count("|"), len(w)), "stutter_share": share(2 * stutters, len(w)),
+    }
+    vote = lambda x, bad, good: 0 if x is None else -1 if x >= bad else 1 if good is not None and x < good else 0
+    return tuple(vote(m[k], bad, good) for _, k, bad, good in quality_rules.RULES), len(w) < 50 or 100 * len(covered) > 50 * len(w)
+
+
+def test_op6_posterior_and_verdict_of_the_query(spark, docs):
+    got = {r.doc_id: r for r in Q.QUERIES["op6_quality_rules"](spark, SF).collect()}
+    judged = {d: brute_votes(t) for d, t in docs.items()}
+    patterns = collections.Counter(v for v, failed in judged.values() if not failed)
+    prior, rate = brute_em({v: float(n) for v, n in patterns.items()}, len(quality_rules.RULES), quality_rules.ROUNDS)
+    assert len(patterns) > 3
+    for d, (v, failed) in judged.items():
+        odds = math.log(prior / (1 - prior)) + sum(math.log(rate[1][r][x + 1] / rate[0][r][x + 1]) for r, x in enumerate(v))
+        q = 1 / (1 + math.exp(-odds))
+        assert got[d].posterior == pytest.approx(q, abs=1e-9), (d, v)
+        assert got[d].kept == (not failed and q >= 0.5)
+
+
+def test_op6_rejects_bad_documents(spark):
+    sf = "/root/testdata/sf0.01"
+    r = Q.QUERIES["op6_quality_rules"](spark, sf).join(common.read_table(spark, sf, "labels"), "doc_id").where("NOT base_failed AND quality = 0")
+    kept, n = r.agg(F.count_if("kept"), F.count("*")).first()
+    assert kept <= n / 4
+
+
 def test_op6_keeps_good_documents(spark):
     sf = "/root/testdata/sf0.01"
     r = Q.QUERIES["op6_quality_rules"](spark, sf).join(common.read_table(spark, sf, "labels"), "doc_id").where("NOT base_failed")
