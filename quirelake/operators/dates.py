@@ -93,16 +93,19 @@ def _overlaps(x: Column, taken: Column) -> Column:
     return F.exists(taken, lambda t: (x["start"] < t["end"]) & (x["end"] > t["start"]))
 
 
+def _fixed(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are computed once: one row of a generator, which no later filter or projection is merged with."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
+
+
 def scan_dates(pages: DataFrame) -> DataFrame:
     """A row for each calendar date in the column `text`: start, end, rule, value, day, other; spans taken by an earlier rule don't count again."""
-    df = pages.where(F.col("text").rlike(r"(?U)\d{4}"))
-    df = df.withColumn("_found", F.array().cast("array<struct<start:int,end:int,rule:string,value:string,day:date,other:date>>"))
-    for rule, pattern, groups in RULES:
-        df = df.withColumn("_new", _matches(rule, pattern, groups))
-        df = df.withColumn("_found", F.concat("_found", F.filter("_new", lambda x: x["day"].isNotNull() & ~_overlaps(x, F.col("_found")))))
-    df = df.withColumn("_new", _compact_matches())
-    compact = F.filter("_new", lambda x: x["day"].isNotNull() & ~_overlaps(x, F.col("_found")))
-    return df.withColumn("_x", F.explode(F.concat("_found", compact))).select(*pages.columns, "_x.*")
+    found = "array<struct<start:int,end:int,rule:string,value:string,day:date,other:date>>"
+    none = F.array().cast(found)
+    gated = lambda pattern, matches: F.when(F.col("text").rlike(pattern), matches).otherwise(none).cast(found)
+    by_rule = F.array(*[gated(pattern, _matches(rule, pattern, groups)) for rule, pattern, groups in RULES], gated(COMPACT, _compact_matches()))
+    taken = F.aggregate(by_rule, none, lambda acc, new: F.concat(acc, F.filter(new, lambda x: x["day"].isNotNull() & ~_overlaps(x, acc))))
+    return pages.where(F.col("text").rlike(r"(?U)\d{4}")).withColumn("_x", F.explode(taken)).select(*pages.columns, "_x.*")
 
 
 def _matches(rule: str, pattern: str, groups: tuple[int, int, int]) -> Column:
@@ -129,8 +132,10 @@ def _compact_matches() -> Column:
 
 
 _ALL_LABELS = {label: kind for kind, labels in LABELS.items() for label in labels}
-_LABEL_RUN = "|".join(rf"\Q{x}\E" for x in sorted(_ALL_LABELS, key=len, reverse=True))
-_LABEL = rf"(?U)(?<!\w)(?=((?:{_LABEL_RUN}))(?![A-Za-z؀-ۿ]))"
+_FIRST = sorted({x[0] for x in _ALL_LABELS})
+#: by first letter, the longest first: a place where no label begins is left after one look
+_LABEL_RUN = "|".join(f"{c}(?:" + "|".join(rf"\Q{x[1:]}\E" for x in sorted(_ALL_LABELS, key=len, reverse=True) if x[0] == c) + ")" for c in _FIRST)
+_LABEL = rf"(?=[{''.join(_FIRST)}])(?<![\p{{L}}\p{{M}}\p{{N}}_])(?=((?:{_LABEL_RUN}))(?![A-Za-z؀-ۿ]))"
 
 
 def label_matches(line: Column) -> Column:
@@ -149,29 +154,29 @@ def classify(dates: DataFrame) -> DataFrame:
     """dates (text, start, end) with kind, distance (null: no label on the line), generic, relation and line columns."""
     before = F.substring_index(F.expr("substring(text, 1, start)"), "\n", -1)
     after = F.substring_index(F.expr("substring(text, end + 1, length(text))"), "\n", 1)
-    df = dates.withColumn("_before", before).withColumn("_line", F.concat("_before", F.expr("substring(text, start + 1, end - start)"), after))
-    df = df.withColumn("_at", F.length("_before")).withColumn("_to", F.length("_before") + F.col("end") - F.col("start"))
+    df = _fixed(dates, _before=before, _after=after)
+    at = F.length("_before")
+    df = _fixed(df, _line=F.concat("_before", F.expr("substring(text, start + 1, end - start)"), "_after"), _at=at, _to=at + F.col("end") - F.col("start"))
     kind = lambda label: F.element_at(_map(_ALL_LABELS), label)
 
     def near(x: Column) -> Column:
         stop = x["at"] + F.length(x["label"])
         distance = F.when(stop <= F.col("_at"), F.col("_at") - stop).when(x["at"] >= F.col("_to"), x["at"] - F.col("_to")).otherwise(F.lit(0))
-        return F.struct(distance.alias("distance"), (-F.length(x["label"])).alias("length"), kind(x["label"]).alias("kind"), x["label"].alias("label"))
+        return F.struct(distance.alias("distance"), (-F.length(x["label"])).alias("_length"), x["label"].alias("_same"))
 
-    same = F.array_min(F.filter(F.transform(label_matches(F.col("_line")), near), lambda x: x["distance"] <= PROXIMITY))
-    df = df.withColumn("_same", same)
+    # the nearest label's parts as columns; nulls if there is none
+    df = df.select("*", F.inline(F.array(F.array_min(F.filter(F.transform(label_matches(F.col("_line")), near), lambda x: x["distance"] <= PROXIMITY))))).drop("_length")
     earlier = F.expr("split(substring(text, 1, start - length(_before) - 1), '\n', -1)")
-    df = df.withColumn("_earlier", F.when(F.col("start") > F.length("_before"), earlier))
-    last, previous = F.try_element_at("_earlier", F.lit(-1)), F.try_element_at("_earlier", F.lit(-2))
+    df = _fixed(df, _earlier=F.when(F.col("_same").isNull() & (F.col("start") > F.length("_before")), F.slice(F.concat(F.array(F.lit("")), earlier), -2, 2)))
+    last, previous = F.get("_earlier", F.lit(1)), F.get("_earlier", F.lit(0))
     blank = lambda x: F.trim(F.regexp_replace(x, r"(?U)\s+", " ")) == ""
-    df = df.withColumn("_prev", F.when(~blank(last), last).when(~blank(previous), previous))
+    df = _fixed(df, _prev=F.when(~blank(last), last).when(~blank(previous), previous))
     longest = F.array_min(F.transform(label_matches(F.col("_prev")), lambda x: F.struct((-F.length(x["label"])).alias("length"), x["at"].alias("at"), x["label"].alias("label"))))
-    df = df.withColumn("_adjacent", F.when(F.col("_same").isNull(), longest))
-    label = F.coalesce(F.col("_same.label"), F.col("_adjacent.label"))
-    return (
-        df.withColumn("kind", F.coalesce(kind(label), F.lit("UNKNOWN"))).withColumn("distance", F.col("_same.distance"))
-        .withColumn("generic", F.coalesce(label.isin(*GENERIC), F.lit(False)))
-        .withColumn("relation", F.when(F.col("_adjacent").isNotNull(), "adjacent").otherwise("same"))
+    df = _fixed(df, _adjacent=F.when(F.col("_prev").isNotNull(), longest["label"]))
+    label = F.coalesce("_same", "_adjacent")
+    return _fixed(
+        df, kind=F.coalesce(kind(label), F.lit("UNKNOWN")), generic=F.coalesce(label.isin(*GENERIC), F.lit(False)),
+        relation=F.when(F.col("_adjacent").isNotNull(), "adjacent").otherwise("same"),
     )
 
 
@@ -219,8 +224,10 @@ def detect_dates(pages: DataFrame, today: Column, future_days: int = FUTURE_DAYS
 
     normalized: the text is in normal form already. keep_raw: with raw_value, by the one Python function here.
     """
-    rows = pages.select("document_uuid", "page_number", "source", *([F.col("text").alias("raw")] if keep_raw else []), (F.col("text") if normalized else normalize_text(F.col("text"))).alias("text"))
-    df = classify(scan_dates(rows)).withColumn("score", score(today, future_days))
+    # NFKC makes digits of other numbers, so they may not be digits yet
+    rows = pages.where(F.col("text").rlike(r"\p{N}")).select("document_uuid", "page_number", "source", F.col("text").alias("raw"))
+    rows = _fixed(rows, text=F.col("raw") if normalized else normalize_text(F.col("raw")))
+    df = _fixed(classify(scan_dates(rows if keep_raw else rows.drop("raw"))), score=score(today, future_days))
     compact = F.col("rule").startswith("COMPACT")
     hinted = F.lower(F.col("_line")).rlike("|".join(rf"\Q{h}\E" for h in IDENTIFIER_HINTS))
     df = df.where(~compact | (~F.col("kind").isin("UNKNOWN", "DATE_OF_BIRTH") & ~hinted & (F.col("day") <= F.date_add(today, future_days))))
