@@ -3,6 +3,13 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read
 again as the next one's docs; all but the last return the columns of documents. The mixing stage
 may repeat a document, or return the part of it that the mix takes.
+
+Rows: a null or empty text fails the quality rules and goes in the first stage; so do texts under 50
+words. Rows that repeat a doc_id are one document for near duplicates, of which one row stays; rows
+without doc_id pass that stage. In a group of near duplicates the smallest doc_id stays. A document
+exactly at a limit (posterior 0.5; a share of hit words of 1 in 20) is kept by the first and dropped by
+the third stage. Very long texts are one row in every stage. Columns beyond doc_id, text and source go
+along; slot and shard are replaced by the last stage's own. Empty tables give empty results.
 """
 
 from __future__ import annotations
