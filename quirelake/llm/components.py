@@ -11,6 +11,9 @@ from .common import materialize
 def components(edges: DataFrame) -> DataFrame:
     """edges: a, b (long). Result: node, root (the smallest node of its component), for every node of an edge between different nodes.
 
+    Repeated edges count once, edges from a node to itself and edges with a null end don't count; an empty table gives an
+    empty result.
+
     Each round hangs every node on its smallest neighbour, jumps pointers, and renames the ends of the edges.
     """
     alive = materialize(edges.where(F.col("a") != F.col("b")).select("a", "b").distinct(), "cc-edges")

@@ -15,7 +15,8 @@ tokens is spread over the ranges by the next word, so that no range holds a hot
 Words are known by 64-bit hashes, next words inside a context by 32 bits.
 
 Rows: a null or empty text is one end token; a null doc_id learns like an id whose remainder is 0;
-ids may repeat (each row is scored); an empty table gives an empty result; with no training text
+ids may repeat (each row is scored); a very long text is one row of one block, which it may make longer
+than BLOCK_TOKENS; equal scores need no order; an empty table gives an empty result; with no training text
 every probability comes from the empty base. Further columns are not read.
 """
 

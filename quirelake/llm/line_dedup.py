@@ -12,7 +12,8 @@ and templates.
 
 Rows: a null or empty text has no lines and stays as it is (null becomes empty); lines of fewer than
 MIN_TOKENS tokens and blank lines stay; doc_id may be null or repeat: a document is known by doc_id
-and text, so repeated rows are one document; an empty table gives an empty result. Further columns
+and text, so repeated rows are one document; a very long text is lines like any other, and a very long
+line is one template; counts that are exactly at a limit recur; an empty table gives an empty result. Further columns
 stay as they are.
 """
 

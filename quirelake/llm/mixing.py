@@ -9,8 +9,9 @@ are taken, whole, and a round's last block ends inside one document of the cell
 the words before the end are taken, in one run.
 
 Rows: doc_id may be null or repeat (each row is a document of its own); a null or empty text has
-size 0 and takes 0; a null source is a source of its own, last in order; an empty table gives an
-empty result. Other columns of the input are not read.
+size 0 and takes 0; a null source is a source of its own, last in order; a very long text is one row,
+of which the mix may take its first words; equal places on a line are ordered by doc_id and size; an
+empty table gives an empty result. Other columns of the input are not read.
 """
 
 from __future__ import annotations

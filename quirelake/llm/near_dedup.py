@@ -19,7 +19,8 @@ The chance that a pair with similarity 0.75 shares no band is (1 - 0.75^5)^40 =
 
 Rows: a null or empty text has no shingles and is linked with nothing; with 1 to 4 words the whole
 sequence is the one shingle; rows that repeat a doc_id are one document as far as links go; a row
-without doc_id is linked with nothing, has no component and is kept; an empty table gives an empty
+without doc_id is linked with nothing, has no component and is kept; a pair at exactly 75 in 100 is
+linked; a very long text is one set, compared whole; an empty table gives an empty
 result. Further columns are not read.
 """
 
