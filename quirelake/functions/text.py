@@ -97,9 +97,10 @@ def fingerprint(column: Column, key: bytes, canonical_already: bool = False) ->
     key = hashlib.sha256(key).digest() if len(key) > 64 else key
     block = key.ljust(64, b"\0")
     inner, outer = (F.lit(bytes(b ^ pad for b in block)) for pad in (0x36, 0x5C))
-    text = column if canonical_already else canonical(column)
-    digest = F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, text.cast("binary")), 256))), 256)
-    return F.when(text == "", "").otherwise(digest)
+    digest = lambda text: F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, text.cast("binary")), 256))), 256)
+    # an array of one, so that the canonical text is computed once though it is named twice
+    text = F.array(column if canonical_already else canonical(column))
+    return F.get(F.transform(text, lambda t: F.when(t == "", "").otherwise(digest(t))), F.lit(0))
 
 
 def report_subtype(column: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources import io
 
 
 def usability(pages: DataFrame, min_chars: int = T.MIN_CHARS, min_page_chars: int = T.MIN_PAGE_CHARS, min_ratio: float = T.MIN_TEXT_PAGE_RATIO) -> DataFrame:
@@ -52,7 +53,11 @@ def content_duplicates(df: DataFrame, key: bytes, text: str = "text", scope: str
     earliest other one). Texts are shuffled as fingerprints only."""
     from .archive import earliest_other
 
-    marked = df.where("archive_status = 'ACTIVE'").select("document_uuid", scope, "created_at", T.fingerprint(F.col(text), key).alias("fingerprint")).where("fingerprint <> ''")
+    marked = df.where("archive_status = 'ACTIVE'").select("document_uuid", scope, "created_at", T.fingerprint(F.col(text), key).alias("fingerprint"))
+    # three passes read it: written once, so that each text is normalised once
+    path = io.scratch(df.sparkSession, "fingerprints")
+    marked.where("fingerprint <> ''").write.parquet(path)
+    marked = df.sparkSession.read.schema(marked.schema).parquet(path)
     marked = marked.withColumn("_order", F.struct("created_at", "document_uuid"))
     found = earliest_other(marked, [scope, "fingerprint"], "_order", "document_uuid")
     return found.select("document_uuid", scope, "fingerprint", F.col("earliest_other").alias("duplicate_of"))
