@@ -203,13 +203,13 @@ def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_quality.exact_duplicates(_owned(spark, sf_dir))
 
 
-@query("SELECT CASE WHEN doc_id % 7 = 0 THEN 'MISSING' WHEN doc_id % 5 = 0 THEN 'CORRUPTED' ELSE 'VALID' END AS integrity_status, count(*) AS n FROM documents GROUP BY 1")
+@query("SELECT CASE WHEN lang = 'es' THEN 'MISSING' WHEN doc_id % 5 = 0 THEN 'CORRUPTED' ELSE 'VALID' END AS integrity_status, count(*) AS n FROM documents GROUP BY 1")
 def integrity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as files, with some contents lost or changed on the other side."""
     docs = D.table(spark, sf_dir, "documents")
     files = docs.select(F.col("doc_id").alias("uuid"), F.length(F.col("text").cast("binary")).alias("size_bytes"), F.sha2("text", 256).alias("sha256"))
     content = F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text"))
-    blobs = docs.where("doc_id % 7 <> 0").select(F.col("doc_id").alias("uuid"), F.length(content.cast("binary")).alias("length"), F.sha2(content, 256).alias("content_sha256"))
+    blobs = docs.where("lang <> 'es'").select(F.col("doc_id").alias("uuid"), F.length(content.cast("binary")).alias("length"), F.sha2(content, 256).alias("content_sha256"))
     return text_quality.integrity_counts(text_quality.integrity(files, blobs))
 
 
@@ -325,19 +325,19 @@ def pending_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = D.table(spark, sf_dir, "lineitem").where("l_returnflag <> 'A' AND l_linenumber % 2 = 0")
+    rows = D.table(spark, sf_dir, "lineitem").where("l_returnflag <> 'A' AND l_tax < 0.05")
     return rows.select(F.col("l_orderkey").alias("document_uuid"), F.col("l_linenumber").alias("page_number"), F.col("l_partkey").alias("uuid"), F.col("l_shipdate").cast("date").alias("detected_date"), F.lit("REPORT_DATE").alias("candidate_type"), F.col("l_discount").alias("score"), F.lit(True).alias("is_current"))
 
 
 @query("""WITH p AS (SELECT DISTINCT l_orderkey AS document_uuid, l_linenumber AS page_number FROM lineitem), l AS (SELECT l_orderkey AS document_uuid, l_linenumber AS page_number, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL),
-c AS (SELECT l_orderkey AS document_uuid, l_linenumber AS page_number, count(*) AS n FROM lineitem WHERE l_returnflag <> 'A' AND l_linenumber % 2 = 0 GROUP BY ALL)
+c AS (SELECT l_orderkey AS document_uuid, l_linenumber AS page_number, count(*) AS n FROM lineitem WHERE l_returnflag <> 'A' AND l_tax < 0.05 GROUP BY ALL)
 SELECT p.document_uuid, p.page_number, coalesce(l.n, 0) AS lab_rows, coalesce(c.n, 0) AS date_candidates FROM p LEFT JOIN l USING (document_uuid, page_number) LEFT JOIN c USING (document_uuid, page_number)""")
 def page_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = D.pages(spark, sf_dir)
     return rollup.page_counts(pages.select("document_uuid", "page_number").distinct(), pages.where("processing_status = 'READY'"), _candidates(spark, sf_dir))
 
 
-@query("""WITH c AS (SELECT l_orderkey AS document_uuid, l_linenumber AS page_number, string_agg(l_partkey, ' ' ORDER BY l_discount DESC, l_partkey, l_shipdate) AS ids FROM lineitem WHERE l_returnflag <> 'A' AND l_linenumber % 2 = 0 GROUP BY ALL)
+@query("""WITH c AS (SELECT l_orderkey AS document_uuid, l_linenumber AS page_number, string_agg(l_partkey, ' ' ORDER BY l_discount DESC, l_partkey, l_shipdate) AS ids FROM lineitem WHERE l_returnflag <> 'A' AND l_tax < 0.05 GROUP BY ALL)
 SELECT l_orderkey AS document_uuid, l_linenumber AS page_number, coalesce(ids, '') AS candidates, ids IS NULL AS requires_manual_date FROM lineitem LEFT JOIN c ON l_orderkey = document_uuid AND l_linenumber = page_number WHERE l_returnflag = 'N'""")
 def pending_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = D.pages(spark, sf_dir).withColumn("created_at", F.col("document_date"))
