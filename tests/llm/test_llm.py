@@ -290,7 +290,7 @@ def test_op2_table_by_hand():
     assert sharding.lookup_table(names) == brute_lookup(names, sharding.SLOTS)
 
 
-def test_edge_values(spark):
+def test_edge_values_by_hand(spark):
     """What nulls, empty texts, ties and repeated rows come out as, value by value."""
     schema = "doc_id long, text string, source string"
     docs = spark.createDataFrame([(1, None, "a"), (2, "", None), (3, "one two", "a"), (3, "one two", "a"), (None, "one two", None)], schema)
