@@ -646,7 +646,7 @@ def test_pipeline_on_whole_table_and_edges(spark, tmp_path):
     assert 0 < len(first) and sorted(first, key=str) == sorted((tuple(r) for r in corpus_pipeline.run(spark, SF).collect()), key=str)
     edge_docs(spark).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(BENCH, "item_id int, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    assert corpus_pipeline.run(spark, str(tmp_path)).count() >= 0
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0  # all are short or repeat themselves
 
 
 def test_sample_is_bounded(spark):
