@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -113,3 +113,40 @@ def fits_broadcast(df: DataFrame, max_rows: int, max_mb: int = MAX_BROADCAST_MB)
 
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+HOT_KEYS = 1000
+
+
+def attach(rows: DataFrame, table: DataFrame, key: list[str], weight: str, total: int, max_rows: int = 500_000, max_mb: int = 64) -> DataFrame:
+    """rows left joined with table, which has one row a key; weight: how many rows each key of table has, total: at least their sum.
+
+    A small table, counted and measured, is broadcast. Else only the keys that hold more than one row in HOT_KEYS of all are
+    (fewer than HOT_KEYS, whatever the data), and the rest is a merge join without any hot key. Keys that hold many rows
+    must be in table.
+    """
+    own = table.drop(weight)
+    if fits_broadcast(own, max_rows, max_mb):
+        return rows.join(F.broadcast(own), key, "left")
+    is_hot = F.col(weight) * F.lit(HOT_KEYS) > F.lit(total)
+    hot = table.where(is_hot).drop(weight)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.where(~is_hot).drop(weight).hint("merge"), key, "left")
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
+
+
+def ranked(rows: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
+    """rows with `idx` (from 0, the place in its group by order, nulls first) and `size` (the rows of the group), written and read back.
+
+    Rows are dealt by ranges of group and order, so a group of any size is spread over tasks; a group's rows in each range are
+    counted, and running sums of these counts (a row for each range that a group is in) place the ranges. group must not be null.
+    """
+    spark, by = rows.sparkSession, [group, *order]
+    sorted_rows = rows.repartitionByRange(parallelism(spark), *by).sortWithinPartitions(*by)
+    at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = materialize(sorted_rows.select("*", F.spark_partition_id().alias("_part"), at.alias("_at")), name)
+    runs = placed.groupBy("_part", group).agg(F.count("*").alias("_n"), F.min("_at").alias("_from"))
+    whole = Window.partitionBy(group)
+    before = F.coalesce(F.sum("_n").over(whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = materialize(runs.select("_part", group, (before - F.col("_from")).alias("_shift"), F.sum("_n").over(whole).alias("size")), f"{name}-runs")
+    runs = F.broadcast(runs) if fits_broadcast(runs, 500_000, 64) else runs.hint("merge")
+    return placed.join(runs, ["_part", group]).withColumn("idx", F.col("_at") + F.col("_shift")).drop("_part", "_at", "_shift")
