@@ -1,6 +1,8 @@
 """Mixing sources to target weights by Sainte-Lague apportionment of equal-token blocks.
 
-Sources win blocks of `block_tokens` words by highest quotient target / (2 * won + 1); a source's
+Sources win blocks of equally many words by highest quotient target / (2 * won + 1). A block has `block_tokens` words, or
+fewer if a source is small: a source's and its shards' quotas are whole blocks, so the smallest source's target must be
+`shards * 50` blocks at least for each source to come within 1 % of its target, or within a word, as blocks of one word are. A source's
 blocks go to its shards in the same way, in proportion to their words, which gives each cell
 (source, shard) an integer quota. Inside a cell the documents lie in a seeded order on a line of
 words that is cut into blocks of equal size (to a word); the first `quota` ones are taken, a second
@@ -93,15 +95,21 @@ def _picked_words() -> Column:
     return F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), end - F.col("start")))
 
 
-def _plan_cells(plan: MixPlan):
+def block_size(wanted: dict[str | None, float], shards: int, plan: MixPlan = MixPlan()) -> int:
+    """Words of a block: as many as leave every source with words 50 blocks for each of its shards, between 1 and block_tokens."""
+    least = min((w for w in wanted.values() if w > 0), default=0)
+    return max(1, min(plan.block_tokens, int(least // (50 * shards))))
+
+
+def _plan_cells(plan: MixPlan, block: int):
     """The quotas of one source's shards, from (source, _shard, words, source_size, target, won)."""
 
     def cells(own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values("_shard")
         size, target, won = int(own["source_size"].iloc[0]), float(own["target"].iloc[0]), int(own["won"].iloc[0])
         words = [int(w) for w in own["words"]]
-        n_blocks = [max(1, round(w / plan.block_tokens)) if w else 0 for w in words]
-        blocks = round(won * plan.block_tokens * sum(n_blocks) / size) if size else 0
+        n_blocks = [max(1, round(w / block)) if w else 0 for w in words]
+        blocks = round(won * block * sum(n_blocks) / size) if size else 0
         quotas = apportion([float(n) for n in n_blocks], min(blocks, int(plan.cap * sum(n_blocks))))
         rows = []
         for source, shard, line, n, quota in zip(own["source"], own["_shard"], words, n_blocks, quotas):
@@ -128,11 +136,12 @@ def mix(docs: DataFrame, plan: MixPlan = MixPlan(), keep: tuple[str, ...] = (),
     sizes: dict[str | None, int] = {r["source"]: r["words"] for r in cells.groupBy("source").agg(F.sum("words").alias("words")).collect()}
     wanted = targets(sizes, plan)
     sources = sorted(sizes, key=lambda s: (s is None, s or ""))
-    won = apportion([wanted[s] for s in sources], round(sum(wanted.values()) / plan.block_tokens))
+    block = block_size(wanted, shards, plan)
+    won = apportion([wanted[s] for s in sources], round(sum(wanted.values()) / block))
     shares = spark.createDataFrame([(s, sizes[s], float(wanted[s]), w) for s, w in zip(sources, won)], "_source string, source_size long, target double, won long")
     shares = F.broadcast(shares) if fits_broadcast(shares, max_broadcast) else shares.hint("merge")
     shared = cells.join(shares, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    plan_df = materialize(shared.groupBy("source").applyInPandas(_plan_cells(plan), CELLS), "mix-plan")
+    plan_df = materialize(shared.groupBy("source").applyInPandas(_plan_cells(plan, block), CELLS), "mix-plan")
     before = Window.partitionBy("source", "_shard").orderBy("_at", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.withColumn("start", F.coalesce(F.sum("size").over(before), F.lit(0)).cast("long"))
     p = plan_df.withColumnsRenamed({"source": "_source", "_shard": "_cell"})

@@ -37,6 +37,9 @@ RULES = (
 #: A word of letters (or a run of them, where words aren't set apart), with quotes and brackets around it and stops after it.
 PLAIN_WORD = r"(?<![^\x20\x09-\x0D])[\"'(\[«„“]*+[\p{L}\p{M}'’、。，！？-]++[.,;:!?\"')\]»”…]*+(?![^\x20\x09-\x0D])"
 
+#: Two capitals and later two exclamation marks before a word's first small letter. Neither run goes back, so a word is read once.
+SHOUT = r"(?<![^\x20\x09-\x0D])(?:(?![A-Z]{2})[^\x20\x09-\x0Da-z])*+[A-Z]{2}(?:(?!!!)[^\x20\x09-\x0Da-z])*+!!"
+
 
 def _once(value: Column, use) -> Column:
     """use(value), the value being computed once for a row although use names it many times."""
@@ -72,10 +75,10 @@ def with_features(docs: DataFrame, into: str, text: str = "text") -> DataFrame:
         _once(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         n_repeat_words(words).alias("n_repeat_words"),
         _once(lines, lambda x: F.size(x)).cast("long").alias("n_lines"),
-        F.regexp_count(body, F.lit(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0Da-z]*[A-Z]{2}[^\x20\x09-\x0Da-z]*!{2}")).cast("long").alias("n_shouts"),
+        F.regexp_count(body, F.lit(SHOUT)).cast("long").alias("n_shouts"),
         F.regexp_count(body, F.lit(PLAIN_WORD)).cast("long").alias("n_plain_words"),
         F.regexp_count(body, F.lit(r"(?<![^\x20\x09-\x0D])\|(?![^\x20\x09-\x0D])")).cast("long").alias("n_bars"),
-        F.regexp_count(body, F.lit(r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+\1(?![^\x20\x09-\x0D])")).cast("long").alias("n_stutters"),
+        F.regexp_count(body, F.lit(r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]++)[\x20\x09-\x0D]++\1(?![^\x20\x09-\x0D])")).cast("long").alias("n_stutters"),
     )
     return df.withColumn(into, counts).drop(name)
 

@@ -216,12 +216,16 @@ def test_broadcasts_are_measured(spark):
     assert common.fits_broadcast(df, 10) and not common.fits_broadcast(df, 9) and not common.fits_broadcast(df, 10, 1) and common.fits_broadcast(df.limit(0), 0)
 
 
-def brute_mix(rows, plan):
+def brute_mix(rows, plan, shards=64):
     """taken of each (doc_id, text, source), by quotas of blocks and a walk along each cell's line, in plain Python; cells as Spark deals them."""
     size = collections.Counter()
     for r in rows:
         size[r.source] += r.size
     wanted = mixing.targets(dict(size), plan)
+    # a block's words: 50 blocks for each shard of the smallest source, 64 words at most and one at least
+    block = 1
+    while block < plan.block_tokens and min(w for w in wanted.values() if w > 0) >= 50 * shards * (block + 1):
+        block += 1
 
     def seats(wants, n):
         got = [0] * len(wants)
@@ -231,7 +235,7 @@ def brute_mix(rows, plan):
         return got
 
     sources = sorted(size, key=lambda s: (s is None, s or ""))
-    won = dict(zip(sources, seats([wanted[s] for s in sources], round(sum(wanted.values()) / plan.block_tokens))))
+    won = dict(zip(sources, seats([wanted[s] for s in sources], round(sum(wanted.values()) / block))))
     taken = {}
     for s in sources:
         cells = collections.defaultdict(list)
@@ -240,8 +244,8 @@ def brute_mix(rows, plan):
                 cells[r.cell].append(r)
         order = sorted(cells)
         words = [sum(r.size for r in cells[c]) for c in order]
-        blocks = [max(1, round(n / plan.block_tokens)) if n else 0 for n in words]
-        most = round(won[s] * plan.block_tokens * sum(blocks) / size[s]) if size[s] else 0
+        blocks = [max(1, round(n / block)) if n else 0 for n in words]
+        most = round(won[s] * block * sum(blocks) / size[s]) if size[s] else 0
         for c, line, n, quota in zip(order, words, blocks, seats([float(b) for b in blocks], min(most, int(plan.cap * sum(blocks))))):
             rounds, picks = divmod(quota, n) if n else (0, 0)
             end, at = line * picks // n if n else 0, 0
@@ -269,6 +273,27 @@ def test_op10_many_sources(spark):
     assert time.time() - began < 60
 
 
+@pytest.mark.parametrize("large", [0, 1, 40_000])
+def test_op10_small_sources_come_near_their_targets(spark, large):
+    """500 sources of 1 to 40 words, alone or beside a large one."""
+    rows = [(i, "w " * (1 + i % 40), f"s{i:04d}") for i in range(500)] + [(1000 + i, "w " * (20 + i % 300), "zz") for i in range(large // 10)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    source = {r[0]: r[2] for r in rows}
+    taken, target = collections.Counter(), {}
+    for r in got:
+        taken[source[r.doc_id]] += r.taken
+        target[source[r.doc_id]] = r.target
+        assert 0 <= r.taken <= 2 * r.size
+    assert len(got) == len(rows) and all(abs(taken[s] - t) <= max(1.0, 0.01 * t) for s, t in target.items())
+
+
+def test_op10_every_source_is_near_on_the_given_table(spark):
+    docs = common.read_table(spark, "/root/testdata/sf0.01", "documents")
+    got = mixing.mix(docs.select("doc_id", "text", "source", F.col("source").alias("of")), keep=("of",))
+    per = got.groupBy("of").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    assert len(per) == 20 and all(abs(r.taken - r.target) <= max(1.0, 0.01 * r.target) for r in per)
+
+
 def brute_lookup(shards, slots):
     """Shards claim slots in turn along their permutations, which are written out in full."""
     number = lambda t: int(hashlib.md5(t.encode()).hexdigest()[:16], 16)
@@ -653,3 +678,36 @@ def test_sample_is_bounded(spark):
     docs = common.read_table(spark, SF, "documents")
     labels = docs.select("doc_id", F.lit(1).alias("toxic"))
     assert linear.labelled_sample(docs, labels, "toxic", F.lit(True), 10).count() == 10
+
+
+@pytest.mark.parametrize("word", ["A" * 1_000_000, "7" * 1_000_000, "z" * 1_000_000, "Ab!" * 333_333, "A!" * 500_000, "#|" * 500_000])
+def test_a_word_of_a_megabyte_is_read_in_linear_time(spark, word):
+    df = spark.createDataFrame([(1, f"7 word {word} end!! {word} {word}\n{word}"), (2, "SOME WORDS!! HERE!! x")], "doc_id long, text string")
+    one = line_dedup.lines_of(df.limit(0))  # the session is warm
+    quality_rules.with_features(df.where("doc_id = 2"), "q").collect()
+    one.collect()
+    began = time.time()
+    lines = line_dedup.lines_of(df).collect()
+    between = time.time()
+    features = {r.doc_id: r.q for r in quality_rules.with_features(df, "q").select("doc_id", "q").collect()}
+    assert between - began < 10 and time.time() - between < 10
+    assert [x if len(x) < 100 else "long" for x in lines[0].tokens] == ["<*>", "word", "<*>" if "7" in word else "long", "end!!", *["<*>" if "7" in word else "long"] * 2]
+    assert features[1].n_words == 7 and features[1].n_shouts == 0 and features[2].n_shouts == 2 and features[1].n_stutters == 1
+
+
+def shouts(text):
+    """Words with two capitals and later two exclamation marks before any small letter, one by one."""
+    n = 0
+    for w in WORD.findall(text):
+        head = re.match("[^a-z]*", w)[0]
+        pair = re.search("[A-Z][A-Z]", head)
+        n += bool(pair and "!!" in head[pair.end() :])
+    return n
+
+
+def test_op6_shouts_by_hand(spark):
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(list("AB!!a 9é"), 60)) for _ in range(400)] + ["AB!!", "AB!", "!!AB", "AAA!!x", "aAB!!", "!AB9!!!", "A!B!!AB!!", ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.q.n_shouts for r in quality_rules.with_features(df, "q").collect()}
+    assert [got[i] for i in range(len(texts))] == [shouts(t) for t in texts]
