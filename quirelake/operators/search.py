@@ -121,25 +121,16 @@ def keyword(df: DataFrame, query: str, fields: dict[str, float] = FIELDS) -> Dat
     return held.where(F.size(every) == len(wanted)).withColumn("rank", rank).drop("_hits")
 
 
-def postings(df: DataFrame, fields: dict[str, float] = FIELDS) -> DataFrame:
-    """token, document_uuid, field, n: a table to search large corpora by, laid out by token."""
-    used = [f for f in fields if f in df.columns]
-    each = [df.select("document_uuid", F.lit(f).alias("field"), F.explode(tokens(F.col(f))).alias("token")) for f in used]
-    rows = each[0]
-    for more in each[1:]:
-        rows = rows.union(more)
-    return rows.groupBy("token", "document_uuid", "field").agg(F.count("*").alias("n"))
-
-
 def search_order(df: DataFrame, ranked: bool) -> DataFrame:
     """Best rank first if there is a keyword, then newest first."""
     keys = [F.desc("document_date"), F.desc("created_at"), F.desc("document_uuid")]
     return df.orderBy(*([F.desc("rank")] if ranked else []), *keys)
 
 
-def search(df: DataFrame, filters: dict) -> DataFrame:
-    """Active documents by all given filters, in search order; a keyword is looked for after the other filters."""
-    from . import archive
+def search(df: DataFrame, filters: dict, index: str | None = None) -> DataFrame:
+    """Active documents by all given filters, in search order; a keyword is looked for after the other filters, in the index
+    under that path if there is one, else in the texts."""
+    from . import archive, search_index
 
     f = validate_filters(filters)
     df = archive.by_facility(archive.by_type(archive.active(df), f.get("document_type")), f.get("facility"))
@@ -149,4 +140,6 @@ def search(df: DataFrame, filters: dict) -> DataFrame:
     for key, column in (("department", "department"), ("physician", "physician_name")):
         if f.get(key):
             df = df.where(icontains(column, f[key]))
-    return search_order(keyword(df, f["q"]), True) if f.get("q") else search_order(df, False)
+    if not f.get("q"):
+        return search_order(df, False)
+    return search_order(search_index.keyword(df, index, f["q"]) if index else keyword(df, f["q"]), True)

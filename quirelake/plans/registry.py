@@ -517,4 +517,4 @@ def dq_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # the other families register themselves
-from . import checks, people, sinks, states  # noqa: E402, F401
+from . import checks, people, sinks, states, stores  # noqa: E402, F401
