@@ -174,56 +174,59 @@ def request_hash(*columns: Column) -> Column:
     return F.sha2(F.to_json(F.struct(*columns)), 256)
 
 
-#: The tokens of a JSON text; what isn't well formed is a token as it stands.
-_JSON_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"?|[{}\[\]:,]|\s+|[^\s{}\[\]:,"]+', re.S)
-
-
-def redact_json(text: str, keys: frozenset[str]) -> str:
-    """A JSON text with the values of the keys replaced, whatever they hold and however deep they stand; the rest as it is."""
-    tokens, out, i = _JSON_TOKEN.findall(text), [], 0
-    while i < len(tokens):
-        token = tokens[i]
-        out.append(token)
-        i += 1
-        if not token.startswith('"') or _json_key(token) not in keys:
-            continue
-        colon = next((j for j in range(i, len(tokens)) if not tokens[j].isspace()), len(tokens))
-        if colon == len(tokens) or tokens[colon] != ":":
-            continue
-        out.append(f':"{REDACTED}"')
-        i, depth, begun = colon + 1, 0, False
-        while i < len(tokens) and not (begun and depth == 0):
-            depth += (tokens[i] in "{[") - (tokens[i] in "}]")
-            begun |= not tokens[i].isspace()
-            i += 1
-    return "".join(out)
-
-
-def _json_key(token: str) -> str:
-    import json
-
-    try:
-        return json.loads(token, strict=False)
-    except ValueError:
-        return token
+#: A JSON text's strings, and its tokens; what isn't well formed is a token as it stands.
+_JSON_STRING = r'"(?:[^"\\]|\\.)*+"'
+_JSON_TOKEN = r'(?s)"(?:[^"\\]|\\.)*+"?|[{}\[\]:,]|\s++|[^\s{}\[\]:,"]++'
+#: Values that are nested so deep are matched by one pattern; deeper ones token by token.
+NESTING = 8
 
 
-def redact(column: Column, keys: tuple[str, ...] = SENSITIVE_KEYS) -> Column:
-    """A JSON text with the values of sensitive keys replaced at any depth, in objects and arrays, whatever the value is.
+def _json_value(depth: int) -> str:
+    """A pattern of JSON values up to some depth of nesting, which never goes back."""
+    nested = r"[{\[][^{}\[\]\"]*+[}\]]"
+    for _ in range(depth):
+        nested = rf'[{{\[](?:[^{{}}\[\]"]++|{_JSON_STRING}|{nested})*+[}}\]]'
+    return rf"{_JSON_STRING}|-?[0-9][0-9.eE+-]*+|true|false|null|{nested}"
+
 
-    Texts and numbers are replaced in the JVM; rows in which such a key has an object or an array, or in which a key may be
-    written with escapes, go through Python.
+def _redact_tokens(column: Column, keys: tuple[str, ...]) -> Column:
+    """The values of the keys replaced by a walk over the tokens: at any depth, behind escaped keys, and up to the end if a value never ends.
+
+    The walk is in a text (0), behind a key (1), before a value's first token (2) or in it (3); `held` is white space behind a key.
     """
-    names, wanted = "|".join(keys), frozenset(keys)
 
-    @F.pandas_udf(StringType())
-    def nested(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: redact_json(t, wanted), na_action="ignore")
+    def sensitive(token: Column) -> Column:
+        plain = F.substring(token, 2, F.length(token) - 2)
+        key = F.when(token.contains("\\"), F.get_json_object(F.concat(F.lit('{"k":'), token, F.lit("}")), "$.k")).otherwise(plain)
+        return F.startswith(token, F.lit('"')) & F.coalesce(key.isin(*keys), F.lit(False))
+
+    def state(out: Column, held: Column, depth: Column, mode: Column) -> Column:
+        return F.struct(out.alias("out"), held.alias("held"), depth.cast("int").alias("depth"), mode.cast("int").alias("mode"))
+
+    def step(s: Column, t: Column) -> Column:
+        blank, nothing, none = F.trim(F.regexp_replace(t, r"\s", " ")) == "", F.lit(""), F.lit(0)
+        depth = s["depth"] + F.when(t.isin("{", "["), 1).when(t.isin("}", "]"), -1).otherwise(0)
+        begun = (s["mode"] == 3) | ~blank
+        skipped = state(s["out"], nothing, depth, F.when(begun & (depth == 0), 0).when(begun, 3).otherwise(2))
+        spoken = state(F.concat(s["out"], s["held"], t), nothing, none, F.when(sensitive(t), 1).otherwise(0))
+        replaced = state(F.concat(s["out"], F.lit(f':"{REDACTED}"')), nothing, none, F.lit(2))
+        waiting = state(s["out"], F.concat(s["held"], t), none, F.lit(1))
+        return F.when(s["mode"] >= 2, skipped).when((s["mode"] == 1) & blank, waiting).when((s["mode"] == 1) & (t == ":"), replaced).otherwise(spoken)
 
-    scalar = r'"(?:[^"\\]|\\.)*+"|-?[0-9.eE+-]+|true|false|null'
-    flat = F.regexp_replace(column, rf'"({names})"\s*:\s*(?:{scalar})', '"$1":"' + REDACTED.replace("[", r"\[") + '"')
-    deep = column.rlike(rf'"({names})"\s*:\s*[^\s"0-9tfn-]') | column.contains("\\u")
-    return F.when(deep, nested(F.when(deep, column))).otherwise(flat)
+    start = state(F.lit(""), F.lit(""), F.lit(0), F.lit(0))
+    return F.aggregate(F.regexp_extract_all(column, F.lit(_JSON_TOKEN), F.lit(0)), start, step, lambda s: F.concat(s["out"], s["held"]))
+
+
+def redact(column: Column, keys: tuple[str, ...] = SENSITIVE_KEYS) -> Column:
+    """A JSON text with the values of sensitive keys replaced at any depth, in objects and arrays, whatever the value is.
+
+    One pattern replaces values up to NESTING levels deep. Rows in which a key still has a value of its own then (a deeper one, or one that
+    never ends), or in which a key may be written with escapes, are walked token by token. All of it runs in the JVM.
+    """
+    names = "|".join(keys)
+    flat = F.regexp_replace(column, rf'(?s)"({names})"\s*+:\s*+(?:{_json_value(NESTING)})', '"$1":"' + REDACTED.replace("[", r"\[") + '"')
+    left = flat.rlike(rf'"({names})"\s*+:(?!"{re.escape(REDACTED)}")') | column.contains("\\u")
+    return F.when(left, _redact_tokens(column, keys)).otherwise(flat)
 
 
 def text_outcome(usable: Column) -> Column:

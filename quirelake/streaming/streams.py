@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import series
 from ..operators.audit import latest_event
@@ -85,6 +86,63 @@ def stream_rates(points: DataFrame) -> DataFrame:
     return points.groupBy(*series.KEY).applyInPandasWithState(rates, POINT, "ts long, value double", "append", "NoTimeout")
 
 
+class CounterRates(StatefulProcessor):
+    """Rates of a counter by event time. A series' state is its last settled point, and the points that the watermark hasn't passed yet; a timer
+    at the earliest of these fires once it has, and then all that are due are put in order, the last arrival of a second winning, and give their
+    rates. A series without points for `retention_seconds` is forgotten by a timer of its own, so state doesn't grow with names that were once seen.
+    """
+
+    def __init__(self, retention_seconds: int):
+        self.retention = retention_seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "ts long, value double")
+        self.pending = handle.getListState("pending", "ts long, arrival long, value double")
+
+    def handleInputRows(self, key, rows, timerValues):
+        frames = [f[["ts", "arrival", "value"]] for f in rows]
+        points = [(int(t), int(a), float(v)) for f in frames for t, a, v in zip(f["ts"], f["arrival"], f["value"])]
+        if points:
+            self.pending.appendList(points)
+            self.handle.registerTimer(min(p[0] for p in points) * 1000)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        passed = timerValues.getCurrentWatermarkInMs()
+        waiting = list(self.pending.get()) if self.pending.exists() else []
+        due = sorted((p for p in waiting if p[0] * 1000 <= passed), key=lambda p: (p[0], p[1]))
+        left = [p for p in waiting if p[0] * 1000 > passed]
+        last = self.last.get() if self.last.exists() else None
+        points = list({p[0]: p for p in due if last is None or p[0] > last[0]}.values())  # the last of each second
+        if len(left) < len(waiting):
+            self.pending.put(left) if left else self.pending.clear()
+        if left:
+            self.handle.registerTimer(min(p[0] for p in left) * 1000)
+        if points:
+            before = [] if last is None else [(last[0], 0, last[1])]
+            ts, value = (np.array([p[i] for p in before + points], kind) for i, kind in ((0, np.int64), (2, np.float64)))
+            self.last.update((int(ts[-1]), float(value[-1])))
+            self.handle.registerTimer((int(ts[-1]) + self.retention) * 1000)
+            rate = np.maximum(0.0, np.diff(value) / np.diff(ts) * 1024)
+            if len(rate):
+                yield pd.DataFrame({"service": key[0], "metric": key[1], "ts": ts[1:], "value": rate})
+        elif last is not None and not left and (last[0] + self.retention) * 1000 <= passed:
+            self.last.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def settled_rates(points: DataFrame, lateness: str, retention_seconds: int) -> DataFrame:
+    """Counters (service, metric, ts, value, arrival) to rates, each point once the watermark has passed it: points may come as late as `lateness`
+    in any order and give the rates that sorted points would; later ones are left out. For append mode; state is kept in RocksDB and
+    restored from the checkpoint."""
+    points.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    timed = points.withColumn("event_time", F.timestamp_seconds("ts")).withWatermark("event_time", lateness)
+    return timed.groupBy(*series.KEY).transformWithStateInPandas(CounterRates(retention_seconds), POINT, "append", "eventtime")
+
+
 def live_current_peak(points: DataFrame, window_seconds: int, now) -> DataFrame:
     """Current value and peak of each series over the trailing window of the retained points."""
     return series.current_peak(series.within(points, now, window_seconds))

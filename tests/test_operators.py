@@ -2,6 +2,9 @@
 
 import hashlib
 import hmac
+import json
+import random
+import re
 from datetime import date, datetime
 
 import pytest
@@ -392,3 +395,56 @@ def test_quality_limits_and_adult_owner(spark):
     assert rows(quality.violations(pages, "pages_per_document")) == [("pages_per_document", "a", 251)]
     people = spark.range(1).selectExpr("explode(array('u', null)) AS user_uuid").selectExpr("user_uuid", "explode(array(add_months(current_date(), -216), add_months(current_date(), -216) + 1, null)) AS date_of_birth")
     assert [(r.user_uuid, r.rule) for r in quality.violations(people, "owner_adult").collect()] == [("u", "owner_adult")]
+
+
+_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"?|[{}\[\]:,]|\s+|[^\s{}\[\]:,"]+', re.S)
+
+
+def brute_redact(text, keys):
+    """The values of the keys replaced by a walk in plain Python."""
+
+    def key(token):
+        try:
+            return json.loads(token, strict=False)
+        except ValueError:
+            return token
+
+    tokens, out, i = _TOKEN.findall(text), [], 0
+    while i < len(tokens):
+        token = tokens[i]
+        out.append(token)
+        i += 1
+        if not token.startswith('"') or key(token) not in keys:
+            continue
+        colon = next((j for j in range(i, len(tokens)) if not tokens[j].isspace()), len(tokens))
+        if colon == len(tokens) or tokens[colon] != ":":
+            continue
+        out.append(f':"{T.REDACTED}"')
+        i, depth, begun = colon + 1, 0, False
+        while i < len(tokens) and not (begun and depth == 0):
+            depth += (tokens[i] in "{[") - (tokens[i] in "}]")
+            begun |= not tokens[i].isspace()
+            i += 1
+    return "".join(out)
+
+
+def test_redaction_equals_a_walk_over_random_json(spark):
+    rng = random.Random(11)
+    names = ["token", "password", "path", "a", "to\\u006ben", "x", "token "]
+
+    def value(depth):
+        kind = rng.random()
+        if depth == 0 or kind < 0.45:
+            return rng.choice(['"s"', '"t\\"oken\\": 1"', "12", "-1.5e3", "true", "null", '"}]"', '"\\\\"', '""'])
+        space = rng.choice(["", " ", "\n\t"])
+        if kind < 0.75:
+            return "{" + ",".join(f'{space}"{rng.choice(names)}"{space}:{space}{value(depth - 1)}' for _ in range(rng.randint(0, 3))) + space + "}"
+        return "[" + ",".join(space + value(depth - 1) for _ in range(rng.randint(0, 3))) + "]"
+
+    texts = [value(rng.randint(1, 14)) for _ in range(1500)]
+    texts += ['{"token":' + "[" * k + "1" + "]" * k + ',"x":1}' for k in range(1, 30)]
+    plan = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", T.redact(F.col("t")).alias("t"))
+    assert "Python" not in plan._jdf.queryExecution().executedPlan().toString()
+    got = {r.i: r.t for r in plan.collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == brute_redact(t, set(T.SENSITIVE_KEYS)), t
