@@ -75,7 +75,7 @@ def with_features(docs: DataFrame, into: str, text: str = "text") -> DataFrame:
         _once(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         n_repeat_words(words).alias("n_repeat_words"),
         _once(lines, lambda x: F.size(x)).cast("long").alias("n_lines"),
-        F.regexp_count(body, F.lit(SHOUT)).cast("long").alias("n_shouts"),
+        F.when(body.contains("!!"), F.regexp_count(body, F.lit(SHOUT))).otherwise(0).cast("long").alias("n_shouts"),
         F.regexp_count(body, F.lit(PLAIN_WORD)).cast("long").alias("n_plain_words"),
         F.regexp_count(body, F.lit(r"(?<![^\x20\x09-\x0D])\|(?![^\x20\x09-\x0D])")).cast("long").alias("n_bars"),
         F.regexp_count(body, F.lit(r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]++)[\x20\x09-\x0D]++\1(?![^\x20\x09-\x0D])")).cast("long").alias("n_stutters"),
