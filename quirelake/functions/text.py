@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 #: Digits and separators that dates are written with.
 ARABIC_DIGITS, ASCII_DIGITS = "٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹", "01234567890123456789"
@@ -61,26 +62,75 @@ UNIT_ALIASES = {
 
 @F.pandas_udf(StringType())
 def _nfkc(texts: pd.Series) -> pd.Series:
-    import unicodedata
-
     return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
+class _Letters(dict):
+    """Code point to its form NFKC, each looked up once."""
+
+    def __missing__(self, code: int) -> str:
+        self[code] = form = unicodedata.normalize("NFKC", chr(code))
+        return form
+
+
+_LETTERS = _Letters()
+
+
+@F.pandas_udf(StringType())
+def _nfkc_letters(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: t.translate(_LETTERS), na_action="ignore")
+
+
+def nfkc_letters(column: Column) -> Column:
+    """Form NFKC letter by letter: letters that compose with the one before stay apart, so each place has one letter that it comes from."""
+    plain = column.rlike(r"^[\x00-\x7F]*$")
+    return F.when(plain, column).otherwise(_nfkc_letters(F.when(~plain, column)))
+
+
 def nfkc(column: Column) -> Column:
     """Unicode form NFKC; ASCII texts are passed through without leaving the JVM's result."""
     plain = column.rlike(r"^[\x00-\x7F]*$")
     return F.when(plain, column).otherwise(_nfkc(F.when(~plain, column)))
 
 
+#: White space to Python, but no white space to a pattern.
+_SEPARATING = "\x1c\x1d\x1e\x1f"
+
+
 def normalize_text(column: Column, form: bool = True) -> Column:
-    """Text as dates are looked for in it: NFKC, ASCII digits, plain separators, no control or format characters, runs of
+    """Text as dates are looked for in it: NFKC letter by letter, ASCII digits, plain separators, no control or format characters, runs of
     white space as one blank, or one newline if there is one in the run. form=False leaves out NFKC."""
-    text = F.translate(nfkc(column) if form else column, ARABIC_DIGITS + SEPARATORS_FROM, ASCII_DIGITS + SEPARATORS_TO)
+    text = F.translate(nfkc_letters(column) if form else column, ARABIC_DIGITS + SEPARATORS_FROM + _SEPARATING, ASCII_DIGITS + SEPARATORS_TO + " " * len(_SEPARATING))
     text = F.regexp_replace(text, r"(?U)[\p{Cc}\p{Cf}&&[^\s]]", "")
     text = F.regexp_replace(text, r"(?U)\s*[\r\n]\s*", "\n")
     return F.regexp_replace(text, r"(?U)[\s&&[^\n]]+", " ")
 
 
+_DATE_LETTERS = str.maketrans(ARABIC_DIGITS + SEPARATORS_FROM, ASCII_DIGITS + SEPARATORS_TO)
+
+
+def letter_places(raw: str) -> tuple[str, list[int]]:
+    """A text's normal form, as normalize_text gives it, and for each of its letters the place in the text that it comes from."""
+    letters: list[str] = []
+    places: list[int] = []
+    for at, c in enumerate(raw):
+        for form in _LETTERS[ord(c)].translate(_DATE_LETTERS):
+            blank = form.isspace()
+            if blank and letters and letters[-1] in (" ", "\n"):
+                if form in "\r\n":
+                    letters[-1] = "\n"
+            elif blank or unicodedata.category(form) not in ("Cc", "Cf"):
+                letters.append(("\n" if form in "\r\n" else " ") if blank else form)
+                places.append(at)
+    return "".join(letters), places
+
+
+@F.pandas_udf(StructType([StructField("text", StringType()), StructField("places", ArrayType(IntegerType()))]))
+def normal_form(raw: pd.Series) -> pd.DataFrame:
+    """letter_places of each text, in one pass; a null text has neither."""
+    return pd.DataFrame([(None, None) if t is None else letter_places(t) for t in raw], columns=["text", "places"])
+
+
 def meaningful(column: Column) -> Column:
     """How many letters and digits, of any script, the text has."""
     return F.length(F.regexp_replace(F.coalesce(column, F.lit("")), r"[^\p{L}\p{N}]", ""))

@@ -6,12 +6,10 @@ expressions on the page's text; pages without digits drop out before anything el
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
-from ..functions.text import normalize_text
+from ..functions.text import normal_form, normalize_text
 
 #: Month names and their numbers.
 MONTHS = {
@@ -198,42 +196,31 @@ def context(maximum: int = CONTEXT) -> Column:
     return F.when(F.length(line) <= maximum, line).otherwise(F.substring(line, F.greatest(F.lit(0), right - maximum) + 1, F.lit(maximum)))
 
 
-@F.pandas_udf(StringType())
-def raw_slice(raw: pd.Series, start: pd.Series, end: pd.Series) -> pd.Series:
-    """The part of the raw text that a span of its normalised form comes from."""
-    import unicodedata
-
-    def one(text: str, i: int, j: int) -> str:
-        places, blank = [], False
-        for at, character in enumerate(text):
-            for c in unicodedata.normalize("NFKC", character):
-                if c.isspace():
-                    if not blank:
-                        places.append(at)
-                    blank = True
-                elif unicodedata.category(c) not in ("Cc", "Cf"):
-                    places.append(at)
-                    blank = False
-        return text[places[i] : places[j - 1] + 1] if 0 <= i < j <= len(places) else ""
-
-    return pd.Series([one(t, i, j) for t, i, j in zip(raw, start, end)])
+def raw_slice(start: str = "start", end: str = "end") -> Column:
+    """The part of the raw text that a span of its normal form comes from, by the places of the form's letters."""
+    first, last = F.get("places", F.col(start)), F.get("places", F.col(end) - 1)
+    return F.substring(F.col("raw"), first + 1, last - first + 1)
 
 
 def detect_dates(pages: DataFrame, today: Column, future_days: int = FUTURE_DAYS, normalized: bool = False, keep_raw: bool = False) -> DataFrame:
     """Date candidates of pages (document_uuid, page_number, source, text): one row each, with type, score and context.
 
-    normalized: the text is in normal form already. keep_raw: with raw_value, by the one Python function here.
+    normalized: the text is in normal form already. keep_raw: with raw_value; one Python function gives the normal form and its letters' places then.
     """
     # NFKC makes digits of other numbers, so they may not be digits yet
     rows = pages.where(F.col("text").rlike(r"\p{N}")).select("document_uuid", "page_number", "source", F.col("text").alias("raw"))
-    rows = _fixed(rows, text=F.col("raw") if normalized else normalize_text(F.col("raw")))
+    if keep_raw:
+        form = _fixed(rows, form=normal_form("raw"))
+        rows = form.select("document_uuid", "page_number", "source", "raw", F.col("form.places").alias("places"), (F.col("raw") if normalized else F.col("form.text")).alias("text"))
+    else:
+        rows = _fixed(rows, text=F.col("raw") if normalized else normalize_text(F.col("raw")))
     df = _fixed(classify(scan_dates(rows if keep_raw else rows.drop("raw"))), score=score(today, future_days))
     compact = F.col("rule").startswith("COMPACT")
     hinted = F.lower(F.col("_line")).rlike("|".join(rf"\Q{h}\E" for h in IDENTIFIER_HINTS))
     df = df.where(~compact | (~F.col("kind").isin("UNKNOWN", "DATE_OF_BIRTH") & ~hinted & (F.col("day") <= F.date_add(today, future_days))))
     return df.select(
         "document_uuid", "page_number", "source", F.col("start").alias("occurrence_index"), F.col("rule").alias("parsing_rule"), F.col("value").alias("normalized_value"),
-        *([raw_slice("raw", "start", "end").alias("raw_value")] if keep_raw else []),
+        *([raw_slice().alias("raw_value")] if keep_raw else []),
         F.col("day").alias("detected_date"), F.col("other").alias("alternative_date"), F.col("other").isNotNull().alias("ambiguous"), F.col("kind").alias("candidate_type"),
         F.when(compact, F.round(F.greatest(F.lit(0.0), F.col("score") - COMPACT_PENALTY), 4)).otherwise(F.col("score")).alias("score"), context().alias("context"),
     )

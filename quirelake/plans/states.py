@@ -313,9 +313,9 @@ def date_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT o_orderkey AS document_uuid, translate(strftime(o_orderdate, '%Y/%m/%d'), '0123456789', '٠١٢٣٤٥٦٧٨٩') AS raw_value, strftime(o_orderdate, '%Y/%m/%d') AS normalized_value,
   'ref ' || o_custkey || ' Issued: ' || strftime(o_orderdate, '%Y/%m/%d') || ' end' AS context FROM orders""")
 def date_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The raw slice that a date comes from, and its line."""
+    """The raw slice that a date comes from, and its line, behind decomposed letters, ligatures, fractions and control characters."""
     arabic = F.translate(F.date_format("o_orderdate", "yyyy/MM/dd"), "0123456789", "٠١٢٣٤٥٦٧٨٩")
-    text = F.concat(F.lit("ﬁrst line\u200f\nref  "), F.col("o_custkey").cast("string"), F.lit("\tIssued: "), arabic, F.lit("  end\nlast"))
+    text = F.concat(F.lit("ﬁrst cafe\u0301 \u1e9b\u0323 ½ \x1f\x07 line\u200f\x1c\nref  "), F.col("o_custkey").cast("string"), F.lit("\tIssued: "), arabic, F.lit("  end\nlast"))
     pages = D.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("document_uuid"), F.lit(1).alias("page_number"), F.lit("OCR").alias("source"), text.alias("text"))
     return dates.detect_dates(pages, F.lit(TODAY), keep_raw=True).select("document_uuid", "raw_value", "normalized_value", "context")
 

@@ -448,3 +448,23 @@ def test_redaction_equals_a_walk_over_random_json(spark):
     got = {r.i: r.t for r in plan.collect()}
     for i, t in enumerate(texts):
         assert got[i] == brute_redact(t, set(T.SENSITIVE_KEYS)), t
+
+
+def test_normal_form_and_its_places_agree_with_the_expression(spark):
+    rng = random.Random(2)
+    letters = list("ab1 \t\n\r\f\v\x1c\x1f\x07\x85  ‏﻿­⁄٣۴–é") + ["é", "ﬁ", "½", "ẛ̣", "Å", "한", "한", "㎏", "𝟙", "　"]
+    texts = ["".join(rng.choices(letters, k=rng.randint(0, 25))) for _ in range(800)] + ["", "plain ascii  text\n"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r for r in df.select("i", T.normalize_text(F.col("t")).alias("text"), T.normal_form("t").alias("form")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i].text == got[i].form.text, repr(t)
+        assert len(got[i].form.places) == len(got[i].text) and all(0 <= p < len(t) for p in got[i].form.places) and got[i].form.places == sorted(got[i].form.places)
+    assert spark.createDataFrame([(None,)], "t string").select(T.normal_form("t").alias("f")).first().f.text is None
+
+
+@pytest.mark.parametrize("before", ["café", "cafe", "ﬁ½", "\x1c\x07‏", "한", ""])
+def test_raw_value_behind_odd_letters(spark, before):
+    df = spark.createDataFrame([("a", 1, "OCR", f"{before} Issued: ٢٠٢٠-01-02 end")], PAGE)
+    found = dates.detect_dates(df, F.lit(TODAY), keep_raw=True).collect()
+    assert [(r.raw_value, r.normalized_value, r.candidate_type) for r in found] == [("٢٠٢٠-01-02", "2020-01-02", "ISSUE_DATE")]
+    assert [r.occurrence_index for r in found] == [r.occurrence_index for r in dates.detect_dates(df, F.lit(TODAY)).collect()]
