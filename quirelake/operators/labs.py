@@ -8,11 +8,12 @@ are the unit of parallelism; nothing else is ever grouped.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_test, normalize_unit
+from ..sources import io
+from .quality import box_ok
 
 PAGE = ("document_uuid", "page_number")
 TOLERANCE, NOISE_HEIGHT, NO_HEADER = 0.6, 1.6, 0.85
@@ -219,12 +220,19 @@ def assemble(rows: DataFrame) -> DataFrame:
     return df.where((F.col("test_name_raw") != "") & (F.col("result_raw") != "") & ~F.lower("test_name_raw").isin(*KNOWN_UNITS))
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """df from the shared folder: computed once, and not again if an executor is lost."""
+    path = io.scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def parse_pages(spans: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """Result rows of all pages, numbered on each page, with wrapped reference lines merged into the row they belong to.
 
-    Rows and results are read more than once, so they are persisted (on disk where memory is short), not computed again.
+    Rows and results are read more than once, so they are written to the shared folder first.
     """
-    rows = with_header(group_rows(spans, tolerance).persist(StorageLevel.MEMORY_AND_DISK))
+    rows = with_header(_written(group_rows(spans, tolerance), "lab-rows"))
     joined = F.trim(F.array_join(F.transform("cells", lambda c: c["text"]), " "))
     rows = rows.withColumn("line", joined).where(F.col("header_row").isNull() | (F.col("row") > F.col("header_row"))).where("header_cells < 2")
     metadata = F.col("line") == ""
@@ -239,17 +247,17 @@ def parse_pages(spans: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     texts = F.filter(F.transform("cells", lambda c: c["text"]), lambda t: t != "")
     clean = F.array_join(texts, " ")
     carries = ~F.exists(texts, is_unit) & ~(F.get(texts, F.lit(0)).rlike(DECIMAL) & (F.size(texts) >= 2)) & (clean.rlike(CONTINUATION) | clean.rlike(RANGE))
-    rows = rows.withColumn("carries", F.when(F.size(texts) > 0, carries).otherwise(False)).withColumn("extra", F.trim(clean)).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = _written(rows.withColumn("carries", F.when(F.size(texts) > 0, carries).otherwise(False)).withColumn("extra", F.trim(clean)), "lab-lines")
 
     panels = F.array_sort(F.array_distinct(F.transform("placed", lambda x: x["panel"])))
     tests = F.size(F.filter("header.meanings", lambda m: m == "TEST"))
     split = rows.where(~F.col("metadata")).withColumn("panels", F.greatest(F.coalesce(tests, F.lit(1)), F.lit(1))).withColumn("panel", F.explode(panels))
-    results = assemble(split.withColumn("placed", F.filter("placed", lambda x: x["panel"] == F.col("panel")))).persist(StorageLevel.MEMORY_AND_DISK)
+    results = _written(assemble(split.withColumn("placed", F.filter("placed", lambda x: x["panel"] == F.col("panel")))), "lab-results")
     seeds = (F.col("reference_range_raw") != "") & (F.col("panels") == 1) & F.col("reference_range_raw").rlike(RANGE_ANYWHERE)
     last = results.groupBy(*PAGE, "row").agg(F.max_by(seeds, "panel").alias("seeds"), F.max("panel").alias("last_panel"))
 
     # which rows carry on the reference of an earlier row: a fold over the page's rows
-    steps = rows.select(*PAGE, "row", "metadata", "carries", "extra").join(last, [*PAGE, "row"], "left")
+    steps = rows.select(*PAGE, "row", "metadata", "carries", "extra").join(last.hint("merge"), [*PAGE, "row"], "left")
     page = steps.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("row", "metadata", "carries", "extra", "seeds", "last_panel"))).alias("rows"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -265,7 +273,7 @@ def parse_pages(spans: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     start = F.struct(F.lit(False).alias("pending"), F.lit(-1).alias("row"), F.lit(-1).alias("panel"), F.array().cast("array<struct<row:int,into:int,panel:int,extra:string>>").alias("out"))
     merges = page.select(*PAGE, F.explode(F.aggregate("rows", start, step, lambda acc: acc["out"])).alias("m")).select(*PAGE, "m.*")
     extra = merges.groupBy(*PAGE, F.col("into").alias("row"), "panel").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("row", "extra"))), lambda x: x["extra"]), " ").alias("extra"))
-    kept = results.join(merges.select(*PAGE, "row"), [*PAGE, "row"], "left_anti").join(extra, [*PAGE, "row", "panel"], "left")
+    kept = results.join(merges.select(*PAGE, "row").hint("merge"), [*PAGE, "row"], "left_anti").join(extra.hint("merge"), [*PAGE, "row", "panel"], "left")
     kept = kept.withColumn("reference_range_raw", F.trim(F.concat_ws(" ", "reference_range_raw", "extra")))
     number = F.row_number().over(Window.partitionBy(*PAGE).orderBy("row", "panel")) - 1
     return kept.withColumn("row_index", number).drop("row", "panel", "panels", "extra")
@@ -286,7 +294,25 @@ def page_status(pages: DataFrame, results: DataFrame) -> DataFrame:
     return pages.join(per, list(PAGE), "left").withColumn("status", status).withColumn("result_count", F.coalesce("result_count", F.lit(0)))
 
 
+BOX = ("x_min", "y_min", "x_max", "y_max")
+
+
+def extract(documents: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Results and page states of the active laboratory documents; the boxes and confidences of spans may be texts or null.
+
+    A page with a span that has no place on it, or a confidence that is no number from 0 to 1, is FAILED and has no results; the other pages go on.
+    """
+    wanted = documents.where("archive_status = 'ACTIVE' AND document_type = 'LABORATORY'").select("document_uuid")
+    numbers = {c: F.col(c).cast("string").try_cast("double") for c in (*BOX, "confidence")}
+    own = _written(spans.join(wanted, "document_uuid", "left_semi").withColumns(numbers), "lab-spans")
+    sound = F.coalesce(box_ok() & F.col("confidence").between(0, 1), F.lit(False))
+    pages = _written(own.groupBy(*PAGE).agg((~F.bool_and(sound)).alias("broken")), "lab-pages")
+    good = own.join(pages.where("broken").hint("merge"), list(PAGE), "left_anti")
+    results = _written(lab_results(documents, good), "lab-normalized")
+    return results, page_status(pages, results)
+
+
 def evidence(results: DataFrame, spans: DataFrame) -> DataFrame:
     """The spans that each result row comes from."""
     rows = results.select(*PAGE, "row_index", F.explode("evidence").alias("sequence"))
-    return rows.join(spans, [*PAGE, "sequence"])
+    return rows.join(spans.hint("merge"), [*PAGE, "sequence"])

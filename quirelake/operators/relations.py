@@ -46,7 +46,7 @@ def identifier_conflicts(new: DataFrame, documents: DataFrame) -> DataFrame:
 
     left = rows(new, "record", [("card", "card_number"), ("body", "body_number")])
     right = rows(documents, "uuid", [("card", "document_number"), ("card", "national_number"), ("body", "unique_card_body_number")])
-    return left.join(right, ["kind", "value"]).select("record", "uuid").distinct()
+    return left.join(right.hint("merge"), ["kind", "value"]).select("record", "uuid").distinct()
 
 
 def type_conflicts(documents: DataFrame) -> DataFrame:

@@ -480,17 +480,19 @@ def identifier_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relations.identifier_conflicts(new, known)
 
 
-@query("""WITH e AS (SELECT o_custkey AS k, count(*) AS n, min(o_orderdate) AS f FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), h AS (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1)
-SELECT c_custkey AS uuid, coalesce(e.n, 0) AS evidence, coalesce(h.n, 0) AS history FROM customer LEFT JOIN e ON c_custkey = e.k LEFT JOIN h ON c_custkey = h.k""")
+@query("""WITH e AS (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), h AS (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1),
+g AS (SELECT o_custkey AS k, count(*) AS n, min(CAST(o_orderdate AS DATE)) AS first FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1)
+SELECT c_custkey AS uuid, coalesce(e.n, 0) AS evidence, coalesce(h.n, 0) AS history, coalesce(g.n, 0) AS guardians, CAST(g.first AS VARCHAR) AS first_link FROM customer LEFT JOIN e ON c_custkey = e.k LEFT JOIN h ON c_custkey = h.k LEFT JOIN g ON c_custkey = g.k""")
 def claim_review(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """customers as claims, verified orders as evidence, the others as identity history."""
+    """customers as claims, verified orders as evidence, the others as identity history, urgent ones as guardian links."""
     claims = D.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("uuid"), F.col("c_custkey").alias("patient_uuid"))
     docs = D.documents(spark, sf_dir)
     evidence = docs.where("date_verified").select(F.col("patient_uuid").alias("claim"), "created_at", F.col("document_type").alias("kind"), F.col("document_uuid").alias("file"))
     history = docs.where("NOT date_verified").select("patient_uuid", "created_at", "document_type", F.lit("PENDING").alias("verification_status"))
-    links = docs.where("false").select(F.col("patient_uuid").alias("minor_patient"), F.col("created_at").alias("started_at"), F.col("patient_uuid").alias("guardian_user"), F.lit("FATHER").alias("relationship"), F.lit("PENDING").alias("verification_status"))
+    links = docs.where("document_type = '1-URGENT'").select(F.col("patient_uuid").alias("minor_patient"), F.col("created_at").alias("started_at"), F.col("document_uuid").alias("guardian_user"), F.lit("FATHER").alias("relationship"), F.lit("PENDING").alias("verification_status"))
     size = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).cast("long")
-    return relations.claim_review(claims, evidence, history, links).select("uuid", size("evidence").alias("evidence"), size("identity_history").alias("history"))
+    first = F.get("guardian_history", F.lit(0))["started_at"].cast("date").cast("string")
+    return relations.claim_review(claims, evidence, history, links).select("uuid", size("evidence").alias("evidence"), size("identity_history").alias("history"), size("guardian_history").alias("guardians"), first.alias("first_link"))
 
 
 # data quality
@@ -507,14 +509,15 @@ def dq_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.violations(rows, "candidate_score").select("document_uuid", "page_number")
 
 
-@query("SELECT 'region_in_country' AS rule, c_custkey AS uuid FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey <> c_custkey % 5")
+@query("""SELECT CASE WHEN n_regionkey <> c.c_custkey % 5 THEN 'region_in_country' ELSE 'city_in_region' END AS rule, c.c_custkey AS uuid
+FROM customer c JOIN nation ON c.c_nationkey = n_nationkey LEFT JOIN customer d ON d.c_custkey = c.c_custkey + 1 WHERE n_regionkey <> c.c_custkey % 5 OR d.c_nationkey IS DISTINCT FROM c.c_nationkey""")
 def dq_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """customers as facilities that name a nation as region, and a region that may not be the nation's."""
-    placed = D.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("uuid"), F.col("c_nationkey").alias("region"), (F.col("c_custkey") % 5).cast("int").alias("country"), F.lit(None).cast("int").alias("city"))
+    """customers as facilities that name a nation as region, a region that may not be the nation's, and the next customer as city."""
+    customers = D.table(spark, sf_dir, "customer")
+    placed = customers.select(F.col("c_custkey").alias("uuid"), F.col("c_nationkey").alias("region"), (F.col("c_custkey") % 5).cast("int").alias("country"), (F.col("c_custkey") + 1).alias("city"))
     regions = D.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("uuid"), F.col("n_regionkey").cast("int").alias("country"))
-    cities = regions.select("uuid", F.col("country").alias("region")).where("false")
-    return quality.hierarchy(placed, regions, cities)
+    return quality.hierarchy(placed, regions, customers.select(F.col("c_custkey").alias("uuid"), F.col("c_nationkey").alias("region")))
 
 
 # the other families register themselves
-from . import checks, people, sinks, states, stores  # noqa: E402, F401
+from . import checks, lab_layouts, people, sinks, states, stores  # noqa: E402, F401
