@@ -109,7 +109,7 @@ def keyset_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four pages, each found by the last key of the one before, a page in the middle by its number, and the one behind that."""
     path = io.scratch(spark, "pages")
     docs = archive.active(D.documents(spark, sf_dir)).withColumn("sort_date", archive.effective_sort_date())
-    paging.write_pages(docs.select("document_uuid", "sort_date", "created_at"), path, paging.CHRONOLOGY, part_rows=500)
+    paging.write_pages(docs.select("document_uuid", "sort_date", "created_at"), path, paging.CHRONOLOGY, part_rows=5000)
     n = paging.total(spark, path).first()["total"]
     out, key = [], None
     for number in (1, 2, 3, 4):

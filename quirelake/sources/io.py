@@ -30,6 +30,16 @@ def read_blobs(spark: SparkSession, path: str, glob: str | None = None) -> DataF
     return reader.load(path).withColumn("content_sha256", F.sha2("content", 256))
 
 
+def write_blobs(df: DataFrame, path: str, key: str, text: str) -> None:
+    """Each row's text and a line end as a file of its own, in a folder that names the row's key (unique, and fit for a folder's name)."""
+    df.select(key, F.coalesce(F.col(text), F.lit("")).alias("value")).write.partitionBy(key).text(path)
+
+
+def blob_key(key: str) -> Column:
+    """The key that a file of write_blobs has in its path, as text."""
+    return F.regexp_extract("path", rf"/{key}=([^/]+)/[^/]+$", 1)
+
+
 def read_metric_payload(payloads: DataFrame, measurements: list[str], column: str = "payload") -> DataFrame:
     """Payloads (service, JSON list of series in the order of the measurements) to points (service, metric, ts, value).
 
