@@ -1,16 +1,19 @@
 """Benchmark decontamination as a prefix-filtered set join, on DataFrame functions alone.
 
-A benchmark item's windows are its runs of 13 words (a shorter item is one window). A document that
-holds a window holds all of its words, so one word, the window's rarest in the corpus, is the
-necessary prefix: neighbouring windows that have the same rarest word occurrence share one anchor
-row (word, place in the item, the range of window starts). The anchors are joined with the words of
-the documents; the place of the word in the document and the item bound where the window can begin
-and end, and each remaining window is compared word by word.
-
-Documents are cut into chunks of 64 words with 12 words of context on each side, and anchors carry the
-25 words of their item that its windows can reach, so that no row carries a whole long text. The
-anchors are broadcast up to `max_broadcast` rows and 128 MB, both counted first; beyond that words
-and places are joined by a shuffle on the word, and the chunks are fetched for the places that match.
+A benchmark item's windows are its runs of 13 words (a shorter item is one window). Windows with the
+same words are one, whatever items hold them. A document that holds a window holds all of its
+neighbouring word pairs, so one pair, the window's rarest in the corpus, is the necessary prefix. The
+windows are joined with the pairs of the documents on it; the place of the pair in the document and
+in the window says where the window would begin and end, and it is compared word by word. A window
+with a pair that no document has is out before the join; an item of one word goes by this word.
+
+Items come in after the join: a window knows the set of items that hold it, by a digest; a document the
+digests of its windows; and each combination of digests that documents have is resolved to a list of
+items once. A passage that many items and many documents share costs their sum, not their product.
+
+Documents are cut into chunks of 64 words with 12 words of context on each side, so that no row carries
+a whole long text. The windows are broadcast up to `max_broadcast` rows and 128 MB, both counted first;
+beyond that pairs and places are joined by a shuffle, and the chunks are fetched for the places that match.
 
 Rows: a null or empty text has no words and is clean; an item without words is ignored; items that
 share an item_id count once, a null item_id counts as the empty text; doc_id may be null, and rows
@@ -23,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, fits_broadcast, materialize, read_table, text_of
+from .common import ascii_lower, attach, fits_broadcast, materialize, read_table, text_of
 
 N = 13
 #: What separates words here: ASCII other than digits and letters.
@@ -49,83 +52,105 @@ def corpus_chunks(docs: DataFrame) -> DataFrame:
     return words.select("doc_id", "h", F.explode(F.transform(starts, chunk)).alias("c")).select("doc_id", "h", "c.*")
 
 
-def own_words(chunks: DataFrame, *keep: str) -> DataFrame:
-    """A row for each word that a chunk owns: word, k (its place in the chunk) and the columns in keep."""
-    return chunks.select(*keep, "lo", F.posexplode(F.slice("w", F.col("lo") + 1, F.col("hi") - F.col("lo")))).select(*keep, (F.col("lo") + F.col("pos")).alias("k"), F.col("col").alias("word"))
+def _tokens(first: Column, following: Column, singles: bool) -> Column:
+    """Hashes of the pair that starts at a word, if one does, and with `singles` of the word alone."""
+    pair = F.when(following.isNotNull(), F.xxhash64(first, following))
+    return F.array_compact(F.array(pair, F.xxhash64(first)) if singles else F.array(pair))
+
 
+def own_tokens(chunks: DataFrame, *keep: str, singles: bool) -> DataFrame:
+    """A row for each token that a chunk owns: token, k (the place of its first word in the chunk) and the columns in keep."""
+    own = lambda shift: F.slice("w", F.col("lo") + 1 + shift, F.col("hi") - F.col("lo"))
+    placed = chunks.select(*keep, "lo", F.posexplode(F.arrays_zip(own(0), own(1))).alias("pos", "pair"))
+    return placed.select(*keep, (F.col("lo") + F.col("pos")).alias("k"), F.explode(_tokens(F.col("pair")["0"], F.col("pair")["1"], singles)).alias("token"))
 
-def anchors(docs: DataFrame, benchmark: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """item_id, size (of its windows), word, around (at most 25 words of the item about it), a (its place there), s_lo, s_hi
-    (first and last window start there)."""
+
+def windows(docs: DataFrame, benchmark: DataFrame, max_broadcast: int = MAX_BROADCAST) -> tuple[DataFrame, DataFrame, bool]:
+    """The distinct windows that documents may hold: token (the rarest), off (its place in the window), size, words, holders (digest
+    of the items that hold it); the items of each such digest: holders, items; and whether some windows have one word only."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), item_words("text").alias("iw")).where(F.size("iw") > 0)
     placed = items.select("item_id", F.xxhash64("item_id", "iw").alias("item"), F.size("iw").alias("length"), F.posexplode("iw").alias("a", "word"))
     # texts that repeat under one id are one item
-    placed = materialize(placed.dropDuplicates(["item_id", "item", "a"]), "bench-placed")
-    vocabulary = materialize(placed.select("word").distinct(), "bench-words")
-    hint = F.broadcast if fits_broadcast(vocabulary, max_broadcast) else (lambda df: df.hint("merge"))
-    seen = docs.select(F.explode(item_words("text")).alias("word")).join(hint(vocabulary), "word").groupBy("word").count()
-    rarity = materialize(vocabulary.hint("merge").join(seen.hint("merge"), "word", "left").select("word", F.coalesce("count", F.lit(0)).alias("n")), "bench-rarity")
+    placed = placed.dropDuplicates(["item_id", "item", "a"])
     order = Window.partitionBy("item_id", "item").orderBy("a")
-    ranked = placed.join(hint(rarity), "word").select(
-        "item_id", "item", "length", "a", F.min(F.struct("n", "word", "a")).over(order.rowsBetween(0, N - 1)).alias("r"),
-        F.collect_list("word").over(order.rowsBetween(1 - N, N - 1)).alias("around"),
-    )
-    ranked = materialize(ranked, "bench-ranked")
+    following = F.lead("word").over(order)
+    token = F.when(F.col("length") == 1, F.xxhash64("word")).when(following.isNotNull(), F.xxhash64("word", following))
+    placed = materialize(placed.withColumn("token", token), "bench-placed")
+    singles = not placed.where("length = 1").isEmpty()
+    vocabulary = materialize(placed.where("token IS NOT NULL").select("token").distinct(), "bench-tokens")
+    hint = F.broadcast if fits_broadcast(vocabulary, max_broadcast) else (lambda df: df.hint("merge"))
+    words = docs.select(item_words("text").alias("w"))
+    pairs = words.select(F.explode(F.arrays_zip("w", F.slice("w", F.lit(2), F.greatest(F.size("w"), F.lit(1))))).alias("pair"))
+    seen = pairs.select(F.explode(_tokens(F.col("pair")["w"], F.col("pair")["1"], singles)).alias("token")).join(hint(vocabulary), "token").groupBy("token").count()
+    rarity = materialize(seen.withColumnRenamed("count", "n"), "bench-rarity")
+    # a token that no document has: no window of its
+    known = placed.join(hint(rarity), "token", "left").withColumn("rank", F.when(F.col("token").isNotNull(), F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token", "a")))
     size = F.least(F.lit(N), F.col("length"))
-    # a window for each place that enough words follow; a word that no document has: no window of its
-    starts = ranked.where((F.col("a") <= F.col("length") - size) & (F.col("r.n") > 0)).select("item_id", "item", size.alias("size"), "a", F.col("r.a").alias("at"), F.col("r.word").alias("word"))
-    found = starts.groupBy("item_id", "item", "size", "word", F.col("at").alias("a")).agg(F.min("a").alias("lo"), F.max("a").alias("hi"))
-    first = F.greatest(F.lit(0), F.col("a") - (N - 1))
-    return found.join(ranked.select("item_id", "item", "a", "around").hint("merge"), ["item_id", "item", "a"]).select(
-        "item_id", "size", "word", "around", (F.col("a") - first).alias("a"), (F.col("lo") - first).alias("s_lo"), (F.col("hi") - first).alias("s_hi")
-    )
-
-
-def hits(docs: DataFrame, benchmark: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """doc_id, h, item_id, size and starts: the places in the document where windows of the item begin, as found from one anchor."""
-    marks, chunks = materialize(anchors(docs, benchmark, max_broadcast), "bench-anchors"), corpus_chunks(docs)
+    starts = known.select(
+        "item_id", "length", "a", size.alias("size"), F.min("rank").over(order.rowsBetween(0, N - 2)).alias("r"), F.collect_list("word").over(order.rowsBetween(0, N - 1)).alias("words")
+    ).where((F.col("a") <= F.col("length") - F.col("size")) & (F.col("r.n") > 0))
+    # equal windows have equal tokens, so the same one is the rarest, at the same place
+    held = starts.groupBy("words", "size", F.col("r.token").alias("token"), (F.col("r.a") - F.col("a")).alias("off")).agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    held = materialize(held.withColumn("holders", F.sha2(F.to_json("items"), 256)), "bench-windows")
+    return held.drop("items"), held.groupBy("holders").agg(F.first("items").alias("items")), singles
+
+
+def hits(docs: DataFrame, marks: DataFrame, singles: bool, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+    """doc_id, h, start, size, holders: the places in the documents where windows begin."""
+    chunks = corpus_chunks(docs)
     if fits_broadcast(marks, max_broadcast):
-        found = own_words(chunks, "doc_id", "h", "at", "w").join(F.broadcast(marks), "word")
+        found = own_tokens(chunks, "doc_id", "h", "at", "w", singles=singles).join(F.broadcast(marks), "token")
     else:
-        # words and places meet the anchors by a shuffle; the chunks come after, for the places that are left
-        met = own_words(chunks, "doc_id", "h", "at").join(marks.hint("merge"), "word").withColumnsRenamed({"doc_id": "_id", "h": "_h", "at": "_at"})
+        # tokens and places meet the windows by a shuffle; the chunks come after, for the places that are left
+        met = own_tokens(chunks, "doc_id", "h", "at", singles=singles).join(marks.hint("merge"), "token").withColumnsRenamed({"doc_id": "_id", "h": "_h", "at": "_at"})
         here = chunks.select("doc_id", "h", "at", "w").distinct()
         found = met.join(here.hint("merge"), (F.col("_h") == F.col("h")) & (F.col("_at") == F.col("at")) & F.col("_id").eqNullSafe(F.col("doc_id")))
-    here = lambda s: F.col("k") - F.col("a") + s  # noqa: E731  a window's start in the chunk
-    fits = lambda s: (here(s) >= 0) & (here(s) + F.col("size") <= F.size("w"))
-    equal = lambda s: F.slice("w", F.greatest(here(s), F.lit(0)) + 1, F.col("size")) == F.slice("around", s + 1, F.col("size"))
-    starts = F.transform(F.filter(F.sequence("s_lo", "s_hi"), lambda s: fits(s) & equal(s)), lambda s: F.col("at") + here(s))
-    return found.select("doc_id", "h", "item_id", "size", starts.alias("starts")).where(F.size("starts") > 0)
-
-
-def judge(docs: DataFrame, benchmark: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """Per document that holds a window: doc_id, h, n_hit, items (ids as sorted strings)."""
-    found = hits(docs, benchmark, max_broadcast).select("doc_id", "h", "item_id", F.explode("starts").alias("start"), "size")
-    # a row per place and document however many items share it, so a passage that fills the corpus stays one row a place
-    spots = found.groupBy("doc_id", "h", "start").agg(F.max("size").alias("size"), F.collect_set("item_id").alias("items"))
+    first = F.col("k") - F.col("off")  # the window's start in the chunk
+    fits = (first >= 0) & (first + F.col("size") <= F.size("w"))
+    equal = F.slice("w", F.greatest(first, F.lit(0)) + 1, F.col("size")) == F.col("words")
+    return found.where(fits & equal).select("doc_id", "h", (F.col("at") + first).alias("start"), "size", "holders")
+
+
+def covered(places: DataFrame) -> DataFrame:
+    """Per document that holds a window: doc_id, h, n_hit, sets (the sorted digests of its windows' holders)."""
+    # a place has at most one window of each size
+    spots = places.groupBy("doc_id", "h", "start").agg(F.max("size").alias("size"), F.collect_set("holders").alias("sets"))
     before = Window.partitionBy("doc_id", "h").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     end = F.col("start") + F.col("size")
     fresh_words = F.greatest(F.lit(0), end - F.greatest(F.col("start"), F.coalesce(F.max(end).over(before), F.lit(0))))
     return (
         spots.withColumn("n", fresh_words).groupBy("doc_id", "h")
-        .agg(F.sum("n").cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+        .agg(F.sum("n").cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("sets")))).alias("sets"))
     )
 
 
+def item_lists(classes: DataFrame, holders: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+    """class and its sets to class and items, the sorted ids of all items in these sets."""
+    hint = F.broadcast if fits_broadcast(holders, max_broadcast) else (lambda df: df.hint("merge"))
+    each = classes.select("class", F.explode("sets").alias("holders")).join(hint(holders), "holders")
+    return each.groupBy("class").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+
+
 def report(docs: DataFrame, benchmark: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    found = judge(docs, benchmark, max_broadcast).withColumnsRenamed({"doc_id": "_id", "h": "_h"})
+    marks, holders, singles = windows(docs, benchmark, max_broadcast)
+    found = materialize(covered(hits(docs, marks, singles, max_broadcast)).withColumn("class", F.sha2(F.concat_ws(",", "sets"), 256)), "bench-found")
+    classes = materialize(found.groupBy("class").agg(F.first("sets").alias("sets"), F.count("*").alias("n")), "bench-classes")
+    lists = item_lists(classes, holders, max_broadcast).select("class", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"))
+    digests = materialize(classes.select("class", "n").join(lists.hint("merge"), "class"), "bench-digests")
+    judged = attach(found.drop("sets"), digests, ["class"], "n", found.count()).drop("class").withColumnsRenamed({"doc_id": "_id", "h": "_h"})
     base = docs.select("doc_id", F.xxhash64(text_of("text")).alias("h"), F.size(item_words("text")).cast("long").alias("n_words"))
-    n_hit, items = F.coalesce("n_hit", F.lit(0)).cast("long"), F.coalesce("items", F.array().cast("array<string>"))
-    return base.join(found.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left").select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", items), 256).alias("items_sha256"),
-        ((n_hit > 0) & (MIN_SHARE * n_hit >= F.col("n_words"))).alias("contaminated"),
+    n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
+    return base.join(judged.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left").select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
+        F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), ((n_hit > 0) & (MIN_SHARE * n_hit >= F.col("n_words"))).alias("contaminated"),
     )
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """The rows of docs that aren't contaminated, with their columns."""
-    found = judge(docs, benchmark, max_broadcast).withColumnsRenamed({"doc_id": "_id", "h": "_h"}).select("_id", "_h", "n_hit")
+    marks, _, singles = windows(docs, benchmark, max_broadcast)
+    found = covered(hits(docs, marks, singles, max_broadcast)).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "n_hit")
     row = docs.select(F.struct("*").alias("_row"))
     n_words, h = F.size(item_words("_row.text")), F.xxhash64(text_of("_row.text"))
     bad = found.hint("shuffle_hash")

@@ -198,19 +198,48 @@ def test_op6_base_counts_and_expectation_maximisation(spark, docs):
 
 
 def test_op4_long_item(spark):
-    """An item of 20,000 words: anchors stay small, and passages of it are found in both ways of joining."""
+    """An item of 20,000 words: window rows stay small, and passages of it are found in both ways of joining."""
     rng = np.random.default_rng(8)
     w = [f"w{x}" for x in rng.integers(0, 3000, 20_000)]
     bench = spark.createDataFrame([("long", " ".join(w)), ("long", " ".join(w))], "item_id string, text string")
     texts = [" ".join(w[i : i + 40]) + " z" * 10 for i in (0, 7, 9_999, 19_960)] + [" ".join(w[5:17]) + " z", "", " ".join(w)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    marks = decontamination.anchors(docs, bench)
-    assert marks.agg(F.max(F.size("around"))).first()[0] == 25 and marks.count() <= 20_000
+    marks, _, _ = decontamination.windows(docs, bench)
+    assert marks.agg(F.max(F.size("words"))).first()[0] == 13 and marks.count() <= 20_000
     expected = {0: 40, 1: 40, 2: 40, 3: 40, 4: 0, 5: 0, 6: 20_000}
     for most in (decontamination.MAX_BROADCAST, 0):
         assert {r.doc_id: r.n_hit for r in decontamination.report(docs, bench, max_broadcast=most).collect()} == expected
 
 
+def test_op4_shared_passage(spark):
+    """A passage that 1,000 items and 1,000 documents share, and items of one and two words: rows are their sum, results those of brute force."""
+    passage = " ".join(f"shared{i}" for i in range(20))
+    items = [(f"i{i}", f"own{i} task one {passage} end {i}") for i in range(1000)] + [("one", "Lonely"), ("two", "lonely PAIR"), ("again", passage.upper())]
+    texts = [f"text {i} begins {passage} and goes on" if i % 100 else f"no passage {i} lonely pair" for i in range(1000)] + [f"x own7 task one {passage} end 7", "lonely", "pair lonely", None]
+    bench, docs = spark.createDataFrame(items, "item_id string, text string"), spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    marks, holders, singles = decontamination.windows(docs, bench)
+    met = decontamination.own_tokens(decontamination.corpus_chunks(docs), "doc_id", singles=singles).join(marks, "token").count()
+    assert singles and met < 20_000 and holders.count() <= 5
+    words_of = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower())
+    held = collections.defaultdict(set)
+    for name, text in items:
+        w = words_of(text)
+        for s in range(max(1, len(w) - 12)):
+            held[tuple(w[s : s + 13])].add(name)
+    expected = {}
+    for i, text in enumerate(texts):
+        w, hit, names = words_of(text), set(), set()
+        for n in (1, 2, 13):
+            for s in range(len(w) - n + 1):
+                if tuple(w[s : s + n]) in held:
+                    hit |= set(range(s, s + n))
+                    names |= held[tuple(w[s : s + n])]
+        expected[i] = (len(w), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest())
+    for most in (decontamination.MAX_BROADCAST, 0):
+        got = decontamination.report(docs, bench, max_broadcast=most).collect()
+        assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in got} == expected
+
+
 def test_broadcasts_are_measured(spark):
     df = spark.range(10).select(F.repeat(F.lit("x"), 200_000).alias("text"), F.array(F.lit("ab"), F.lit("c")).alias("words"))
     assert common.fits_broadcast(df, 10) and not common.fits_broadcast(df, 9) and not common.fits_broadcast(df, 10, 1) and common.fits_broadcast(df.limit(0), 0)
