@@ -52,17 +52,15 @@ def corpus_chunks(docs: DataFrame) -> DataFrame:
     return words.select("doc_id", "h", F.explode(F.transform(starts, chunk)).alias("c")).select("doc_id", "h", "c.*")
 
 
-def _tokens(first: Column, following: Column, singles: bool) -> Column:
-    """Hashes of the pair that starts at a word, if one does, and with `singles` of the word alone."""
-    pair = F.when(following.isNotNull(), F.xxhash64(first, following))
-    return F.array_compact(F.array(pair, F.xxhash64(first)) if singles else F.array(pair))
-
-
 def own_tokens(chunks: DataFrame, *keep: str, singles: bool) -> DataFrame:
-    """A row for each token that a chunk owns: token, k (the place of its first word in the chunk) and the columns in keep."""
-    own = lambda shift: F.slice("w", F.col("lo") + 1 + shift, F.col("hi") - F.col("lo"))
-    placed = chunks.select(*keep, "lo", F.posexplode(F.arrays_zip(own(0), own(1))).alias("pos", "pair"))
-    return placed.select(*keep, (F.col("lo") + F.col("pos")).alias("k"), F.explode(_tokens(F.col("pair")["0"], F.col("pair")["1"], singles)).alias("token"))
+    """A row for each token that a chunk owns: token, k (the place of its first word in the chunk) and the columns in keep.
+
+    Tokens are hashes of the word pairs, and with `singles`, in a pass of their own, of the words.
+    """
+    placed = chunks.select(*keep, "lo", F.col("w").alias("_w"), F.posexplode(F.slice("w", F.col("lo") + 1, F.col("hi") - F.col("lo"))).alias("pos", "word"))
+    k, following = F.col("lo") + F.col("pos"), F.get("_w", F.col("lo") + F.col("pos") + 1)
+    pairs = placed.where(following.isNotNull()).select(*keep, k.alias("k"), F.xxhash64("word", following).alias("token"))
+    return pairs.unionByName(placed.select(*keep, k.alias("k"), F.xxhash64("word").alias("token"))) if singles else pairs
 
 
 def windows(docs: DataFrame, benchmark: DataFrame, max_broadcast: int = MAX_BROADCAST) -> tuple[DataFrame, DataFrame, bool]:
@@ -79,9 +77,8 @@ def windows(docs: DataFrame, benchmark: DataFrame, max_broadcast: int = MAX_BROA
     singles = not placed.where("length = 1").isEmpty()
     vocabulary = materialize(placed.where("token IS NOT NULL").select("token").distinct(), "bench-tokens")
     hint = F.broadcast if fits_broadcast(vocabulary, max_broadcast) else (lambda df: df.hint("merge"))
-    words = docs.select(item_words("text").alias("w"))
-    pairs = words.select(F.explode(F.arrays_zip("w", F.slice("w", F.lit(2), F.greatest(F.size("w"), F.lit(1))))).alias("pair"))
-    seen = pairs.select(F.explode(_tokens(F.col("pair")["w"], F.col("pair")["1"], singles)).alias("token")).join(hint(vocabulary), "token").groupBy("token").count()
+    whole = docs.select(item_words("text").alias("w")).select("w", F.lit(0).alias("lo"), F.size("w").alias("hi"))
+    seen = own_tokens(whole, singles=singles).join(hint(vocabulary), "token").groupBy("token").count()
     rarity = materialize(seen.withColumnRenamed("count", "n"), "bench-rarity")
     # a token that no document has: no window of its
     known = placed.join(hint(rarity), "token", "left").withColumn("rank", F.when(F.col("token").isNotNull(), F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token", "a")))
