@@ -11,15 +11,18 @@ from ..functions.text import ARABIC_DIGITS, ASCII_DIGITS, fold_ar, repair_digits
 ALPHABET, ICAO = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789<", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WEIGHTS = (7, 3, 1)
 BLOOD_GROUPS = ("A+", "A-", "B+", "B-", "AB+", "AB-", "O+", "O-")
-#: Labels of the front's name lines, folded.
+#: Labels of the front's name lines, folded, in order of priority: whole words, and those that may be glued to a value.
 NAME_LABELS = {
-    "mother": ("الام", "ادايك", "ردايك", "داتك", "مادر"),
-    "surname": ("اللقب", "لقب", "انازناو", "نازناو"),
-    "grandfather": ("ابابير", "ابير", "الحد", "الجد", "باپير", "اباير"),
-    "father": ("الاب", "باوك"),
-    "name": ("الاسم", "ناو"),
+    "mother": (("الام", "ادايك", "ردايك", "داتك", "مادر"), ("ردايك", "ادايك", "داتك", "مادر")),
+    "surname": (("اللقب", "لقب", "انازناو", "نازناو"), ("انازناو", "نازناو")),
+    "grandfather": (("ابابير", "ابير", "الحد", "الجد", "باپير", "اباير"), ("ابابير", "ابير", "الحد", "الجد", "باپير", "اباير")),
+    "father": (("الاب", "اباوك", "باوك", "بابك", "بابه", "ابت", "باو"), ("اباوك", "باوك", "بابك", "بابه", "ابت", "باو")),
+    "name": (("الاسم", "اسم", "اناو", "ناو"), ("الاسم", "اناو")),
 }
-
+SEX_LABELS = ("الجنس", "اركمز", "اركز", "ارهگهز")
+CONNECTORS = ("انازناو", "اركمز", "اناو", "اركز", "اتو", "ناو")
+#: The confidence of a name that comes without one.
+NAME_CONFIDENCE = 0.7
 
 def check_digit(text: Column, icao: bool = False) -> Column:
     """The weighted sum of the characters' values modulo 10; characters outside the alphabet count nothing."""
@@ -150,21 +153,51 @@ def issue_dates(dates: DataFrame) -> DataFrame:
     return dates.withColumn("_nth", nth).where("_nth = 1").select("record", F.col("day").alias("issue_date"), F.when(F.col("labelled"), 0.85).otherwise(0.6).alias("confidence"))
 
 
-def name_chain(lines: DataFrame) -> DataFrame:
-    """record, line_no, text, confidence of a card's front to name, father and grandfather: a label opens a section, its value
-    is on the line or on the next one; what follows the mother's label isn't the father's side."""
-    folded = fold_ar(F.col("text"))
+def _name_words(text: Column) -> Column:
+    """A line folded, its separators and white space as single spaces, with one space at each end."""
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.regexp_replace(fold_ar(text), "[:|/؛;—]", " "), r"\s+", " ")), F.lit(" "))
+
+
+def _name_label(words: Column) -> Column:
+    """The first label in order of priority that is a word of the line, or that a longer word begins with."""
     kind = F
-    for label, cues in NAME_LABELS.items():
-        kind = kind.when(folded.rlike("(^|[^\\p{L}])(" + "|".join(cues) + ")"), label)
+    for label, (whole, glued) in NAME_LABELS.items():
+        kind = kind.when(words.rlike(f" (?:{'|'.join(whole)}) | (?:{'|'.join(glued)})[^ ]"), label)
+    return kind.otherwise(F.lit(None))
+
+
+def _name_value(words: Column, whole: tuple[str, ...], glued: tuple[str, ...]) -> Column:
+    """The line without its leading labels and connectors, and without a label or connector glued to the first word that is left."""
+    rest = F.regexp_replace(words, f"^ (?:(?:{'|'.join((*whole, *CONNECTORS))}) )*", "")
+    return F.trim(F.regexp_replace(rest, f"^(?:{'|'.join((*glued, *CONNECTORS))})(?=[^ ])", ""))
+
+
+def name_chain(lines: DataFrame) -> DataFrame:
+    """record, line_no, text and, if there is one, confidence of a card's front lines to name, father_name and grandfather_name,
+    each with a confidence.
+
+    A label stands as a word or is glued to its value; a value is on the label's line or on the next one that is neither a
+    surname's nor the sex's. The first value of each kind counts. From the first line on that holds a mother's label anywhere,
+    nothing belongs to the father's side. Lines without text don't count; a confidence that is null or not above 0 is 0.7,
+    others are held to 0 to 1; a record without any name gets no row.
+    """
     order = Window.partitionBy("record").orderBy("line_no")
-    every = "|".join(c for cues in NAME_LABELS.values() for c in cues)
-    value = F.trim(F.regexp_replace(F.regexp_replace(folded, rf"(^|[^\p{{L}}])({every})", " "), r"[^\p{L} ]+", " "))
-    df = lines.withColumn("label", kind.otherwise(F.lit(None))).withColumn("value", value)
-    df = df.withColumn("section", F.coalesce("label", F.lag("label").over(order))).withColumn("mothers", F.max((F.col("label") == "mother").cast("int")).over(order))
-    good = df.where((F.col("value") != "") & F.col("section").isin("name", "father", "grandfather") & (F.coalesce("mothers", F.lit(0)) == 0))
-    first = lambda s: F.min_by(F.when(F.col("section") == s, F.col("value")), F.when(F.col("section") == s, F.col("line_no")))
-    return good.groupBy("record").agg(first("name").alias("name"), first("father").alias("father_name"), first("grandfather").alias("grandfather_name"))
+    confidence = F.col("confidence") if "confidence" in lines.columns else F.lit(None).cast("double")
+    df = lines.where("text IS NOT NULL").select("record", "line_no", _name_words(F.col("text")).alias("words"), confidence.alias("confidence"), fold_ar(F.col("text")).alias("folded"))
+    mother = F.col("folded").rlike("|".join(NAME_LABELS["mother"][0])).cast("int")
+    df = df.withColumn("mothers", F.max(mother).over(order)).withColumn("label", _name_label(F.col("words")))
+    by_label = F
+    for label in ("name", "father", "grandfather"):
+        by_label = by_label.when(F.col("label") == label, _name_value(F.col("words"), *NAME_LABELS[label]))
+    # lines that open or close a section; those of surnames and of the sex let a label wait on
+    kept = F.col("label").isin("name", "father", "grandfather") | (F.col("label").isNull() & ~F.col("folded").rlike("|".join(SEX_LABELS)))
+    events = df.where((F.col("mothers") == 0) & kept).withColumn("value", by_label.otherwise(_name_value(F.col("words"), (), ())))
+    waiting = F.when(F.lag("value").over(order) == "", F.lag("label").over(order))
+    found = events.withColumn("section", F.coalesce("label", waiting)).where("section IS NOT NULL AND value <> ''")
+    held = F.when(F.coalesce("confidence", F.lit(0.0)) <= 0, NAME_CONFIDENCE).otherwise(F.round(F.least("confidence", F.lit(1.0)), 3))
+    pick = lambda s, c: F.min_by(F.when(F.col("section") == s, c), F.when(F.col("section") == s, F.col("line_no")))
+    names = {"name": "name", "father": "father_name", "grandfather": "grandfather_name"}
+    return found.groupBy("record").agg(*[pick(s, F.col("value")).alias(c) for s, c in names.items()], *[pick(s, held).alias(f"{c}_confidence") for s, c in names.items()])
 
 
 def number_fields(lines: DataFrame) -> DataFrame:

@@ -286,6 +286,27 @@ def card_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identity.name_chain(rows).select("record", "name", "father_name", "grandfather_name")
 
 
+@query(f"""SELECT c_custkey AS record, 'سعيد' || {_LETTERS} AS name, 'مجيد' || {_LETTERS} AS father_name, 'حسن' AS grandfather_name,
+  CASE WHEN c_acctbal < 0 THEN CAST(0.7 AS DOUBLE) ELSE CAST(0.9 AS DOUBLE) END AS father_confidence FROM customer""")
+def card_name_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every label of the name lines in turn: apart, with the value on the next line behind surname and sex, with a connector, and
+    glued where it may be; a second father and the mother's side come after."""
+    own = F.translate(F.col("c_custkey").cast("string"), "0123456789", "ابتثجحخدذر")
+    turn = lambda labels: F.get(F.array(*map(F.lit, labels)), (F.floor(F.col("c_custkey") / 4) % len(labels)).cast("int"))
+    form = F.col("c_custkey") % 4
+
+    def section(label: str, value) -> list:
+        whole, glued = identity.NAME_LABELS[label]
+        same = F.when(form == 0, F.concat(turn(whole), F.lit(" / "), value)).when(form == 1, turn(whole))
+        same = same.when(form == 2, F.concat(turn(whole), F.lit(": اتو "), value)).otherwise(F.concat(turn(glued), value))
+        behind = lambda text: F.when(form == 1, text)
+        return [same, behind(F.lit("الجنس ذكر")), behind(F.lit("اللقب الحسني")), behind(value)]
+
+    lines = [*section("name", F.concat(F.lit("سعيد"), own)), *section("father", F.concat(F.lit("مجيد"), own)), F.lit("الاب: ثان"), *section("grandfather", F.lit("حسن")), F.lit("الام: زينب"), F.lit("الجد: جعفر")]
+    rows = D.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("record"), F.when(F.col("c_acctbal") < 0, 0.0).otherwise(0.9).alias("confidence"), F.posexplode(F.array(*lines)).alias("line_no", "text"))
+    return identity.name_chain(rows).select("record", "name", "father_name", "grandfather_name", F.col("father_name_confidence").alias("father_confidence"))
+
+
 @query("""SELECT c_custkey AS record, lpad(CAST(c_custkey AS VARCHAR), 12, '1') AS card_number, 'K' || lpad(CAST(c_custkey AS VARCHAR), 8, '2') AS body_number, lpad(CAST(c_custkey AS VARCHAR), 18, 'Q') AS family_number,
   ['A+', 'A-', 'B+', 'B-', 'AB+', 'AB-', 'O+', 'O-'][c_custkey % 8 + 1] AS blood_group, CASE WHEN c_acctbal < 0 THEN 'F' ELSE 'M' END AS sex FROM customer""")
 def card_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -254,6 +254,13 @@ def test_card_numbers_names_and_dates(spark):
     assert (r.card_number, r.body_number, r.blood_group) == ("123456789001", "A12345678", "O+")
     n = identity.name_chain(df).first()
     assert (n.name, n.father_name) == ("علي", "حسن")
+    cards = {
+        "glued": ["الاسم اناو اسماعيل", "باوكاسماعيل", "ابابيراسماعيل"], "waits": ["ناو", "الجنس ذكر", "اللقب: الحسني", "علي حسن", "باوكريم"],
+        "mother": ["اسم علي", "ادايك زينب", "الاب حسن"], "nothing": ["علي", "حسن"], "closed": ["الاسم", "", "علي", "الاسم: ثان"],
+    }
+    lines = spark.createDataFrame([(c, i, t, 1.5 if c == "glued" else -1.0) for c, ts in cards.items() for i, t in enumerate(ts)], "record string, line_no int, text string, confidence double")
+    got = {r.record: (r.name, r.father_name, r.grandfather_name, r.name_confidence) for r in identity.name_chain(lines).collect()}
+    assert got == {"glued": ("اسماعيل", "اسماعيل", "اسماعيل", 1.0), "waits": ("علي حسن", "ريم", None, 0.7), "mother": ("علي", None, None, 0.7), "closed": ("ثان", None, None, 0.7)}
     days = spark.createDataFrame([("a", date(1990, 1, 1)), ("a", date(2020, 1, 1)), ("a", date(2030, 1, 1))], "record string, day date")
     p = identity.printed_dates(days, F.lit(TODAY)).first()
     assert (p.birth_date, p.issue_date, p.expiry_date) == (date(1990, 1, 1), date(2020, 1, 1), date(2030, 1, 1))
