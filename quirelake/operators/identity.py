@@ -133,8 +133,8 @@ def national_card(lines: DataFrame) -> DataFrame:
 
 
 def field_confidences(records: DataFrame, fields: tuple[str, ...] = ("document_number", "date_of_birth", "expiry_date", "sex", "nationality", "name")) -> DataFrame:
-    """A row for each found field: record, field, value, confidence (0.99 with the check passed, 0.98 without a check, 0.9 names, 0.6 failed)."""
-    usual = {"document_number": 0.99, "date_of_birth": 0.99, "expiry_date": 0.99, "name": 0.9}
+    """A row for each found field: record, field, value, confidence (0.99 numbers and expiry, 0.98 other fields, 0.9 names; 0.6 if the field's check failed)."""
+    usual = {"document_number": 0.99, "expiry_date": 0.99, "name": 0.9}
     cells = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value"), F.lit(usual.get(f, 0.98)).alias("usual")) for f in fields])
     rows = records.select("record", "low_confidence_fields", F.explode(cells).alias("x")).where("x.value IS NOT NULL")
     return rows.select("record", "x.field", "x.value", F.when(F.array_contains("low_confidence_fields", F.col("x.field")), 0.6).otherwise(F.col("x.usual")).alias("confidence"))
@@ -213,24 +213,3 @@ def number_fields(lines: DataFrame) -> DataFrame:
     )
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("line_no")))
     return rows.groupBy("record").agg(first("card").alias("card_number"), first("body").alias("body_number"), F.max("family")["v"].alias("family_number"), first("blood").alias("blood_group"), first("sex").alias("sex"))
-
-
-def reconcile(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Two sources' fields (record, field, value, confidence): the value, its confidence, and how they agree.
-
-    Agreement gives the better confidence; a mismatch keeps the first source's value at most at 0.6 and warns; one source alone is as it is.
-    """
-    r = right.select("record", "field", F.col("value").alias("value2"), F.col("confidence").alias("confidence2"))
-    both = left.join(r, ["record", "field"], "full")
-    agree = F.upper(F.trim("value")) == F.upper(F.trim("value2"))
-    check = F.when(F.col("value").isNull() | F.col("value2").isNull(), "SINGLE_SOURCE").when(agree, "AGREE").otherwise("MISMATCH")
-    confidence = F.when(check == "AGREE", F.greatest("confidence", "confidence2")).when(check == "MISMATCH", F.least("confidence", F.lit(0.6))).otherwise(F.coalesce("confidence", "confidence2"))
-    return both.select("record", "field", F.coalesce("value", "value2").alias("value"), confidence.alias("confidence"), check.alias("cross_check"), F.when(check == "MISMATCH", "SOURCE_MISMATCH").alias("warning"))
-
-
-def assemble_records(fields: DataFrame, required: tuple[str, ...] = ("document_number", "name", "date_of_birth")) -> DataFrame:
-    """One row a record: a map of field to value and confidence, and warnings for fields that are missing or disagree."""
-    cell = F.struct("field", F.struct("value", "confidence", "cross_check").alias("v"))
-    per = fields.groupBy("record").agg(F.map_from_entries(F.sort_array(F.collect_list(cell))).alias("fields"), F.array_sort(F.collect_set("warning")).alias("warnings"))
-    missing = F.filter(F.array(*map(F.lit, required)), lambda f: ~F.map_contains_key("fields", f))
-    return per.withColumn("warnings", F.concat("warnings", F.transform(missing, lambda f: F.concat(F.lit("FIELD_MISSING:"), f))))

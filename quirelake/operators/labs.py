@@ -220,19 +220,12 @@ def assemble(rows: DataFrame) -> DataFrame:
     return df.where((F.col("test_name_raw") != "") & (F.col("result_raw") != "") & ~F.lower("test_name_raw").isin(*KNOWN_UNITS))
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    """df from the shared folder: computed once, and not again if an executor is lost."""
-    path = io.scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def parse_pages(spans: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """Result rows of all pages, numbered on each page, with wrapped reference lines merged into the row they belong to.
 
     Rows and results are read more than once, so they are written to the shared folder first.
     """
-    rows = with_header(_written(group_rows(spans, tolerance), "lab-rows"))
+    rows = with_header(io.written(group_rows(spans, tolerance), "lab-rows"))
     joined = F.trim(F.array_join(F.transform("cells", lambda c: c["text"]), " "))
     rows = rows.withColumn("line", joined).where(F.col("header_row").isNull() | (F.col("row") > F.col("header_row"))).where("header_cells < 2")
     metadata = F.col("line") == ""
@@ -247,12 +240,12 @@ def parse_pages(spans: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     texts = F.filter(F.transform("cells", lambda c: c["text"]), lambda t: t != "")
     clean = F.array_join(texts, " ")
     carries = ~F.exists(texts, is_unit) & ~(F.get(texts, F.lit(0)).rlike(DECIMAL) & (F.size(texts) >= 2)) & (clean.rlike(CONTINUATION) | clean.rlike(RANGE))
-    rows = _written(rows.withColumn("carries", F.when(F.size(texts) > 0, carries).otherwise(False)).withColumn("extra", F.trim(clean)), "lab-lines")
+    rows = io.written(rows.withColumn("carries", F.when(F.size(texts) > 0, carries).otherwise(False)).withColumn("extra", F.trim(clean)), "lab-lines")
 
     panels = F.array_sort(F.array_distinct(F.transform("placed", lambda x: x["panel"])))
     tests = F.size(F.filter("header.meanings", lambda m: m == "TEST"))
     split = rows.where(~F.col("metadata")).withColumn("panels", F.greatest(F.coalesce(tests, F.lit(1)), F.lit(1))).withColumn("panel", F.explode(panels))
-    results = _written(assemble(split.withColumn("placed", F.filter("placed", lambda x: x["panel"] == F.col("panel")))), "lab-results")
+    results = io.written(assemble(split.withColumn("placed", F.filter("placed", lambda x: x["panel"] == F.col("panel")))), "lab-results")
     seeds = (F.col("reference_range_raw") != "") & (F.col("panels") == 1) & F.col("reference_range_raw").rlike(RANGE_ANYWHERE)
     last = results.groupBy(*PAGE, "row").agg(F.max_by(seeds, "panel").alias("seeds"), F.max("panel").alias("last_panel"))
 
@@ -304,11 +297,11 @@ def extract(documents: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFram
     """
     wanted = documents.where("archive_status = 'ACTIVE' AND document_type = 'LABORATORY'").select("document_uuid")
     numbers = {c: F.col(c).cast("string").try_cast("double") for c in (*BOX, "confidence")}
-    own = _written(spans.join(wanted, "document_uuid", "left_semi").withColumns(numbers), "lab-spans")
+    own = io.written(spans.join(wanted, "document_uuid", "left_semi").withColumns(numbers), "lab-spans")
     sound = F.coalesce(box_ok() & F.col("confidence").between(0, 1), F.lit(False))
-    pages = _written(own.groupBy(*PAGE).agg((~F.bool_and(sound)).alias("broken")), "lab-pages")
+    pages = io.written(own.groupBy(*PAGE).agg((~F.bool_and(sound)).alias("broken")), "lab-pages")
     good = own.join(pages.where("broken").hint("merge"), list(PAGE), "left_anti")
-    results = _written(lab_results(documents, good), "lab-normalized")
+    results = io.written(lab_results(documents, good), "lab-normalized")
     return results, page_status(pages, results)
 
 

@@ -12,7 +12,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import archive, identity, relations, rollup, search
+from ..operators import archive, identity, identity_records, relations, rollup, search
 from . import driver_tables as D
 from .register import query
 
@@ -247,7 +247,7 @@ def national_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identity.national_card(rows).select("record", "issuing_country", "document_number", "date_of_birth", "sex", "expiry_date", "partial", "checks_passed")
 
 
-@query("""SELECT c_custkey AS record, field, CASE WHEN field = 'document_number' AND c_acctbal > 9000 THEN 0.6 WHEN field = 'name' THEN 0.9 WHEN field = 'nationality' THEN 0.98 ELSE 0.99 END AS confidence
+@query("""SELECT c_custkey AS record, field, CASE WHEN field = 'document_number' AND c_acctbal > 9000 THEN 0.6 WHEN field = 'name' THEN 0.9 WHEN field = 'document_number' THEN 0.99 ELSE 0.98 END AS confidence
 FROM customer, (VALUES ('document_number'), ('date_of_birth'), ('name'), ('nationality')) f(field) WHERE field <> 'name' OR c_acctbal >= 0""")
 def record_confidences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The confidence of each field that a record has."""
@@ -320,24 +320,81 @@ def card_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identity.number_fields(D.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("record"), F.posexplode(lines).alias("line_no", "text")))
 
 
-@query("""WITH f AS (SELECT c_custkey AS record, CAST(c_custkey AS VARCHAR) AS a, CASE WHEN c_acctbal > 9000 THEN 'other' WHEN c_acctbal >= 0 THEN ' ' || CAST(c_custkey AS VARCHAR) || ' ' END AS b, c_mktsegment <> 'MACHINERY' AS named FROM customer)
-SELECT record, 'document_number' AS field, a AS value, CASE WHEN b = 'other' THEN 0.6 WHEN b IS NULL THEN 0.7 ELSE 0.9 END AS confidence, CASE WHEN b IS NULL THEN 'SINGLE_SOURCE' WHEN b = 'other' THEN 'MISMATCH' ELSE 'AGREE' END AS cross_check,
-  CASE WHEN b = 'other' THEN 'SOURCE_MISMATCH' END AS warning FROM f UNION ALL SELECT record, 'name', 'back', 0.8, 'SINGLE_SOURCE', NULL FROM f WHERE named""")
+#: Cards, passports and papers of another type, some without lines: what stands on which side, by the customer's nation and balance.
+_PAPER_KIND = "CASE c_mktsegment WHEN 'MACHINERY' THEN 'PASSPORT' WHEN 'FURNITURE' THEN 'BIRTH_DOCUMENT' ELSE 'UNIFIED_NATIONAL_CARD' END"
+_WHOLE = f"""c AS (SELECT c_custkey AS record, CAST(c_custkey AS VARCHAR) AS k, c_nationkey AS nk, c_acctbal AS bal, {_PAPER_KIND} AS kind, c_nationkey % 4 <> 3 AS m, CASE WHEN c_nationkey = 6 THEN 0.7 ELSE 0.8 END AS own,
+  CAST('1980-01-01' AS DATE) + CAST(c_custkey % 3000 AS INTEGER) AS born, {_LETTERS} AS letters FROM customer),
+card AS (SELECT *, 'K' || lpad(k, 8, '0') AS body, CASE WHEN m THEN CASE WHEN bal > 9000 THEN 'G' ELSE 'K' END || lpad(k, 8, '0') END AS mbody, CASE WHEN nk % 5 <> 0 THEN 'MALE' END AS sex, CASE WHEN m THEN CASE WHEN bal < 0 THEN 'FEMALE' ELSE 'MALE' END END AS msex,
+  CASE WHEN nk % 2 = 0 THEN CAST(born AS VARCHAR) END AS day, CASE WHEN m THEN CAST(CAST(born + CASE WHEN bal > 8000 THEN 1 ELSE 0 END AS DATE) AS VARCHAR) END AS mday, CASE WHEN nk % 7 <> 0 THEN '2040-06-30' END AS til,
+  CASE WHEN m THEN CASE WHEN nk % 11 = 0 THEN '2041-06-30' ELSE '2040-06-30' END END AS mtil,
+  CASE WHEN nk % 2 = 1 THEN lpad(k, 12, 'Q') WHEN nk % 4 = 0 THEN lpad(k, 14, 'R') END AS family, CASE WHEN nk <> 10 THEN CASE WHEN nk = 5 THEN lpad(k, 12, '1') || '5' ELSE lpad(k, 12, '1') END END AS number,
+  CASE WHEN nk = 5 THEN 0.65 ELSE own END AS nconf FROM c WHERE kind = 'UNIFIED_NATIONAL_CARD' AND nk <> 12)"""
+_BOTH = "CASE WHEN {a} = {b} THEN 'MRZ_AGREE' WHEN {a} <> {b} THEN 'MRZ_MISMATCH' END"
+
+
+@query(f"""WITH {_WHOLE}, f AS (
+  SELECT record, 'name' AS field, letters AS value, own AS confidence, 'FRONT_PRINTED' AS source, NULL AS cross_check FROM card
+  UNION ALL SELECT record, 'father_name', 'سعيد', own, 'FRONT_PRINTED', NULL FROM card UNION ALL SELECT record, 'grandfather_name', 'كريم', own, 'FRONT_PRINTED', NULL FROM card WHERE bal >= 0
+  UNION ALL SELECT record, 'sex', coalesce(sex, msex), CASE WHEN sex = msex THEN 0.96 WHEN sex <> msex THEN 0.45 WHEN sex IS NULL OR nk = 6 THEN 0.9 ELSE 0.8 END, CASE WHEN sex IS NULL THEN 'MRZ' ELSE 'FRONT_PRINTED' END, {_BOTH.format(a='sex', b='msex')} FROM card
+  UNION ALL SELECT record, 'blood_group', CASE WHEN bal >= 1000 THEN 'AB+' END, 0.82, 'ROI', NULL FROM card
+  UNION ALL SELECT record, 'national_card_number', number, nconf, 'FRONT_PRINTED', NULL FROM card UNION ALL SELECT record, 'document_number', number, nconf, 'FRONT_PRINTED', NULL FROM card
+  UNION ALL SELECT record, 'unique_card_body_number', CASE WHEN nk % 3 <> 0 THEN body ELSE mbody END, CASE WHEN nk % 3 = 0 THEN 0.85 WHEN mbody IS NULL THEN 0.9 WHEN body = mbody THEN 0.95 ELSE 0.7 END,
+    CASE WHEN nk % 3 = 0 THEN 'MRZ' ELSE 'FRONT_PRINTED' END, CASE WHEN nk % 3 <> 0 THEN {_BOTH.format(a='body', b='mbody')} END FROM card
+  UNION ALL SELECT record, 'date_of_birth', coalesce(day, mday), CASE WHEN day = mday THEN 0.94 WHEN day <> mday THEN 0.45 WHEN mday IS NULL THEN 0.85 WHEN bal > 7000 THEN 0.55 ELSE 0.8 END, CASE WHEN day IS NULL THEN 'MRZ' ELSE 'BACK_PRINTED' END, {_BOTH.format(a='day', b='mday')} FROM card
+  UNION ALL SELECT record, 'issue_date', CASE WHEN nk % 6 <> 0 THEN '2015-03-04' END, 0.7, 'BACK_PRINTED', NULL FROM card
+  UNION ALL SELECT record, 'expiry_date', coalesce(mtil, til), CASE WHEN til = mtil THEN 0.94 WHEN til <> mtil THEN 0.65 WHEN til IS NULL THEN 0.85 ELSE 0.7 END, CASE WHEN mtil IS NULL THEN 'BACK_PRINTED' ELSE 'MRZ' END, {_BOTH.format(a='til', b='mtil')} FROM card
+  UNION ALL SELECT record, 'family_number', family, 0.85, 'BACK_PRINTED', NULL FROM card UNION ALL SELECT record, 'issuing_country', 'IQ', 1.0, 'DOCUMENT_TYPE', NULL FROM card
+) SELECT record, field, value, CAST(confidence AS DOUBLE) AS confidence, source, cross_check FROM f WHERE value IS NOT NULL""")
 def reconciled_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A card's two sides as two sources."""
-    return identity.reconcile(*_sides(spark, sf_dir))
-
-
-def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    customers, key = D.table(spark, sf_dir, "customer"), F.col("c_custkey").cast("string")
-    front = customers.select(F.col("c_custkey").alias("record"), F.lit("document_number").alias("field"), key.alias("value"), F.lit(0.7).alias("confidence"))
-    other = F.when(F.col("c_acctbal") > 9000, "other").otherwise(F.concat(F.lit(" "), key, F.lit(" ")))
-    back = customers.where("c_acctbal >= 0").select(F.col("c_custkey").alias("record"), F.lit("document_number").alias("field"), other.alias("value"), F.lit(0.9).alias("confidence"))
-    return front, back.union(customers.where("c_mktsegment <> 'MACHINERY'").select(F.col("c_custkey").alias("record"), F.lit("name").alias("field"), F.lit("back").alias("value"), F.lit(0.8).alias("confidence")))
-
-
-@query("""SELECT c_custkey AS record, CAST(c_custkey AS VARCHAR) AS document_number, CASE WHEN c_mktsegment <> 'MACHINERY' THEN 'back' END AS name,
-  concat_ws(' ', CASE WHEN c_acctbal > 9000 THEN 'SOURCE_MISMATCH' END, CASE WHEN c_mktsegment = 'MACHINERY' THEN 'FIELD_MISSING:name' END, 'FIELD_MISSING:date_of_birth') AS warnings FROM customer""")
+    """Cards' fields from their sides and machine-readable lines: agreeing, disagreeing, of one source alone, with checks that fail."""
+    whole = identity_records.identity_records(*_papers_and_lines(spark, sf_dir), F.lit(date(2024, 1, 1))).where(F.col("document_type") == identity_records.CARD)
+    return whole.select("record", F.explode("fields").alias("field", "x")).select("record", "field", "x.*")
+
+
+def _papers_and_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    nk, bal, segment = F.col("c_nationkey"), F.col("c_acctbal"), F.col("c_mktsegment")
+    customers = D.table(spark, sf_dir, "customer").withColumn("key", F.col("c_custkey").cast("string"))
+    customers = customers.withColumn("kind", F.when(segment == "MACHINERY", "PASSPORT").when(segment == "FURNITURE", "BIRTH_DOCUMENT").otherwise("UNIFIED_NATIONAL_CARD"))
+    key, card, passport = F.col("key"), F.col("kind") != "PASSPORT", F.col("kind") == "PASSPORT"
+    born = F.date_add(F.lit(date(1980, 1, 1)), F.pmod("c_custkey", F.lit(3000)).cast("int"))
+    coded_day = F.date_format(F.date_add(born, F.when(bal > 8000, 1).otherwise(0)), "yyMMdd")
+    until = F.when(nk % 11 == 0, "410630").otherwise("400630")
+    wrong = lambda text, bad: F.when(bad, ((identity.check_digit(text) + 1) % 10).cast("string")).otherwise(_digit(text))
+    number = F.concat(F.when(bal > 9000, "G").otherwise("K"), F.lpad(key, 8, "0"))
+    line = lambda side, text, given: F.when(given, F.struct(F.lit(side).alias("side"), text.alias("text")))
+    coded = nk % 4 != 3
+    digits = F.lpad(key, 9, "0")
+    page = F.concat(F.lit("P<XYZ"), digits, wrong(digits, bal > 9000), F.lit("XYZ<"), F.date_format(born, "yyMMdd"), _digit(F.date_format(born, "yyMMdd")), F.when(bal < 0, "F").otherwise("M"), F.lit("<<"), until, _digit(until))
+    lines = F.array(
+        line("FRONT", F.concat(F.lit("الاسم "), F.translate(key, "0123456789", "ابتثجحخدذر")), card), line("FRONT", F.lit("الاب: سعيد"), card), line("FRONT", F.lit("الجد"), card & (bal >= 0)), line("FRONT", F.lit("كريم"), card & (bal >= 0)),
+        line("FRONT", F.lit("الجنس: ذكر"), card & (nk % 5 != 0)), line("FRONT", F.concat(F.lit("No "), F.lpad(key, 12, "1"), F.when(nk == 5, "S").otherwise("")), card & (nk != 10)),
+        line("FRONT", F.concat(F.lit("body K"), F.lpad(key, 8, "0")), card & (nk % 3 != 0)), line("BACK", F.concat(F.lit("الرقم العائلي "), F.lpad(key, 14, "R")), card & (nk % 4 == 0)),
+        line("ROI_FAMILY", F.concat(F.lit("SHORT1 "), F.lpad(key, 12, "Q")), card & (nk % 2 == 1)), line("ROI_BLOOD", F.lit("AB +"), card & (bal >= 1000)), line("ROI_DOB", F.date_format(born, "yyyy/M/d"), card & (nk % 2 == 0)),
+        line("ROI_DATES", F.lit("2015.03.04"), card & (nk % 6 != 0)), line("ROI_DATES", F.lit("2040-06-30"), card & (nk % 7 != 0)),
+        line("ROI_MRZ", F.rpad(F.concat(F.lit("IDIRQ"), number, _digit(number)), 30, "<"), card & coded), line("ROI_MRZ", F.lit("SOME<<NAME"), card & coded & (nk != 13)),
+        line("ROI_MRZ", F.rpad(F.concat(coded_day, wrong(coded_day, bal > 7000), F.when(bal < 0, "F").otherwise("M"), until, _digit(until), F.lit("IRQ")), 30, "<"), card & coded),
+        line("FRONT", F.rpad(page, 44, "<"), passport & coded), line("FRONT", F.rpad(F.lit("NAME"), 44, "<"), passport & coded),
+        line("FRONT", F.lit("seen on 2011-1-2"), passport & (nk % 3 != 2)), line("FRONT", F.lit("Date of issue 2012/5/6"), passport & (nk % 3 == 0)), line("FRONT", F.lit(""), F.lit(True)),
+    )
+    rows = customers.where(nk != 12).select(F.col("c_custkey").alias("record"), F.when(nk == 6, 0.0).otherwise(0.8).alias("confidence"), F.posexplode(F.array_compact(lines)).alias("line_no", "x"))
+    return customers.select(F.col("c_custkey").alias("record"), F.col("kind").alias("document_type")), rows.select("record", "x.side", "line_no", "x.text", "confidence")
+
+
+@query(f"""WITH {_WHOLE}, w AS (SELECT record, concat_ws(' ',
+    CASE WHEN NOT m THEN 'MRZ_NOT_DETECTED' WHEN bal > 7000 OR nk = 13 THEN 'MRZ_PARTIAL' END, CASE WHEN bal < 0 THEN 'FIELD_MISSING' END, CASE WHEN sex <> msex THEN 'SOURCE_MISMATCH' WHEN sex IS NULL AND NOT m THEN 'FIELD_MISSING' END,
+    CASE WHEN bal < 1000 THEN 'BLOOD_GROUP_NOT_FOUND' END, CASE nk WHEN 10 THEN 'FIELD_MISSING' WHEN 5 THEN 'OCR_CHARACTER_NORMALIZED' END,
+    CASE WHEN nk % 3 <> 0 AND body <> mbody THEN 'SOURCE_MISMATCH' WHEN nk % 3 = 0 AND NOT m THEN 'FIELD_MISSING' END, CASE WHEN day <> mday THEN 'SOURCE_MISMATCH' WHEN day IS NULL AND NOT m THEN 'FIELD_MISSING' END,
+    CASE WHEN til <> mtil THEN 'SOURCE_MISMATCH' END, CASE WHEN family IS NULL THEN 'FAMILY_NUMBER_NOT_FOUND' END) AS warnings FROM card)
+SELECT c.record, kind AS document_type, CASE WHEN nk = 12 THEN 'NO_TEXT_DETECTED' WHEN kind = 'BIRTH_DOCUMENT' THEN 'UNSUPPORTED_LAYOUT' WHEN kind = 'PASSPORT' THEN
+    concat_ws(' ', CASE WHEN NOT m THEN 'MRZ_NOT_DETECTED' WHEN bal > 9000 THEN 'MRZ_CHECK_FAILED' END, CASE WHEN nk % 3 = 2 THEN 'FIELD_NOT_FOUND' END) ELSE warnings END AS warnings,
+  nk <> 12 AND kind <> 'BIRTH_DOCUMENT' AND m AS detected, nk <> 12 AND m AND CASE kind WHEN 'PASSPORT' THEN bal <= 9000 WHEN 'BIRTH_DOCUMENT' THEN false ELSE bal <= 7000 END AS valid,
+  CASE WHEN kind = 'PASSPORT' AND nk <> 12 THEN concat_ws(' ', CASE WHEN nk % 3 = 0 THEN '2012-05-06 0.85' WHEN nk % 3 = 1 THEN '2011-01-02 0.6' END,
+    CASE WHEN m THEN lpad(k, 9, '0') || CASE WHEN bal > 9000 THEN ' 0.6' ELSE ' 0.99' END || ' NAME' || CASE WHEN bal > 9000 THEN ' 0.6' ELSE ' 0.9' END || ' XYZ ' || CAST(born AS VARCHAR) || ' ' || CASE WHEN bal < 0 THEN 'F' ELSE 'M' END || CASE WHEN nk % 11 = 0 THEN ' 2041-06-30' ELSE ' 2040-06-30' END END) ELSE '' END AS passport
+FROM c LEFT JOIN w ON c.record = w.record""")
 def assembled_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    whole = identity.assemble_records(identity.reconcile(*_sides(spark, sf_dir)))
-    return whole.select("record", F.col("fields")["document_number"]["value"].alias("document_number"), F.col("fields")["name"]["value"].alias("name"), F.array_join("warnings", " ").alias("warnings"))
+    """All papers by their type: warnings in order, the state of the machine-readable lines, and a passport's fields."""
+    whole = identity_records.identity_records(*_papers_and_lines(spark, sf_dir), F.lit(date(2024, 1, 1)))
+    cell = lambda f, rated=True: [F.col("fields")[f]["value"], *([F.col("fields")[f]["confidence"].cast("string")] if rated else [])]
+    shown = F.concat_ws(" ", *cell("issue_date"), *cell("document_number"), *cell("full_name"), *cell("issuing_country", False), *cell("date_of_birth", False), *cell("sex", False), *cell("expiry_date", False))
+    passport = F.when(F.col("document_type") == identity_records.PASSPORT, shown).otherwise("")
+    return whole.select("record", "document_type", F.array_join("warnings", " ").alias("warnings"), "detected", "valid", passport.alias("passport"))

@@ -136,6 +136,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df from the shared folder: computed once, and not again if an executor is lost."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def replace_series(points: DataFrame, path: str, now: int, retention_seconds: int) -> None:
     """Write whole series, one value a second, sorted, as far back as the retention and a minute more."""
     from ..operators.series import dedupe_series, within

@@ -243,9 +243,6 @@ def test_records(spark):
     assert (r.document_number, r.nationality, r.partial) == ("A12345678", "IRQ", True)
     fields = identity.field_confidences(identity.national_card(card), ("document_number", "sex"))
     assert {f.field for f in fields.collect()} == {"document_number", "sex"}
-    both = identity.reconcile(fields, fields.withColumn("value", F.lit("M")))
-    assert dict(rows(both, "field", "cross_check")) == {"document_number": "MISMATCH", "sex": "AGREE"}
-    assert identity.assemble_records(both).first().warnings[0] == "SOURCE_MISMATCH"
 
 
 def test_card_numbers_names_and_dates(spark):
@@ -475,3 +472,30 @@ def test_raw_value_behind_odd_letters(spark, before):
     found = dates.detect_dates(df, F.lit(TODAY), keep_raw=True).collect()
     assert [(r.raw_value, r.normalized_value, r.candidate_type) for r in found] == [("٢٠٢٠-01-02", "2020-01-02", "ISSUE_DATE")]
     assert [r.occurrence_index for r in found] == [r.occurrence_index for r in dates.detect_dates(df, F.lit(TODAY)).collect()]
+
+
+def test_identity_records_by_type(spark):
+    from quirelake.operators import identity_records
+
+    papers = spark.createDataFrame([("card", "UNIFIED_NATIONAL_CARD"), ("bare", "UNIFIED_NATIONAL_CARD"), ("pass", "PASSPORT"), ("birth", "BIRTH_DOCUMENT"), ("none", "PASSPORT"), ("odd", None)], "record string, document_type string")
+    lines = [
+        ("card", "FRONT", 1, "الاسم: علي", 0.95), ("card", "FRONT", 2, "الجنس: انثى", None), ("card", "FRONT", 3, "12345678901S", 0.4), ("card", "FRONT", 4, "999999999999", 0.9),
+        ("card", "ROI_DOB", 5, "1991.02.30 1991/2/3", 0.9), ("card", "ROI_DOB", 6, "1990-13-01", 0.9), ("card", "ROI_DATES", 7, "2031-01-02", 0.9), ("card", "BACK", 8, "9001017M3001012IRQ", 0.9), ("card", "ROI_MRZ", 9, "IDIRQA123456785<<<<<", 0.9),
+        ("bare", "FRONT", 1, None, None), ("pass", "FRONT", 1, "Date of issue unknown", 0.9), ("pass", "FRONT", 2, "2020/31/12", 0.9), ("birth", "FRONT", 1, "text", 0.9), ("odd", "FRONT", 1, "text", 0.9), ("stray", "FRONT", 1, "text", 0.9),
+    ]
+    lines = spark.createDataFrame(lines, "record string, side string, line_no int, text string, confidence double")
+    found = {r.record: r for r in identity_records.identity_records(papers, lines, F.lit(date(2024, 1, 1))).collect()}
+    assert set(found) == {"card", "bare", "pass", "birth", "none", "odd"}
+    card = {k: tuple(v) for k, v in found["card"].fields.items()}
+    assert card["name"] == ("علي", 0.95, "FRONT_PRINTED", None)
+    # the printed value stays for sex and birth, the machine's for the end of validity; the repaired number stops at its least confidence
+    assert card["sex"] == ("FEMALE", 0.45, "FRONT_PRINTED", "MRZ_MISMATCH") and card["national_card_number"] == card["document_number"] == ("123456789015", 0.3, "FRONT_PRINTED", None)
+    assert card["date_of_birth"] == ("1991-02-30", 0.45, "BACK_PRINTED", "MRZ_MISMATCH") and card["expiry_date"] == ("2030-01-01", 0.65, "MRZ", "MRZ_MISMATCH")
+    assert card["unique_card_body_number"] == ("A12345678", 0.85, "MRZ", None) and card["issuing_country"] == ("IQ", 1.0, "DOCUMENT_TYPE", None)
+    assert found["card"].warnings.count("SOURCE_MISMATCH") == 3 and "OCR_CHARACTER_NORMALIZED" in found["card"].warnings and found["card"].warnings[0] == "MRZ_PARTIAL"
+    missing = ["FIELD_MISSING"] * 4 + ["BLOOD_GROUP_NOT_FOUND"] + ["FIELD_MISSING"] * 3 + ["FAMILY_NUMBER_NOT_FOUND"]
+    assert found["bare"].warnings == ["MRZ_NOT_DETECTED", *missing] and list(found["bare"].fields) == ["issuing_country"]
+    # a passport's date isn't checked against the calendar
+    assert tuple(found["pass"].fields["issue_date"]) == ("2020-31-12", 0.6, "OCR", None) and found["pass"].warnings == ["MRZ_NOT_DETECTED"]
+    assert found["birth"].warnings == found["odd"].warnings == ["UNSUPPORTED_LAYOUT"] and found["none"].warnings == ["NO_TEXT_DETECTED"] and found["none"].fields == {}
+    assert identity_records.identity_records(papers.limit(0), lines, F.current_date()).count() == 0
