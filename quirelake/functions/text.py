@@ -6,8 +6,10 @@ Regular expressions carry (?U) where letters and digits of any script are meant.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
+import sys
 import unicodedata
 
 import pandas as pd
@@ -181,9 +183,23 @@ def normalize_unit(column: Column, aliases: dict[str, str] = UNIT_ALIASES) -> Co
     return _lookup(F.replace(F.lower(F.trim(column)), F.lit(" "), F.lit("")), aliases)
 
 
+@functools.cache
+def _foldings() -> tuple[str, str, tuple[tuple[str, str], ...]]:
+    """Unicode's full case folding by rule: letters that fold to one letter, what they fold to, and those that fold to several."""
+    folded = [(c, c.casefold()) for c in map(chr, range(sys.maxunicode + 1)) if c != c.casefold()]
+    single = [(c, f) for c, f in folded if len(f) == 1]
+    return "".join(c for c, _ in single), "".join(f for _, f in single), tuple((c, f) for c, f in folded if len(f) > 1)
+
+
 def casefold(column: Column) -> Column:
-    """Lower case, with the sharp s as ss; other special foldings aren't made."""
-    return F.replace(F.replace(F.lower(column), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
+    """Full case folding, letter by letter and without regard to place or language: a final sigma is a sigma, a sharp s is ss, a
+    dotted capital i is an i with a dot. Texts of ASCII letters are only put in lower case."""
+    source, target, several = _foldings()
+    single = F.translate(column, source, target)
+    table = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(f).alias("f")) for c, f in several])
+    whole = F.aggregate(table, single, lambda text, x: F.replace(text, x["c"], x["f"]))
+    folded = F.when(single.rlike("[" + "".join(c for c, _ in several) + "]"), whole).otherwise(single)
+    return F.when(column.rlike(r"^[\x00-\x7F]*$"), F.lower(column)).otherwise(folded)
 
 
 def normalize_name(column: Column) -> Column:

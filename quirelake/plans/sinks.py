@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import dates
+from ..operators import audit, dates
 from ..sources import io
 from ..streaming import streams
 from . import driver_tables as D
@@ -51,6 +51,16 @@ def log_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).groupBy(F.col("day").cast("string").alias("day"), "action").agg(F.count("*").alias("n"))
 
 
+@query("SELECT event_id AS uuid, event_type AS action, CAST(CAST(ts AS DATE) AS VARCHAR) AS day FROM events WHERE user_id = 7 OR event_id = 11")
+def log_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A patient's history and one resource's, read off a log that is laid out for both."""
+    path = io.scratch(spark, "log")
+    io.append_events(D.events(spark, sf_dir).withColumn("resource", F.col("uuid").cast("string")), path)
+    logs = spark.read.parquet(path)
+    both = audit.audit_history(logs, patient=7).union(audit.audit_history(logs.where("patient <> 7 OR patient IS NULL"), resource="11"))
+    return both.select("uuid", "action", F.col("day").cast("string").alias("day"))
+
+
 @query("SELECT o_orderkey AS document_uuid, CASE WHEN o_orderstatus = 'F' THEN o_totalprice * 2 ELSE o_totalprice END AS score FROM orders UNION ALL SELECT o_orderkey, -o_totalprice FROM orders WHERE o_orderstatus <> 'F'")
 def versioned_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two candidates for each order, of which one status' orders get a new set of one."""

@@ -233,6 +233,19 @@ def lab_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("record", T.normalize_test(F.col("test")).alias("test"), T.normalize_unit(F.col("unit")).alias("unit"))
 
 
+#: Names in several scripts, and their full case foldings behind compatibility normalisation.
+_SCRIPT_NAMES = ("\u0130STANBUL Il\u0131ca", "ΟΔΟΣ Σοφίας", "Straße STRA\u1e9eE", "Եր\u0587ան", "\u1fbc \u0390 \u01f0", "\u017ftadt \u212a \u212b", "\uab70 \u13a0", "ПЕТР Ё")
+_SCRIPT_FOLDED = ("i\u0307stanbul il\u0131ca", "οδοσ σοφίασ", "strasse strasse", "երեւան", "αι \u03b9\u0308\u0301 j\u030c", "stadt k \u00e5", "\u13a0 \u13a0", "петр ё")
+
+
+@query(f"SELECT doc_id AS record, {list(_SCRIPT_FOLDED)}[doc_id % 8 + 1] || ' ' || lang AS name, md5(replace(lower(text), 'ß', 'ss')) AS folded FROM documents")
+def folded_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turkish, Greek, German, Armenian, Cherokee and other names of documents, and their whole texts, case folded."""
+    name = F.get(F.array(*map(F.lit, _SCRIPT_NAMES)), F.pmod("doc_id", F.lit(8)).cast("int"))
+    full = F.concat(F.lit("\u3000"), name, F.lit("\t \u00a0"), F.upper("lang"))
+    return D.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("record"), T.normalize_name(full).alias("name"), F.md5(T.casefold(F.col("text")).cast("binary")).alias("folded"))
+
+
 @query("""SELECT c_custkey AS record, 'strasse ' || lower(c_name) AS name, 'scan ' || c_custkey || '.pdf' AS file, 'اسم ' || c_custkey AS label, CASE WHEN c_acctbal < 0 THEN '01158' || c_custkey ELSE 'OIlSBx' || c_custkey END AS digits,
   sha256('{"a":' || c_custkey || ',"b":"' || c_mktsegment || '"}') AS request FROM customer""")
 def clean_names(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -499,3 +499,14 @@ def test_identity_records_by_type(spark):
     assert tuple(found["pass"].fields["issue_date"]) == ("2020-31-12", 0.6, "OCR", None) and found["pass"].warnings == ["MRZ_NOT_DETECTED"]
     assert found["birth"].warnings == found["odd"].warnings == ["UNSUPPORTED_LAYOUT"] and found["none"].warnings == ["NO_TEXT_DETECTED"] and found["none"].fields == {}
     assert identity_records.identity_records(papers.limit(0), lines, F.current_date()).count() == 0
+
+
+def test_casefold_is_unicodes(spark):
+    import sys
+
+    from quirelake.functions.text import casefold
+
+    letters = [c for c in map(chr, range(32, sys.maxunicode + 1)) if c.casefold() != c]
+    texts = ["".join(letters), *letters[::7], "ΑΣ ΑΣΑ", "plain ASCII", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", casefold(F.col("t")).alias("f"))
+    assert [(r.t, r.f) for r in df.collect() if r.f != (r.t.casefold() if r.t is not None else None)] == []

@@ -1,6 +1,7 @@
 """The inverted index, versioned tables and keyset pages: literal cases, failures, and how much a read touches."""
 
 import datetime as dt
+import hashlib
 import random
 import re
 
@@ -190,3 +191,32 @@ def test_pages_of_an_empty_table(spark):
     path = io.scratch(spark, "paged")
     paging.write_pages(spark.createDataFrame([], "document_uuid long, day date"), path, [("document_uuid", True)])
     assert paging.total(spark, path).first()["total"] == 0
+
+
+def rows_read(df):
+    """How many rows the scan of a query without shuffles gives, once it has run."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().collectLeaves().head().metrics().get("numOutputRows").get().value()
+
+
+def test_history_reads_a_few_row_groups(spark):
+    path = io.scratch(spark, "log")
+    rows = spark.range(200_000).select(
+        F.col("id").alias("uuid"), F.when(F.col("id") % 3 == 0, 7).otherwise(F.pmod(F.xxhash64("id"), F.lit(2000))).alias("patient"), F.md5(F.col("id").cast("string")).alias("resource"),
+        F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") % 5000).alias("created_at"),
+    )
+    io.append_events(rows, path, row_group_bytes=1 << 16)
+    logs = spark.read.parquet(path)
+    assert logs.count() == 200_000
+    few = logs.where("patient = 1234").select("uuid")
+    assert {r.uuid for r in few.collect()} == {r.uuid for r in rows.where("patient = 1234").collect()} and rows_read(few) < 20_000
+    # a patient with a third of all rows lies in several files
+    assert logs.where("patient = 7").select(F.input_file_name()).distinct().count() > 1
+    digest = hashlib.md5(b"4711").hexdigest()
+    one = logs.where(F.col("resource") == digest).select("uuid")
+    assert [r.uuid for r in one.collect()] == [4711] and rows_read(one) < 20_000
+    # a log without any of the keys, and one without rows
+    bare = io.scratch(spark, "bare")
+    io.append_events(rows.select("created_at"), bare)
+    io.append_events(rows.select("created_at").limit(0), bare)
+    assert spark.read.parquet(bare).count() == 200_000
