@@ -1,6 +1,7 @@
 """Result tables from positioned text spans, as one job over all pages.
 
-Spans (document_uuid, page_number, sequence, text, confidence, x_min, y_min, x_max, y_max) become
+Spans (document_uuid, page_number, sequence, text, confidence, x_min, y_min, x_max, y_max) are looked
+at one by one first: what depends on a text alone becomes bits of its cell. They become
 rows by a fold over each page's spans in order of height; from there on a row is an array of cells
 and everything is a column expression. A page is a group of some hundred spans at most, and pages
 are the unit of parallelism; nothing else is ever grouped.
@@ -8,7 +9,7 @@ are the unit of parallelism; nothing else is ever grouped.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_test, normalize_unit
@@ -69,6 +70,11 @@ def _norm(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.trim(text)), "[^a-z0-9أ-ي ]+", " "), r"\s+", " "))
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are computed once (instead of those of the same name): one row of a generator, which no later filter or projection is merged with."""
+    return df.select(*[c for c in df.columns if c not in columns], F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
+
+
 def is_flag(text: Column) -> Column:
     return text.rlike(FLAG)
 
@@ -86,93 +92,128 @@ def is_cell_like(text: Column) -> Column:
     return is_unit_cell(text) | is_flag(text) | text.rlike(DECIMAL) | text.rlike(THRESHOLD) | text.rlike(RANGE) | text.rlike(RANGE_ANYWHERE)
 
 
-def header_meaning(text: Column) -> Column:
-    """What a header cell's column holds; null if the cell is none. Short cells may be one edit away from a cue."""
-    normed = _norm(text)
+def header_meaning(normed: Column) -> Column:
+    """What a header cell's column holds, by its text in _norm's form; null if the cell is none. Short cells may be one edit away from a cue."""
     cues = F.array(*[F.struct(F.lit(c).alias("cue"), F.lit(m).alias("meaning")) for c, m in HEADER_CUES.items()])
     exact = F.element_at(F.create_map(*[F.lit(x) for kv in HEADER_CUES.items() for x in kv]), normed)
     near = F.filter(cues, lambda c: F.levenshtein(c["cue"], normed, 1) >= 0)
-    return F.coalesce(exact, F.when((F.length(normed) > 0) & (F.length(normed) <= 8), F.get(near, F.lit(0))["meaning"]))
+    # a cue has three letters or more, so what is one edit away has two
+    short = F.length(normed).between(2, 8) & normed.rlike("[a-z].*[a-z]")
+    return F.coalesce(exact, F.when(short, F.get(near, F.lit(0))["meaning"]))
 
 
-def _median(values: Column) -> Column:
+def _median(ordered: Column) -> Column:
     """Of a sorted array."""
-    n = F.size(values)
+    n = F.size(ordered)
     mid = F.floor(n / 2).cast("int")
-    return F.when(n % 2 == 1, F.get(values, mid)).otherwise((F.get(values, mid - 1) + F.get(values, mid)) / 2)
+    return F.when(n % 2 == 1, F.get(ordered, mid)).otherwise((F.get(ordered, mid - 1) + F.get(ordered, mid)) / 2)
+
+
+def _shapes(text: str, low: str, normed: str) -> dict[str, Column]:
+    """What a cell's text looks like; the names are the bits of a cell's `is`."""
+    t, l = F.col(text), F.col(low)  # noqa: E741
+    starts = lambda *words: l.rlike("^(" + "|".join(words) + ")")
+    return {
+        "unit": is_unit(t), "unit_cell": is_unit_cell(t), "flag": is_flag(t), "cell_like": is_cell_like(t), "decimal": t.rlike(DECIMAL), "threshold": t.rlike(THRESHOLD),
+        "range": t.rlike(RANGE), "phone": t.rlike(PHONE), "special": l.isin(*SPECIAL_RESULTS), "sign": starts("negative", "positive"),
+        "found": starts("negative", "positive", "not detected", "detected"), "digit": t.rlike(r"(?U)\d"), "section": F.col(normed).isin(*SECTION_CUES),
+    }
+
+
+_BITS = {name: 1 << i for i, name in enumerate(("unit", "unit_cell", "flag", "cell_like", "decimal", "threshold", "range", "phone", "special", "sign", "found", "digit", "section"))}
+
+
+def _is(cell: Column, *names: str) -> Column:
+    """A cell has one of these shapes."""
+    return cell["is"].bitwiseAND(sum(_BITS[n] for n in names)) != 0
+
+
+def shaped(spans: DataFrame) -> DataFrame:
+    """Spans with their text trimmed, its shapes (`is`) and its meaning as a header: every pattern is tried once for each span, before any grouping."""
+    df = once(spans, _text=F.trim(F.coalesce("text", F.lit(""))))
+    df = once(df, _low=F.lower("_text"), _normed=_norm(F.col("_text")))
+    shapes = _shapes("_text", "_low", "_normed")
+    bits = sum((F.when(shapes[n], bit).otherwise(0) for n, bit in _BITS.items()), F.lit(0))
+    return df.withColumns({"is": bits, "meaning": header_meaning(F.col("_normed")), "text": F.col("_text")}).drop("_text", "_low", "_normed")
 
 
 def group_rows(spans: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
-    """document_uuid, page_number, row (from 0, in reading order), cells (array of spans by x)."""
-    cell = F.struct("x_min", "sequence", "x_max", "y_min", "y_max", "confidence", F.trim(F.coalesce("text", F.lit(""))).alias("text"))
+    """document_uuid, page_number, rows (in reading order, each an array of spans by x); spans as from shaped.
+
+    Spans come by height, so one that the last row is too far above for is too far from all rows before it, too.
+    """
+    cell = F.struct("x_min", "sequence", "x_max", "y_min", "y_max", "confidence", "text", "is", "meaning")
     each = F.struct(((F.col("y_min") + F.col("y_max")) / 2).alias("cy"), "sequence", (F.col("y_max") - F.col("y_min")).alias("height"), cell.alias("cell"))
     pages = spans.groupBy(*PAGE).agg(F.sort_array(F.collect_list(each)).alias("s"))
-    height = _median(F.array_sort(F.transform("s", lambda x: x["height"])))
-    pages = pages.withColumn("tolerance", F.greatest(height * tolerance, F.lit(1e-4)))
-    cell_type = spans.select(cell.alias("c")).schema["c"].dataType.simpleString()
-    empty = F.array().cast(f"array<struct<s:double,n:int,cells:array<{cell_type}>>>")
-
-    def place(rows: Column, x: Column) -> Column:
-        at = F.array_position(F.transform(rows, lambda r: F.abs(x["cy"] - r["s"] / r["n"]) <= F.col("tolerance")), True)
-        joined = F.transform(rows, lambda r, i: F.when(i == at - 1, F.struct((r["s"] + x["cy"]).alias("s"), (r["n"] + 1).alias("n"), F.concat(r["cells"], F.array(x["cell"])).alias("cells"))).otherwise(r))
-        return F.when(at > 0, joined).otherwise(F.concat(rows, F.array(F.struct(x["cy"].cast("double").alias("s"), F.lit(1).alias("n"), F.array(x["cell"]).alias("cells")))))
-
-    rows = pages.select(*PAGE, F.posexplode(F.aggregate("s", empty, place)).alias("row", "r"))
-    return rows.select(*PAGE, "row", F.sort_array("r.cells").alias("cells"))
-
-
-def with_header(rows: DataFrame) -> DataFrame:
-    """rows with header_cells, header_row (null: the page has no header), centers and meanings of its columns."""
-    rows = rows.withColumn("meanings", F.transform("cells", lambda c: header_meaning(c["text"])))
-    rows = rows.withColumn("header_cells", F.size(F.filter("meanings", lambda m: m.isNotNull())))
-    page = Window.partitionBy(*PAGE)
-    best = F.max(F.when(F.col("header_cells") >= 2, F.struct("header_cells", (-F.col("row")).alias("minus_row")))).over(page)
-    rows = rows.withColumn("header_row", -best["minus_row"])
-    own = F.struct(F.transform("cells", lambda c: (c["x_min"] + c["x_max"]) / 2).alias("centers"), F.transform("meanings", lambda m: F.coalesce(m, F.lit("OTHER"))).alias("meanings"))
-    header = F.first(F.when(F.col("row") == F.col("header_row"), own), ignorenulls=True).over(page)
-    return rows.withColumn("header", header).drop("meanings")
-
-
-def without_noise(cells: Column) -> Column:
-    """Cells without strokes far taller than the row's text that can't be table content; short rows stay."""
+    pages = once(pages, heights=F.array_sort(F.transform("s", lambda x: x["height"])))
+    pages = once(pages, tolerance=F.greatest(_median(F.col("heights")) * tolerance, F.lit(1e-4)))
+
+    def step(acc: Column, x: Column, i: Column) -> Column:
+        near = F.coalesce(F.abs(x["cy"] - acc["s"] / acc["n"]) <= F.col("tolerance"), F.lit(False))
+        return F.struct(
+            F.when(near, acc["s"] + x["cy"]).otherwise(x["cy"]).cast("double").alias("s"), F.when(near, acc["n"] + 1).otherwise(1).alias("n"),
+            F.when(near, acc["starts"]).otherwise(F.concat(acc["starts"], F.array(i))).alias("starts"),
+        )
+
+    numbered = F.transform("s", lambda x, i: F.struct(x["cy"].alias("cy"), i.alias("i")))
+    start = F.struct(F.lit(None).cast("double").alias("s"), F.lit(1).alias("n"), F.array().cast("array<int>").alias("starts"))  # no row is near
+    pages = once(pages, starts=F.aggregate(numbered, start, lambda acc, x: step(acc, x, x["i"]), lambda acc: acc["starts"]))
+    end = lambda i: F.coalesce(F.get("starts", i + 1), F.size("s"))
+    row = lambda b, i: F.sort_array(F.transform(F.slice("s", b + 1, end(i) - b), lambda x: x["cell"]))
+    return pages.select(*PAGE, F.transform("starts", row).alias("rows"))
+
+
+def with_header(pages: DataFrame) -> DataFrame:
+    """A row for each of a page's rows: row (from 0), cells, header_cells, header_row (null: the page has no header), and its columns' middles, meanings and panels
+    (one for each TEST column, from 0)."""
+    pages = once(pages, _counts=F.transform("rows", lambda r: F.size(F.filter(r, lambda c: c["meaning"].isNotNull()))))
+    best = F.array_max(F.filter(F.transform("_counts", lambda n, i: F.struct(n.alias("n"), (-i).alias("minus_row"))), lambda x: x["n"] >= 2))
+    pages = once(pages, header_row=-best["minus_row"])
+    pages = once(pages, _header=F.get("rows", F.col("header_row")))
+    center = lambda c: (c["x_min"] + c["x_max"]) / 2
+    pages = once(pages, _centers=F.transform("_header", center), meanings=F.transform("_header", lambda c: F.coalesce(c["meaning"], F.lit("OTHER"))))
+    middles = F.transform(F.slice("_centers", F.lit(2), F.greatest(F.size("_centers") - 1, F.lit(0))), lambda c, i: (F.get("_centers", i) + c) / 2)
+    panels = F.transform("meanings", lambda m, i: F.greatest(F.size(F.filter(F.slice("meanings", F.lit(1), i + 1), lambda x: x == "TEST")) - 1, F.lit(0)))
+    pages = once(pages, middles=middles, panels_at=panels)
+    rows = pages.select(*PAGE, "header_row", "middles", "meanings", "panels_at", "_counts", F.posexplode("rows").alias("row", "cells"))
+    return rows.withColumn("header_cells", F.get("_counts", F.col("row"))).drop("_counts")
+
+
+def without_noise(rows: DataFrame) -> DataFrame:
+    """rows without cells that have strokes far taller than the row's text and can't be table content; short rows stay."""
     height = lambda c: c["y_max"] - c["y_min"]
-    median = _median(F.array_sort(F.transform(cells, height)))
-    kept = F.filter(cells, lambda c: ~((height(c) > median * NOISE_HEIGHT) & ~is_cell_like(c["text"])))
-    return F.when((F.size(cells) >= 3) & (median > 0), kept).otherwise(cells)
+    rows = once(rows, _heights=F.when(F.size("cells") >= 3, F.array_sort(F.transform("cells", height))))
+    rows = once(rows, _median=_median(F.col("_heights")))
+    kept = F.filter("cells", lambda c: ~((height(c) > F.col("_median") * NOISE_HEIGHT) & ~_is(c, "cell_like")))
+    return once(rows, cells=F.when(F.col("_median") > 0, kept).otherwise(F.col("cells"))).drop("_heights", "_median")
 
 
 def _placed(cells: Column) -> Column:
     """Cells with their panel (one per TEST column, from 0) and column meaning, by the header or by position."""
-    middle = F.col("middles")
 
     def by_header(c: Column) -> Column:
-        at = F.size(F.filter(middle, lambda m: m <= (c["x_min"] + c["x_max"]) / 2))
-        tests = F.size(F.filter(F.slice("header.meanings", F.lit(1), at + 1), lambda m: m == "TEST"))
-        return F.struct(F.greatest(tests - 1, F.lit(0)).alias("panel"), F.get("header.meanings", at).alias("meaning"), c.alias("cell"))
+        at = F.size(F.filter("middles", lambda m: m <= (c["x_min"] + c["x_max"]) / 2))
+        return F.struct(F.get("panels_at", at).alias("panel"), F.get("meanings", at).alias("meaning"), c.alias("cell"))
 
     n = F.size(cells)
-    text = lambda i: F.get(cells, F.lit(i))["text"]
+    unit_at = lambda i: _is(F.get(cells, F.lit(i)), "unit_cell")
 
     def by_position(c: Column, i: Column) -> Column:
-        second = F.when((n == 2) & is_unit_cell(text(1)), "UNIT").otherwise("RESULT")
-        third = F.when((n == 3) & ~is_unit_cell(text(2)), "REFERENCE").otherwise("UNIT")
+        second = F.when((n == 2) & unit_at(1), "UNIT").otherwise("RESULT")
+        third = F.when((n == 3) & ~unit_at(2), "REFERENCE").otherwise("UNIT")
         return F.struct(F.lit(0).alias("panel"), F.when(i == 0, "TEST").when(i == 1, second).when(i == 2, third).otherwise("REFERENCE").alias("meaning"), c.alias("cell"))
 
     return F.when(F.col("header_row").isNotNull(), F.transform(cells, by_header)).otherwise(F.transform(cells, by_position))
 
 
-def _role(text: Column, meaning: Column, seen: Column, has_test: Column) -> Column:
-    low = F.lower(text)
-    starts = lambda *words: low.rlike("^(" + "|".join(words) + ")")
-    in_result = (
-        F.when(low.rlike(DECIMAL), "RESULT").when(text.rlike(THRESHOLD) | low.isin(*SPECIAL_RESULTS) | starts("negative", "positive", "not detected", "detected"), "RESULT_TEXT")
-        .when(text.rlike(PHONE) | text.contains(" "), "REF").otherwise("RESULT_TEXT")
-    )
+def _role(cell: Column, meaning: Column, seen: Column, has_test: Column) -> Column:
+    text, has = cell["text"], lambda *names: _is(cell, *names)
+    in_result = F.when(has("decimal"), "RESULT").when(has("threshold", "special", "found"), "RESULT_TEXT").when(has("phone") | text.contains(" "), "REF").otherwise("RESULT_TEXT")
     return (
-        F.when(text == "", "DROP").when(meaning == "TEST", "TEST").when(is_flag(text), "FLAG").when(meaning == "RESULT", in_result)
-        .when(meaning == "UNIT", F.when(is_unit_cell(text), "UNIT").otherwise("DROP")).when(~seen & is_unit_cell(text), "UNIT")
-        .when(meaning.isin("REF_LOW", "REF_HIGH"), meaning).when((meaning == "REFERENCE") | text.rlike(RANGE) | text.rlike(THRESHOLD), "RANGE")
-        .when(low.rlike(DECIMAL), F.when(seen, "REF").otherwise("RESULT")).when(low.isin(*SPECIAL_RESULTS) | starts("negative", "positive"), "RESULT_TEXT")
+        F.when(text == "", "DROP").when(meaning == "TEST", "TEST").when(has("flag"), "FLAG").when(meaning == "RESULT", in_result)
+        .when(meaning == "UNIT", F.when(has("unit_cell"), "UNIT").otherwise("DROP")).when(~seen & has("unit_cell"), "UNIT")
+        .when(meaning.isin("REF_LOW", "REF_HIGH"), meaning).when((meaning == "REFERENCE") | has("range", "threshold"), "RANGE")
+        .when(has("decimal"), F.when(seen, "REF").otherwise("RESULT")).when(has("special", "sign"), "RESULT_TEXT")
         .when(~seen & ~has_test, "TEST").otherwise("REF")
     )
 
@@ -185,7 +226,7 @@ def _roles(cells: Column) -> Column:
         return F.struct(F.concat(acc["roles"], F.array(role)).alias("roles"), seen.alias("seen"), (acc["test"] | (role == "TEST")).alias("test"))
 
     def step(acc: Column, x: Column) -> Column:
-        role = F.array(_role(x["cell"]["text"], x["meaning"], acc["seen"], acc["test"]))  # an array, so that it is computed once
+        role = F.array(_role(x["cell"], x["meaning"], acc["seen"], acc["test"]))  # an array, so that it is computed once
         return F.get(F.transform(role, lambda r: after(acc, x, r)), F.lit(0))
 
     start = F.struct(F.array().cast("array<string>").alias("roles"), F.lit(False).alias("seen"), F.lit(False).alias("test"))
@@ -197,79 +238,92 @@ def _number(text: Column) -> Column:
 
 
 def assemble(rows: DataFrame) -> DataFrame:
-    """Rows with `placed` cells of one panel to result columns; rows without a name or a value drop out."""
-    df = rows.withColumn("roles", _roles(F.col("placed")))
-    of = lambda *roles: F.transform(F.filter(F.arrays_zip("placed", "roles"), lambda x: x["roles"].isin(*roles)), lambda x: x["placed"]["cell"]["text"])
+    """Rows with `placed` cells of one panel (null: none), with `result`: the panel's result columns, null without a name or a value."""
+    df = once(rows, roles=_roles(F.col("placed")))
+    df = once(df, _tagged=F.zip_with("placed", "roles", lambda x, role: F.struct(role.alias("role"), x["cell"]["text"].alias("text"))))
+    of = lambda *roles: F.transform(F.filter("_tagged", lambda x: x["role"].isin(*roles)), lambda x: x["text"])
     joined = lambda *roles: F.trim(F.array_join(of(*roles), " "))
     ranges = F.filter(
         F.transform(of("RANGE"), lambda t: F.struct(_number(F.regexp_extract(t, RANGE, 2)).alias("low"), _number(F.regexp_extract(t, RANGE, 4)).alias("high"))),
         lambda r: r["low"].isNotNull() & r["high"].isNotNull() & (r["low"] <= r["high"]),
     )
-    numbers = lambda role, side: F.concat(F.filter(F.transform(of(role), _number), lambda x: x.isNotNull()), F.transform(ranges, lambda r: r[side]))
+    df = once(df, _test=joined("TEST"), _result=joined("RESULT", "RESULT_TEXT"), _ranges=ranges)
+    numbers = lambda role, side: F.concat(F.filter(F.transform(of(role), _number), lambda x: x.isNotNull()), F.transform("_ranges", lambda r: r[side]))
+    df = once(df, _lows=numbers("REF_LOW", "low"), _highs=numbers("REF_HIGH", "high"), _first=F.substring_index("_result", " ", 1))
     only = lambda xs: F.when(F.size(xs) == 1, F.get(xs, F.lit(0)))
-    result = joined("RESULT", "RESULT_TEXT")
-    first = F.substring_index(result, " ", 1)
     confidence = F.aggregate("placed", F.lit(0.0), lambda a, x: a + x["cell"]["confidence"]) / F.size("placed")
     confidence = confidence * F.when(F.col("header_row").isNotNull(), 1.0).otherwise(NO_HEADER)
-    df = df.select(
-        *PAGE, "row", "panel", joined("TEST").alias("test_name_raw"), result.alias("result_raw"), F.when(first.rlike(DECIMAL), _number(first)).alias("result_numeric"),
+    result = F.struct(
+        F.col("_test").alias("test_name_raw"), F.col("_result").alias("result_raw"), F.when(F.col("_first").rlike(DECIMAL), _number(F.col("_first"))).alias("result_numeric"),
         joined("RESULT_TEXT").alias("result_text"), joined("UNIT").alias("unit_raw"), joined("REF", "REF_LOW", "REF_HIGH", "RANGE").alias("reference_range_raw"),
-        only(numbers("REF_LOW", "low")).alias("reference_low"), only(numbers("REF_HIGH", "high")).alias("reference_high"), joined("FLAG").alias("flag_raw"),
-        F.least(F.lit(1.0), F.greatest(F.lit(0.0), confidence)).alias("extraction_confidence"), F.transform("placed", lambda x: x["cell"]["sequence"]).alias("evidence"), "panels",
+        only("_lows").alias("reference_low"), only("_highs").alias("reference_high"), joined("FLAG").alias("flag_raw"),
+        F.least(F.lit(1.0), F.greatest(F.lit(0.0), confidence)).alias("extraction_confidence"), F.transform("placed", lambda x: x["cell"]["sequence"]).alias("evidence"),
     )
-    return df.where((F.col("test_name_raw") != "") & (F.col("result_raw") != "") & ~F.lower("test_name_raw").isin(*KNOWN_UNITS))
+    there = (F.col("_test") != "") & (F.col("_result") != "") & ~F.lower("_test").isin(*KNOWN_UNITS)
+    return once(df, result=F.when(there, result)).drop("roles", "_tagged", "_test", "_result", "_ranges", "_lows", "_highs", "_first")
 
 
-def parse_pages(spans: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
-    """Result rows of all pages, numbered on each page, with wrapped reference lines merged into the row they belong to.
+def _merges(entries: Column) -> Column:
+    """Which rows carry on the reference of an earlier row (row, into, panel, extra): a fold over a page's panels in order.
 
-    Rows and results are read more than once, so they are written to the shared folder first.
+    The last panel of a row that is no such line decides whether lines below it may carry on.
     """
-    rows = with_header(io.written(group_rows(spans, tolerance), "lab-rows"))
-    joined = F.trim(F.array_join(F.transform("cells", lambda c: c["text"]), " "))
-    rows = rows.withColumn("line", joined).where(F.col("header_row").isNull() | (F.col("row") > F.col("header_row"))).where("header_cells < 2")
-    metadata = F.col("line") == ""
-    for pattern in METADATA:
-        metadata = metadata | F.col("line").rlike(pattern)
-    full = F.filter("cells", lambda c: c["text"] != "")
-    section = (F.size(full) <= 2) & ~F.exists(full, lambda c: c["text"].rlike(r"(?U)\d")) & F.exists(full, lambda c: _norm(c["text"]).isin(*SECTION_CUES))
-    rows = rows.withColumn("metadata", metadata).where(F.col("metadata") | ~section).withColumn("cells", without_noise(F.col("cells"))).where(F.size("cells") > 0)
-    centers = F.col("header.centers")
-    rows = rows.withColumn("middles", F.transform(F.slice(centers, F.lit(2), F.greatest(F.size(centers) - 1, F.lit(0))), lambda c, i: (F.get(centers, i) + c) / 2))
-    rows = rows.withColumn("placed", _placed(F.col("cells")))
-    texts = F.filter(F.transform("cells", lambda c: c["text"]), lambda t: t != "")
-    clean = F.array_join(texts, " ")
-    carries = ~F.exists(texts, is_unit) & ~(F.get(texts, F.lit(0)).rlike(DECIMAL) & (F.size(texts) >= 2)) & (clean.rlike(CONTINUATION) | clean.rlike(RANGE))
-    rows = io.written(rows.withColumn("carries", F.when(F.size(texts) > 0, carries).otherwise(False)).withColumn("extra", F.trim(clean)), "lab-lines")
-
-    panels = F.array_sort(F.array_distinct(F.transform("placed", lambda x: x["panel"])))
-    tests = F.size(F.filter("header.meanings", lambda m: m == "TEST"))
-    split = rows.where(~F.col("metadata")).withColumn("panels", F.greatest(F.coalesce(tests, F.lit(1)), F.lit(1))).withColumn("panel", F.explode(panels))
-    results = io.written(assemble(split.withColumn("placed", F.filter("placed", lambda x: x["panel"] == F.col("panel")))), "lab-results")
-    seeds = (F.col("reference_range_raw") != "") & (F.col("panels") == 1) & F.col("reference_range_raw").rlike(RANGE_ANYWHERE)
-    last = results.groupBy(*PAGE, "row").agg(F.max_by(seeds, "panel").alias("seeds"), F.max("panel").alias("last_panel"))
-
-    # which rows carry on the reference of an earlier row: a fold over the page's rows
-    steps = rows.select(*PAGE, "row", "metadata", "carries", "extra").join(last.hint("merge"), [*PAGE, "row"], "left")
-    page = steps.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("row", "metadata", "carries", "extra", "seeds", "last_panel"))).alias("rows"))
 
     def step(acc: Column, x: Column) -> Column:
-        merged = acc["pending"] & x["carries"] & ~x["metadata"]
+        merged = F.when(x["row"] == acc["at"], acc["merged"]).otherwise(acc["pending"] & x["carries"] & ~x["metadata"])
+        return F.get(F.transform(F.array(merged), lambda m: after(acc, x, m)), F.lit(0))
+
+    def after(acc: Column, x: Column, merged: Column) -> Column:
         has = x["seeds"].isNotNull() & ~merged
-        pending = F.when(x["metadata"], False).when(merged, True).when(has, x["seeds"]).otherwise(acc["pending"])
         moved = F.struct(x["row"].alias("row"), acc["row"].alias("into"), acc["panel"].alias("panel"), x["extra"].alias("extra"))
         return F.struct(
-            pending.alias("pending"), F.when(has, x["row"]).otherwise(acc["row"]).alias("row"), F.when(has, x["last_panel"]).otherwise(acc["panel"]).alias("panel"),
-            F.when(merged, F.concat(acc["out"], F.array(moved))).otherwise(acc["out"]).alias("out"),
+            F.when(x["metadata"], False).when(merged, True).when(has, x["seeds"]).otherwise(acc["pending"]).alias("pending"), x["row"].alias("at"), merged.alias("merged"),
+            F.when(has, x["row"]).otherwise(acc["row"]).alias("row"), F.when(has, x["panel"]).otherwise(acc["panel"]).alias("panel"),
+            F.when(merged & (x["row"] != acc["at"]), F.concat(acc["out"], F.array(moved))).otherwise(acc["out"]).alias("out"),
         )
 
-    start = F.struct(F.lit(False).alias("pending"), F.lit(-1).alias("row"), F.lit(-1).alias("panel"), F.array().cast("array<struct<row:int,into:int,panel:int,extra:string>>").alias("out"))
-    merges = page.select(*PAGE, F.explode(F.aggregate("rows", start, step, lambda acc: acc["out"])).alias("m")).select(*PAGE, "m.*")
-    extra = merges.groupBy(*PAGE, F.col("into").alias("row"), "panel").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("row", "extra"))), lambda x: x["extra"]), " ").alias("extra"))
-    kept = results.join(merges.select(*PAGE, "row").hint("merge"), [*PAGE, "row"], "left_anti").join(extra.hint("merge"), [*PAGE, "row", "panel"], "left")
-    kept = kept.withColumn("reference_range_raw", F.trim(F.concat_ws(" ", "reference_range_raw", "extra")))
-    number = F.row_number().over(Window.partitionBy(*PAGE).orderBy("row", "panel")) - 1
-    return kept.withColumn("row_index", number).drop("row", "panel", "panels", "extra")
+    start = F.struct(
+        F.lit(False).alias("pending"), F.lit(-1).alias("at"), F.lit(False).alias("merged"), F.lit(-1).alias("row"), F.lit(-1).alias("panel"),
+        F.array().cast("array<struct<row:int,into:int,panel:int,extra:string>>").alias("out"),
+    )
+    return F.aggregate(entries, start, step, lambda acc: acc["out"])
+
+
+def parse_pages(spans: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
+    """Result rows of all pages, numbered on each page, with wrapped reference lines merged into the row they belong to.
+
+    Spans are shuffled once, by their page; all that follows stays in the tasks that hold the pages.
+    """
+    rows = with_header(group_rows(shaped(spans), tolerance))
+    rows = rows.where(F.col("header_row").isNull() | (F.col("row") > F.col("header_row"))).where("header_cells < 2")
+    rows = once(rows, line=F.trim(F.array_join(F.transform("cells", lambda c: c["text"]), " ")))
+    metadata = F.col("line") == ""
+    for pattern in METADATA:
+        metadata = metadata | F.col("line").rlike(pattern)
+    full = F.filter("cells", lambda c: c["text"] != "")
+    section = (F.size(full) <= 2) & ~F.exists(full, lambda c: _is(c, "digit")) & F.exists(full, lambda c: _is(c, "section"))
+    rows = without_noise(once(rows, metadata=metadata, _section=section).where("metadata OR NOT _section")).where(F.size("cells") > 0)
+    rows = once(rows, _full=F.filter("cells", lambda c: c["text"] != ""), placed=_placed(F.col("cells")))
+    rows = once(rows, extra=F.trim(F.array_join(F.transform("_full", lambda c: c["text"]), " ")))
+    carries = ~F.exists("_full", lambda c: _is(c, "unit")) & ~(_is(F.get("_full", F.lit(0)), "decimal") & (F.size("_full") >= 2)) & (F.col("extra").rlike(CONTINUATION) | F.col("extra").rlike(RANGE))
+    panels = F.array_sort(F.array_distinct(F.transform("placed", lambda x: x["panel"])))
+    tests = F.size(F.filter("meanings", lambda m: m == "TEST"))
+    rows = once(rows, carries=F.when(F.size("_full") > 0, carries).otherwise(False), _panels=F.when(~F.col("metadata"), panels), panels=F.greatest(F.coalesce(tests, F.lit(1)), F.lit(1)))
+    rows = rows.select(*PAGE, "row", "metadata", "carries", "extra", "placed", "header_row", "panels", F.explode_outer("_panels").alias("panel"))
+    own = F.when(F.col("panels") == 1, F.col("placed")).otherwise(F.filter("placed", lambda x: x["panel"] == F.col("panel")))
+    rows = assemble(once(rows, placed=F.when(F.col("panel").isNotNull(), own)))
+    seeds = (F.col("result.reference_range_raw") != "") & (F.col("panels") == 1) & F.col("result.reference_range_raw").rlike(RANGE_ANYWHERE)
+    rows = rows.select(*PAGE, F.struct("row", "panel", "metadata", "carries", "extra", F.when(F.col("result").isNotNull(), seeds).alias("seeds"), "result").alias("entry"))
+
+    pages = rows.groupBy(*PAGE).agg(F.collect_list("entry").alias("e"))
+    pages = once(pages, e=F.array_sort("e", lambda a, b: F.when(a["row"] != b["row"], a["row"] - b["row"]).otherwise(F.coalesce(a["panel"] - b["panel"], F.lit(0)))))
+    pages = once(pages, _merges=_merges(F.col("e")))
+    kept = F.filter("e", lambda x: x["result"].isNotNull() & ~F.exists("_merges", lambda m: m["row"] == x["row"]))
+    found = pages.select(*PAGE, "_merges", F.posexplode(kept).alias("row_index", "x"))
+    extra = F.transform(F.filter("_merges", lambda m: (m["into"] == F.col("x.row")) & (m["panel"] == F.col("x.panel"))), lambda m: m["extra"])
+    found = found.withColumn("_extra", F.when(F.size("_merges") > 0, F.when(F.size(extra) > 0, F.array_join(extra, " "))))
+    found = found.select(*PAGE, "_extra", "x.result.*", "row_index")
+    return found.withColumn("reference_range_raw", F.trim(F.concat_ws(" ", "reference_range_raw", "_extra"))).drop("_extra")
 
 
 def lab_results(documents: DataFrame, spans: DataFrame) -> DataFrame:
