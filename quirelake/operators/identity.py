@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ARABIC_DIGITS, ASCII_DIGITS, fold_ar, repair_digits
+from ..sources.io import by_keys
 
 #: The alphabet whose places are the characters' values here, and the published one (digits first).
 ALPHABET, ICAO = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789<", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -202,6 +203,8 @@ def name_chain(lines: DataFrame) -> DataFrame:
 
 def number_fields(lines: DataFrame) -> DataFrame:
     """record, line_no, text to card number (digits, misread letters repaired), body number, family number (the longest), blood group and sex."""
+    # a record's lines meet before anything is sorted for it, in tasks of a bounded size
+    lines = by_keys(lines, ["record"])
     upper = F.upper("text")
     cards = F.filter(F.transform(F.regexp_extract_all(upper, F.lit(r"\b([0-9OISB]{10,13}[A-Z0-9]?)\b"), F.lit(1)), repair_digits), lambda v: v.rlike("^[0-9]+$"))
     family = F.array_max(F.transform(F.regexp_extract_all(upper, F.lit(r"([A-Z0-9]{10,})"), F.lit(1)), lambda v: F.struct(F.length(v).alias("n"), v.alias("v"))))
