@@ -129,12 +129,12 @@ DAY = 86_400
 r AS (SELECT *, ts - lag(ts) OVER w AS dt, value - lag(value) OVER w AS dv FROM s WINDOW w AS (PARTITION BY service, metric ORDER BY ts))
 SELECT service, metric, ts, round(greatest(0.0, dv / dt * 1024), 6) AS value FROM r WHERE dt > 0""")
 def stream_settled_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events in four files of a quarter of the time each, some rows a file late and some far too late; the stream is stopped after
-    every file and begun again from its checkpoint. What the watermark has passed equals the rates of all points in order."""
+    """events in four turns of a quarter of the time each, some rows a turn late and some far too late; the stream is stopped after
+    every turn and begun again from its checkpoint. What the watermark has passed equals the rates of all points in order."""
     path, points = io.scratch(spark, "settled"), D.points(spark, sf_dir)
     begin, end = points.agg(F.min("ts"), F.max("ts")).first()
     quarter = F.least(F.lit(3), F.floor((F.col("ts") - begin) * 4 / F.lit(end - begin + 1))).cast("int")
-    # a service's points come a file late, but never more than ten days
+    # a service's points come a turn late, but never more than ten days
     late = (F.col("service") == "error").cast("int")
     dealt = points.withColumns({"ts": F.col("ts").cast("long"), "value": F.col("value").cast("double"), "arrival": F.col("arrival").cast("long")}).withColumn("file", F.least(F.lit(3), quarter + late))
     too_late = dealt.where("file = 0").withColumns({"value": F.lit(-1.0), "arrival": F.col("arrival") + 1_000_000_000, "file": F.lit(3)})
@@ -142,7 +142,7 @@ def stream_settled_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["service", "metric", "ts", "value", "arrival"]
     schema = "service string, metric string, ts long, value double, arrival long"
     for file in range(4):
-        dealt.where(F.col("file") == file).select(*columns).coalesce(1).write.mode("append").parquet(f"{path}/points")
+        dealt.where(F.col("file") == file).select(*columns).write.mode("append").parquet(f"{path}/points")
         rates = streams.settled_rates(streams.read_points(spark, f"{path}/points", schema), f"{10 * DAY} seconds", 400 * DAY)
         streams.run(rates, f"{path}/state", lambda df, n: df.write.mode("overwrite").parquet(f"{path}/rates/{n}"))
     return spark.read.schema(streams.POINT).parquet(f"{path}/rates/*").withColumn("value", F.round("value", 6))

@@ -98,32 +98,47 @@ class CounterRates(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.last = handle.getValueState("last", "ts long, value double")
-        self.pending = handle.getListState("pending", "ts long, arrival long, value double")
+        # points in blocks, each three arrays of numbers as bytes
+        self.pending = handle.getListState("pending", "ts binary, arrival binary, value binary")
+
+    _KINDS = (np.int64, np.int64, np.float64)
+
+    def _block(self, *arrays):
+        return tuple(np.ascontiguousarray(x, kind).tobytes() for x, kind in zip(arrays, self._KINDS))
 
     def handleInputRows(self, key, rows, timerValues):
-        frames = [f[["ts", "arrival", "value"]] for f in rows]
-        points = [(int(t), int(a), float(v)) for f in frames for t, a, v in zip(f["ts"], f["arrival"], f["value"])]
-        if points:
-            self.pending.appendList(points)
-            self.handle.registerTimer(min(p[0] for p in points) * 1000)
+        earliest = None
+        for frame in rows:
+            if len(frame):
+                self.pending.appendList([self._block(frame["ts"], frame["arrival"], frame["value"])])
+                first = int(frame["ts"].min())
+                earliest = first if earliest is None else min(earliest, first)
+        if earliest is not None:
+            self.handle.registerTimer(earliest * 1000)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         passed = timerValues.getCurrentWatermarkInMs()
-        waiting = list(self.pending.get()) if self.pending.exists() else []
-        due = sorted((p for p in waiting if p[0] * 1000 <= passed), key=lambda p: (p[0], p[1]))
-        left = [p for p in waiting if p[0] * 1000 > passed]
+        blocks = list(self.pending.get()) if self.pending.exists() else []
+        ts, arrival, value = (np.concatenate([np.frombuffer(b[i], kind) for b in blocks]) if blocks else np.empty(0, kind) for i, kind in enumerate(self._KINDS))
+        late = ts * 1000 > passed
+        left = int(late.sum())
         last = self.last.get() if self.last.exists() else None
-        points = list({p[0]: p for p in due if last is None or p[0] > last[0]}.values())  # the last of each second
-        if len(left) < len(waiting):
-            self.pending.put(left) if left else self.pending.clear()
+        if blocks and left < len(ts):
+            self.pending.put([self._block(ts[late], arrival[late], value[late])]) if left else self.pending.clear()
         if left:
-            self.handle.registerTimer(min(p[0] for p in left) * 1000)
-        if points:
-            before = [] if last is None else [(last[0], 0, last[1])]
-            ts, value = (np.array([p[i] for p in before + points], kind) for i, kind in ((0, np.int64), (2, np.float64)))
+            self.handle.registerTimer(int(ts[late].min()) * 1000)
+        due = ~late if last is None else ~late & (ts > last[0])
+        ts, arrival, value = ts[due], arrival[due], value[due]
+        order = np.lexsort((arrival, ts))
+        ts, value = ts[order], value[order]
+        if len(ts):
+            final = np.append(ts[1:] != ts[:-1], True)  # the last of each second
+            ts, value = ts[final], value[final]
             self.last.update((int(ts[-1]), float(value[-1])))
             self.handle.registerTimer((int(ts[-1]) + self.retention) * 1000)
+            if last is not None:
+                ts, value = np.append(np.int64(last[0]), ts), np.append(last[1], value)
             rate = np.maximum(0.0, np.diff(value) / np.diff(ts) * 1024)
             if len(rate):
                 yield pd.DataFrame({"service": key[0], "metric": key[1], "ts": ts[1:], "value": rate})
