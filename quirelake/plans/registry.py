@@ -249,7 +249,8 @@ def date_suggested(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _dated_pages(spark, sf_dir)
-    found = dates.detect_dates(pages, F.lit(TODAY))
+    # read twice, so written: finding the dates is nearly all of the work
+    found = io.written(dates.detect_dates(pages, F.lit(TODAY)).select("document_uuid", "page_number", "occurrence_index", "score", "detected_date", "candidate_type"), "dates")
     best = dates.choose_suggested(found).select("document_uuid", F.col("detected_date").alias("suggested_date"), F.col("candidate_type").alias("suggested_type"))
     nested = found.groupBy("document_uuid").agg(F.collect_list(F.struct(F.col("detected_date").alias("day"), F.col("candidate_type").alias("kind"))).alias("candidates"))
     truth = pages.select("document_uuid", F.col("expected").alias("expected_date"), F.lit("REPORT_DATE").alias("expected_type"), "layout")

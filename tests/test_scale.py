@@ -4,9 +4,10 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from quirelake.operators import labs
-from quirelake.plans import lab_layouts
+from quirelake.operators import identity, labs
+from quirelake.plans import lab_layouts, registry
 from quirelake.sources import io
+from quirelake.streaming import streams
 
 SF = "/root/testdata/sf0.001"
 
@@ -34,3 +35,48 @@ def test_blobs_are_written_and_scanned_by_tasks(spark, tmp_path):
     assert len({p.parent for p in tmp_path.glob("*/doc_id=*")}) <= 4 and len(list(tmp_path.glob("*/doc_id=*"))) == 50
     found = {r["key"]: (r["length"], r["content_sha256"]) for r in io.scan_blobs(spark, str(tmp_path)).collect()}
     assert found == {str(i): (len(b), hashlib.sha256(b).hexdigest()) for i in range(50) for b in [("" if i == 7 else "é" * i).encode() + b"\n"]}
+
+
+def test_a_large_part_is_written_by_several_tasks(spark, tmp_path):
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "20000")
+    try:
+        io.replace_results(spark.range(60_000, numPartitions=8).selectExpr("id AS document_uuid", "uuid() AS result"), str(tmp_path / "t"), "v1", buckets=1)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert len(list(tmp_path.glob("t/*/bucket=0/*.parquet"))) > 1
+    assert spark.read.parquet(str(tmp_path / "t")).select("document_uuid").distinct().count() == 60_000
+
+
+def test_tasks_grow_in_number_with_the_rows(spark, tmp_path):
+    assert io.spread(spark.range(1000), 10) == 100 and io.by_keys(spark.range(1000), ["id"], 10).rdd.getNumPartitions() == 100
+    io.replace_current(spark.range(10).withColumn("x", F.lit(1)), str(tmp_path / "s"))
+    assert "REPARTITION_BY_NUM" in plan(io.read_current(spark, str(tmp_path / "s"), ["id"]))
+    assert "REPARTITION_BY_NUM" in plan(io.latest_sets(spark.read.parquet(str(tmp_path / "s")), ["id"]))
+
+
+def test_lines_meet_their_record_before_they_are_sorted(spark):
+    got = plan(identity.number_fields(spark.createDataFrame([(1, 0, "male")], "record long, line_no int, text string")))
+    assert got.count("Exchange") == 1 and "REPARTITION_BY_NUM" in got
+
+
+def test_dates_are_found_once_for_a_scorecard(spark, monkeypatch):
+    calls, whole = [], io.written
+    monkeypatch.setattr(registry.io, "written", lambda df, name: calls.append(name) or whole(df, name))
+    registry.QUERIES["date_scorecard"](spark, SF)
+    assert calls == ["dates"]
+
+
+def test_waiting_points_are_blocks(spark):
+    import pandas as pd
+
+    class Handle:
+        timers, lists = [], []
+        getValueState = lambda self, *a: None
+        getListState = lambda self, *a: self
+        appendList = lambda self, rows: self.lists.extend(rows)
+        registerTimer = lambda self, at: self.timers.append(at)
+
+    rates, handle = streams.CounterRates(10), Handle()
+    rates.init(handle)
+    list(rates.handleInputRows(("a", "b"), iter([pd.DataFrame({"ts": range(5, 1005), "arrival": range(1000), "value": 1.0})]), None))
+    assert len(handle.lists) == 1 and handle.timers == [5000]
