@@ -99,7 +99,7 @@ def with_aliases(facilities: DataFrame, aliases: DataFrame) -> DataFrame:
 
 def tokens(column: Column) -> Column:
     """Lower-case words of letters and digits."""
-    return F.filter(F.split(F.lower(F.coalesce(column, F.lit(""))), r"[^\p{L}\p{N}]+", -1), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(column, F.lit(""))), r"[^\p{L}\p{N}]+", -1), "")
 
 
 def query_tokens(query: str) -> list[str]:

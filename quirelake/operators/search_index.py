@@ -1,9 +1,9 @@
 """A written inverted index: keyword search that reads the posting lists of the query's words and nothing else.
 
 `terms` has a row for each token with its document frequency, `postings` a row for each token and document with the token's share
-of every field (occurrences, damped by the field's length). Both lie in folders by a hash of the token, sorted by
-token and document, so a word's list is some row groups of one folder, however large the corpus. A token that every document has is
-spread over tasks and files like any other, as the range that a task writes is of tokens and documents.
+of every field (occurrences, damped by the field's length), a column a field. Both lie in folders by a hash of the token, sorted by
+token and document, so a word's list is some row groups of one folder, however large the corpus. A folder is written by a task for each
+200,000 documents, by a hash of the document, so a token that every document has is spread over tasks and files like any other.
 
 A search looks up its words' frequencies (as many rows as it has words), begins with the rarest word's list and meets the
 others one after another; no list of candidates is ever longer than the rarest one's, whose length is known before it is read. It gives the rank of
@@ -13,7 +13,11 @@ search.keyword to the last few bits, for any weights.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,26 +27,43 @@ BUCKETS = 64
 #: Candidates are broadcast up to so many rows (document id and rank), by the rarest word's frequency.
 MAX_BROADCAST = 200_000
 DAMPING = 100.0
+#: A bucket of the index is one task's for each so many documents.
+TASK_DOCUMENTS = 200_000
+#: Rows whose words are counted at once.
+ROWS_AT_ONCE = 500
 
 
 def bucket_of(token: str, buckets: int = BUCKETS) -> int:
     return zlib.crc32(token.encode()) % buckets
 
 
+def _row_counts(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """Batches of document_uuid, once_0 .. and words_0 .. (of n fields) to rows of token, document_uuid, share_0 ..: equal words of a row become one."""
+    # a few hundred rows at a time: sorting and coding their words stays in the processor's cache
+    for batch in (whole.slice(at, ROWS_AT_ONCE) for whole in batches for at in range(0, whole.num_rows, ROWS_AT_ONCE)):
+        lists = [batch.column(f"words_{i}") for i in range(n)]
+        row = np.concatenate([pc.list_parent_indices(x).to_numpy(zero_copy_only=False) for x in lists]).astype(np.int64)
+        coded = pa.chunked_array([pc.list_flatten(x) for x in lists]).combine_chunks().dictionary_encode()
+        field = np.repeat(np.arange(n), [len(pc.list_flatten(x)) for x in lists])
+        words = max(len(coded.dictionary), 1)
+        keys, at = np.unique(row * words + coded.indices.to_numpy(zero_copy_only=False), return_inverse=True)
+        of_row = keys // words
+        out = {"token": coded.dictionary.take(pa.array(keys % words)), "document_uuid": batch.column("document_uuid").take(pa.array(of_row))}
+        for i in range(n):
+            times = np.bincount(at[field == i], minlength=len(keys))
+            out[f"share_{i}"] = pa.array(times * batch.column(f"once_{i}").to_numpy()[of_row], mask=times == 0)
+        yield pa.RecordBatch.from_pydict(out)
+
+
 def postings(df: DataFrame, fields: dict[str, float] = FIELDS) -> DataFrame:
-    """token, document_uuid, parts (field, share) of each word of a document; the share is what the field adds to the rank at weight 1."""
+    """token, document_uuid and for each field of df `share_` and its name: what the field adds to the rank of a row with that word at weight 1, null if
+    the word isn't in it. Words are counted in batches of rows, so nothing is shuffled for it."""
     used = [f for f in fields if f in df.columns]
     once = [F.lit(1.0) / (F.lit(1.0) + F.length(F.coalesce(F.col(f), F.lit(""))) / DAMPING) for f in used]
-    of_field = lambda i: lambda t: F.struct(t.alias("token"), F.lit(i).alias("field"))
-    # all words of a row, each with its field's number: one pass over the documents whatever the number of fields
-    words = F.flatten(F.array(*[F.transform(tokens(F.col(f)), of_field(i)) for i, f in enumerate(used)]))
-    # in a step of its own, as else the texts would go along with every word
-    rows = df.select("document_uuid", *[x.alias(f"once_{i}") for i, x in enumerate(once)], words.alias("words"))
-    rows = rows.select("document_uuid", *[f"once_{i}" for i in range(len(once))], F.explode("words").alias("w"))
-    # sums of one number a field: added up before the shuffle, a document's words being in one task
-    sums = rows.groupBy(F.col("w.token").alias("token"), "document_uuid").agg(*[F.sum(F.when(F.col("w.field") == i, F.col(f"once_{i}"))).alias(f"share_{i}") for i in range(len(used))])
-    parts = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"share_{i}").alias("share")) for i, f in enumerate(used)])
-    return sums.select("token", "document_uuid", F.filter(parts, lambda p: p["share"].isNotNull()).alias("parts"))
+    rows = df.select("document_uuid", *[x.alias(f"once_{i}") for i, x in enumerate(once)], *[tokens(F.col(f)).alias(f"words_{i}") for i, f in enumerate(used)])
+    shares = ", ".join(f"share_{i} double" for i in range(len(used)))
+    counted = rows.mapInArrow(lambda batches: _row_counts(batches, len(used)), f"token string, document_uuid {dict(df.dtypes)['document_uuid']}, {shares}")
+    return counted.withColumnsRenamed({f"share_{i}": f"share_{f}" for i, f in enumerate(used)})
 
 
 def write_index(df: DataFrame, path: str, fields: dict[str, float] = FIELDS, buckets: int = BUCKETS) -> None:
@@ -50,14 +71,19 @@ def write_index(df: DataFrame, path: str, fields: dict[str, float] = FIELDS, buc
     spark, own = df.sparkSession, [f for f in fields if f in df.columns]
     if not own:
         raise ValueError("none of the fields is a column")
-    bucket = (F.crc32(F.col("token").cast("binary")) % F.lit(buckets)).cast("int")
-    rows = postings(df, fields).withColumn("bucket", bucket)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(parts, "bucket", "token", "document_uuid").sortWithinPartitions("bucket", "token", "document_uuid")
+    ids = df.groupBy("document_uuid").count().agg(F.count("*").alias("n"), F.max("count").alias("most")).first()
+    rows = postings(df, fields)
+    if (ids["most"] or 0) > 1:  # rows with one id are one document
+        rows = rows.groupBy("token", "document_uuid").agg(*[F.sum(f"share_{f}").alias(f"share_{f}") for f in own])
+    rows = rows.withColumn("bucket", (F.crc32(F.col("token").cast("binary")) % F.lit(buckets)).cast("int"))
+    # a bucket is as many tasks' as there are documents for, so a word that all of them have is several tasks', and no sample has to be drawn
+    spread = -(-ids["n"] // TASK_DOCUMENTS) or 1
+    task = F.col("bucket") * spread + F.pmod(F.xxhash64("document_uuid"), F.lit(spread)).cast("int")
+    ordered = rows.repartitionById(buckets * spread, task).sortWithinPartitions("bucket", "token", "document_uuid")
     ordered.write.partitionBy("bucket").parquet(f"{path}/postings")
-    listed = spark.read.schema(rows.schema).parquet(f"{path}/postings")
+    listed = spark.read.schema("token string, bucket int").parquet(f"{path}/postings")
     terms = listed.groupBy("bucket", "token").agg(F.count("*").alias("documents"))
-    terms.repartition(parts, "bucket").sortWithinPartitions("bucket", "token").write.partitionBy("bucket").parquet(f"{path}/terms")
+    terms.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "bucket").sortWithinPartitions("bucket", "token").write.partitionBy("bucket").parquet(f"{path}/terms")
 
 
 def _of_token(table: DataFrame, token: str, buckets: int) -> DataFrame:
@@ -72,16 +98,18 @@ def frequencies(spark: SparkSession, path: str, wanted: list[str], buckets: int
     return {r["token"]: r["documents"] for r in some.collect()}
 
 
-def lookup(spark: SparkSession, path: str, query: str, fields: dict[str, float] = FIELDS, buckets: int = BUCKETS, max_broadcast: int = MAX_BROADCAST, id_type: str = "long") -> DataFrame:
-    """document_uuid (of the given type) and rank of the documents that hold every word of the query."""
-    listed = spark.read.schema(f"token string, document_uuid {id_type}, parts array<struct<field:string,share:double>>, bucket int").parquet(f"{path}/postings")
+def lookup(spark: SparkSession, path: str, query: str, fields: dict[str, float] = FIELDS, buckets: int = BUCKETS, max_broadcast: int = MAX_BROADCAST, id_type: str = "long", known: dict[str, int] | None = None) -> DataFrame:
+    """document_uuid (of the given type) and rank of the documents that hold every word of the query; known: the words' frequencies, if they were read."""
+    # a field that the index lacks is null
+    columns = ", ".join([f"token string, document_uuid {id_type}", *[f"share_{f} double" for f in fields], "bucket int"])
+    listed = spark.read.schema(columns).parquet(f"{path}/postings")
     wanted = query_tokens(query)
-    known = frequencies(spark, path, wanted, buckets) if wanted else {}
+    if known is None:
+        known = frequencies(spark, path, wanted, buckets) if wanted else {}
 
     def ranked(token: str) -> DataFrame:
-        weight = lambda p: F.coalesce(*[F.when(p["field"] == f, F.lit(w)) for f, w in fields.items()], F.lit(0.0))
-        share = F.aggregate("parts", F.lit(0.0), lambda acc, p: acc + weight(p) * p["share"])
-        return _of_token(listed, token, buckets).select("document_uuid", share.alias("rank"))
+        rank = sum((F.lit(float(w)) * F.coalesce(F.col(f"share_{f}"), F.lit(0.0)) for f, w in fields.items()), F.lit(0.0))
+        return _of_token(listed, token, buckets).select("document_uuid", rank.alias("rank"))
 
     if not wanted or len(known) < len(wanted):
         return listed.where(F.lit(False)).select("document_uuid", F.lit(0.0).alias("rank"))
@@ -96,7 +124,8 @@ def lookup(spark: SparkSession, path: str, query: str, fields: dict[str, float]
 
 def keyword(df: DataFrame, path: str, query: str, fields: dict[str, float] = FIELDS, buckets: int = BUCKETS, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """As search.keyword, by the index under path: the rows of df that hold every word, with `rank`."""
-    found = lookup(df.sparkSession, path, query, fields, buckets, max_broadcast, dict(df.dtypes)["document_uuid"])
-    known = frequencies(df.sparkSession, path, query_tokens(query), buckets)
+    wanted = query_tokens(query)
+    known = frequencies(df.sparkSession, path, wanted, buckets) if wanted else {}
+    found = lookup(df.sparkSession, path, query, fields, buckets, max_broadcast, dict(df.dtypes)["document_uuid"], known)
     few = min(known.values(), default=0) <= max_broadcast
     return df.join(F.broadcast(found) if few else found.hint("merge"), "document_uuid")

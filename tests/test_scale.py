@@ -4,7 +4,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from quirelake.operators import identity, labs
+from quirelake.operators import identity, labs, search_index
 from quirelake.plans import lab_layouts, registry
 from quirelake.sources import io
 from quirelake.streaming import streams
@@ -80,3 +80,24 @@ def test_waiting_points_are_blocks(spark):
     rates.init(handle)
     list(rates.handleInputRows(("a", "b"), iter([pd.DataFrame({"ts": range(5, 1005), "arrival": range(1000), "value": 1.0})]), None))
     assert len(handle.lists) == 1 and handle.timers == [5000]
+
+
+def test_words_are_counted_in_their_row_without_a_shuffle(spark):
+    texts = [(i, "src", None if i % 7 == 0 else f"a b a, w{i} É-é") for i in range(1203)]
+    docs = spark.createDataFrame(texts, "document_uuid long, title string, text string")
+    found = search_index.postings(docs)
+    assert "Exchange" not in plan(found)
+    got = sorted(tuple(r) for r in found.where("document_uuid IN (0, 1202)").collect())
+    share = 1 / (1 + len(texts[1202][2]) / 100)
+    assert got == [("a", 1202, None, 2 * share), ("b", 1202, None, share), ("src", 0, 1 / 1.03, None), ("src", 1202, 1 / 1.03, None), ("w1202", 1202, None, share), ("é", 1202, None, 2 * share)]
+
+
+def test_a_folder_of_the_index_is_several_tasks_where_there_are_many_documents(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(search_index, "TASK_DOCUMENTS", 10)
+    docs = spark.range(40).selectExpr("id AS document_uuid", "'all' AS text")
+    search_index.write_index(docs, str(tmp_path / "i"), buckets=2)
+    assert len(list(tmp_path.glob("i/postings/bucket=*/*.parquet"))) == 4
+    # rows with one id are one document
+    search_index.write_index(docs.union(docs), str(tmp_path / "j"), buckets=2)
+    assert search_index.frequencies(spark, str(tmp_path / "j"), ["all"], 2) == {"all": 40}
+    assert {round(r["rank"], 9) for r in search_index.lookup(spark, str(tmp_path / "j"), "all", buckets=2).collect()} == {round(0.2 / 1.03, 9)}
