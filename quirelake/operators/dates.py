@@ -60,17 +60,31 @@ def _map(values: dict) -> Column:
     return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
 
 
+#: A character that no normal form has marks the ends of matches.
+_MARK, _OTHER = "\x01", "\x02"
+
+
+def _marked(text: Column, pattern: str, group: int, f) -> Column:
+    """f of the text's pieces: what is between the matches and the given group of each match in turn. The pattern is compiled once and looked for once in
+    a text: split compiles patterns of more than a character for every text, and a lambda function computes for every element what it names."""
+    marked = F.regexp_replace(F.translate(text, _MARK, _OTHER), pattern, f"{_MARK}${group}{_MARK}")
+    return F.get(F.transform(F.array(F.split(marked, _MARK, -1)), f), F.lit(0))
+
+
+def _size(pieces: Column) -> Column:
+    return F.aggregate(pieces, F.lit(0), lambda acc, x: acc + F.length(x))
+
+
 def found_at(text: Column, pattern: str) -> Column:
     """The pattern's matches as array<struct<start, m>>, start from 0: gaps and matches in turn make up the text."""
-    gaps, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    size = lambda part: F.aggregate(part, F.lit(0), lambda acc, x: acc + F.length(x))
-    return F.transform(matches, lambda m, i: F.struct((size(F.slice(gaps, 1, i + 1)) + size(F.slice(matches, 1, i))).alias("start"), m.alias("m")))
+    matches = lambda x: F.filter(x, lambda _, i: i % 2 == 1)
+    return _marked(text, pattern, 0, lambda x: F.transform(matches(x), lambda m, i: F.struct(_size(F.slice(x, F.lit(1), 2 * i + 1)).alias("start"), m.alias("m"))))
 
 
 def valid_date(year: Column, month: Column, day: Column) -> Column:
     """The date, or null if there is none like it."""
-    text = F.concat_ws("-", F.lpad(year, 4, "0"), F.lpad(month, 2, "0"), F.lpad(day, 2, "0"))
-    return F.when(year.cast("int") > 0, F.try_to_date(text, "yyyy-MM-dd"))
+    text = F.concat(F.lpad(year, 4, "0"), F.lit("-"), F.lpad(month, 2, "0"), F.lit("-"), F.lpad(day, 2, "0"))
+    return F.when(year.cast("int") > 0, text.try_cast("date"))
 
 
 def _parsed(match: Column, rule: str, pattern: str, groups: tuple[int, int, int]) -> Column:
@@ -141,11 +155,10 @@ def label_matches(line: Column) -> Column:
 
     A shorter label at the same place is never nearer to a date, nor preferred in a tie.
     """
-    low = F.lower(line)
-    labels, pieces = F.regexp_extract_all(low, F.lit(_LABEL), F.lit(1)), F.split(low, _LABEL, -1)
-    first = F.size(pieces) - F.size(labels)  # 0 if the line begins with a label, else 1
-    size = lambda n: F.aggregate(F.slice(pieces, F.lit(1), n), F.lit(0), lambda acc, x: acc + F.length(x))
-    return F.transform(labels, lambda label, i: F.struct(size(i + first).alias("at"), label.alias("label")))
+    # labels may overlap, so they are marked beside the line's text, which the pieces between them make up
+    gaps, labels = (lambda x, odd=odd: F.filter(x, lambda _, i: i % 2 == odd) for odd in (0, 1))
+    at = lambda x, i: _size(F.slice(gaps(x), F.lit(1), i + 1))
+    return _marked(F.lower(line), _LABEL, 1, lambda x: F.transform(labels(x), lambda label, i: F.struct(at(x, i).alias("at"), label.alias("label"))))
 
 
 def classify(dates: DataFrame) -> DataFrame:

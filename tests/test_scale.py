@@ -4,7 +4,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from quirelake.operators import identity, labs, search_index
+from quirelake.operators import dates, identity, labs, search_index
 from quirelake.plans import lab_layouts, registry
 from quirelake.sources import io
 from quirelake.streaming import streams
@@ -101,3 +101,20 @@ def test_a_folder_of_the_index_is_several_tasks_where_there_are_many_documents(s
     search_index.write_index(docs.union(docs), str(tmp_path / "j"), buckets=2)
     assert search_index.frequencies(spark, str(tmp_path / "j"), ["all"], 2) == {"all": 40}
     assert {round(r["rank"], 9) for r in search_index.lookup(spark, str(tmp_path / "j"), "all", buckets=2).collect()} == {round(0.2 / 1.03, 9)}
+
+
+def test_a_pattern_is_looked_for_once_in_a_text(spark):
+    df = spark.createDataFrame([("12345678 \x01a 87654321",), ("12345678",), ("",), (None,)], "text string")
+    places = df.select(dates.found_at(F.col("text"), dates.COMPACT).alias("x"))
+    assert plan(places).count(dates.COMPACT) == 1
+    assert [r["x"] and [tuple(m) for m in r["x"]] for r in places.collect()] == [[(0, "12345678"), (12, "87654321")], [(0, "12345678")], [], None]
+    lines = spark.createDataFrame([("date of birth date \x01 Issued: x",), ("printed",), ("undated",), (None,)], "line string")
+    labels = lines.select(dates.label_matches(F.col("line")).alias("x"))
+    assert plan(labels).count(dates._LABEL) == 1
+    assert [r["x"] and [tuple(m) for m in r["x"]] for r in labels.collect()] == [[(0, "date of birth"), (8, "birth date"), (14, "date"), (21, "issued")], [(0, "printed")], [], None]
+
+
+def test_days_that_are_none(spark):
+    days = [("1997", "2", "29"), ("1996", "2", "29"), ("1997", None, "5"), ("1997", "13", "1"), ("0000", "1", "1"), ("1997", "0", "1"), ("1997", "1", "\u0967")]
+    got = spark.createDataFrame(days, "y string, m string, d string").select(dates.valid_date(F.col("y"), F.col("m"), F.col("d")).cast("string").alias("x"))
+    assert [r["x"] for r in got.collect()] == [None, "1996-02-29", None, None, None, None, None]
