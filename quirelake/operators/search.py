@@ -102,6 +102,11 @@ def tokens(column: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(column, F.lit(""))), r"[^\p{L}\p{N}]+", -1), "")
 
 
+def spaced(column: Column) -> Column:
+    """The words of `tokens` as one text, with one blank between two and perhaps one at an end."""
+    return F.regexp_replace(F.lower(F.coalesce(column, F.lit(""))), r"[^\p{L}\p{N}]+", " ")
+
+
 def query_tokens(query: str) -> list[str]:
     import re
 

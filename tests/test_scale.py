@@ -103,6 +103,19 @@ def test_a_folder_of_the_index_is_several_tasks_where_there_are_many_documents(s
     assert {round(r["rank"], 9) for r in search_index.lookup(spark, str(tmp_path / "j"), "all", buckets=2).collect()} == {round(0.2 / 1.03, 9)}
 
 
+def test_an_index_shuffles_a_row_for_a_word_of_many_documents(spark, tmp_path):
+    docs = spark.range(2000, numPartitions=2).selectExpr("id AS document_uuid", "'  ' AS title", "concat('-the cat', id % 4, ' the ') AS text")
+    listed = search_index._listed(docs, ["title", "text"], 1)
+    assert {r["token"]: (r["n"], r["documents"]) for r in listed.groupBy("token").agg(F.count("*").alias("n"), F.sum(F.size("postings")).alias("documents")).collect()} == {
+        "the": (2, 2000), "cat0": (2, 500), "cat1": (2, 500), "cat2": (2, 500), "cat3": (2, 500)}
+    search_index.write_index(docs, str(tmp_path / "i"), buckets=2)
+    for file in (tmp_path / "i" / "postings").glob("*/*.parquet"):
+        words = spark.read.parquet(str(file)).coalesce(1).select("token", "document_uuid").collect()
+        assert words == sorted(words)
+    found = {r["document_uuid"]: round(r["rank"], 9) for r in search_index.lookup(spark, str(tmp_path / "i"), "the cat3", buckets=2).collect()}
+    assert found == {i: round(0.3 / 1.14, 9) for i in range(3, 2000, 4)}
+
+
 def test_a_pattern_is_looked_for_once_in_a_text(spark):
     df = spark.createDataFrame([("12345678 \x01a 87654321",), ("12345678",), ("",), (None,)], "text string")
     places = df.select(dates.found_at(F.col("text"), dates.COMPACT).alias("x"))
