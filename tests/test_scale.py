@@ -4,7 +4,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from quirelake.operators import dates, identity, labs, search_index
+from quirelake.operators import dates, identity, labs, narrative, search_index
 from quirelake.plans import lab_layouts, registry
 from quirelake.sources import io
 from quirelake.streaming import streams
@@ -131,3 +131,20 @@ def test_days_that_are_none(spark):
     days = [("1997", "2", "29"), ("1996", "2", "29"), ("1997", None, "5"), ("1997", "13", "1"), ("0000", "1", "1"), ("1997", "0", "1"), ("1997", "1", "\u0967")]
     got = spark.createDataFrame(days, "y string, m string, d string").select(dates.valid_date(F.col("y"), F.col("m"), F.col("d")).cast("string").alias("x"))
     assert [r["x"] for r in got.collect()] == [None, "1996-02-29", None, None, None, None, None]
+
+
+def test_documents_are_dealt_to_tasks_before_their_lines_are_looked_at(spark, monkeypatch):
+    monkeypatch.setattr(narrative, "TASK_LINES", 10)
+    lines = spark.range(200, numPartitions=1).selectExpr("id div 4 AS document_uuid", "1 AS page_number", "int(id % 4) AS sequence", "if(id % 4 = 0, 'Findings', concat('a line of text, number ', id)) AS text", "0.9 AS confidence", "id % 4 / 10 AS y_min", "id % 4 / 10 + 0.09 AS y_max")
+    got = narrative.sections(lines)
+    assert "REPARTITION_BY_NUM" in plan(got) and plan(got).count("Exchange") == 1 and "RLIKE" not in plan(got).split("Exchange")[1]
+    assert narrative.body_lines(narrative.io.by_keys(lines, ["document_uuid"], narrative.TASK_LINES)).rdd.getNumPartitions() == 20
+    assert got.count() == 50
+
+
+def test_every_word_of_the_noise_is_noise_whatever_its_case(spark):
+    listed = [p[p.rindex("(", 0, p.rindex("|")) + 1 : p.rindex(")")].replace(r"\.?", ".").replace(r"\.", ".").split("|") for p in narrative.NOISE[6:]]
+    assert [len(x) for x in listed] == [29, 16, 10]
+    words = [form for x in listed for w in x for form in (w, w.lower(), w.title())]
+    lines = spark.createDataFrame([(f"a x {w} y b", True) for w in words] + [(f"aa x{w}x bb", False) for x in listed[1:] for w in x] + [("ordinary text of a report", False)], "text string, noise boolean")
+    assert lines.where(narrative.is_noise(F.col("text")) != F.col("noise")).collect() == []
