@@ -87,18 +87,28 @@ def valid_date(year: Column, month: Column, day: Column) -> Column:
     return F.when(year.cast("int") > 0, text.try_cast("date"))
 
 
+def _once(f, **columns: Column) -> Column:
+    """f of columns that are computed once: a lambda function over an array of one, as an expression is computed anew wherever it is named."""
+    return F.get(F.transform(F.array(F.struct(*[c.alias(k) for k, c in columns.items()])), f), F.lit(0))
+
+
 def _parsed(match: Column, rule: str, pattern: str, groups: tuple[int, int, int]) -> Column:
     """start, end, rule, value, day, other (the date with day and month exchanged, if that is possible and another)."""
     year, month, day = (F.regexp_extract(match["m"], pattern, g) for g in groups)
     if "NAMED" in rule:
         month = F.element_at(_map({k: str(v) for k, v in MONTHS.items()}), F.lower(month))
-    other = F.lit(None).cast("date")
-    if rule == "DMY_NUMERIC":
-        other = F.when((day.cast("int") <= 12) & (month.cast("int") <= 12) & (day.cast("int") != month.cast("int")), valid_date(year, day, month))
-    return F.struct(
-        match["start"].alias("start"), (match["start"] + F.length(match["m"])).alias("end"), F.lit(rule).alias("rule"), match["m"].alias("value"),
-        valid_date(year, month, day).alias("day"), other.alias("other"),
-    )
+
+    def dated(x: Column) -> Column:
+        other = F.lit(None).cast("date")
+        if rule == "DMY_NUMERIC":
+            d, m = x["day"].cast("int"), x["month"].cast("int")
+            other = F.when((d <= 12) & (m <= 12) & (d != m), valid_date(x["year"], x["day"], x["month"]))
+        return F.struct(
+            match["start"].alias("start"), (match["start"] + F.length(match["m"])).alias("end"), F.lit(rule).alias("rule"), match["m"].alias("value"),
+            valid_date(x["year"], x["month"], x["day"]).alias("day"), other.alias("other"),
+        )
+
+    return _once(dated, year=year, month=month, day=day)
 
 
 def _overlaps(x: Column, taken: Column) -> Column:

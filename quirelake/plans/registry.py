@@ -18,6 +18,8 @@ KEY = b"archive-demo-key"
 TODAY = date(2001, 8, 2)
 NOW = 1_706_659_200
 DAY = 86_400
+#: Pages that a task finds dates on, about so many.
+TASK_PAGES = 100_000
 def stamp(column: str):
     return F.date_format(column, "yyyy-MM-dd HH:mm:ss").alias(column)
 
@@ -227,7 +229,8 @@ def report_subtype(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _dated_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = D.table(spark, sf_dir, "orders")
+    # dealt by key before the texts are made: finding dates is nearly all of the work, and the table may be read by few tasks
+    orders = io.by_keys(D.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority"), ["o_orderkey"], TASK_PAGES)
     line = F.concat(F.lit("Report Date: "), F.date_format("o_orderdate", "dd/MM/yyyy"), F.lit("\nDate of Birth: "), F.date_format(F.add_months("o_orderdate", -360), "yyyy-MM-dd"))
     return orders.select(F.col("o_orderkey").alias("document_uuid"), F.lit(1).alias("page_number"), F.lit("PDF_TEXT").alias("source"), line.alias("text"), F.col("o_orderdate").cast("date").alias("expected"), F.col("o_orderpriority").alias("layout"))
 

@@ -66,6 +66,22 @@ def test_dates_are_found_once_for_a_scorecard(spark, monkeypatch):
     assert calls == ["dates"]
 
 
+def test_pages_are_dealt_to_tasks_before_dates_are_looked_for(spark, monkeypatch):
+    monkeypatch.setattr(registry, "TASK_PAGES", 100)
+    pages = registry._dated_pages(spark, SF)
+    assert pages.rdd.getNumPartitions() == -(-pages.count() // 100) > 4
+    below = plan(registry.QUERIES["date_suggested"](spark, SF)).split("Exchange")[-1]
+    assert "orders.parquet" in below and "regexp_replace" not in below
+
+
+def test_a_date_is_taken_apart_once(spark):
+    parsed = dates._parsed(F.col("m"), *dates.RULES[1])
+    df = spark.createDataFrame([((3, "05/04/1997"),), ((0, "31/12/1997"),), ((0, "31/02/1997"),)], "m struct<start:int,m:string>").select(parsed.alias("x"))
+    assert plan(df).count("regexp_extract(") == 3
+    got = [(x["start"], x["end"], x["value"], str(x["day"]), str(x["other"])) for x, in df.collect()]
+    assert got == [(3, 13, "05/04/1997", "1997-04-05", "1997-05-04"), (0, 10, "31/12/1997", "1997-12-31", "None"), (0, 10, "31/02/1997", "None", "None")]
+
+
 def test_waiting_points_are_blocks(spark):
     import pandas as pd
 
