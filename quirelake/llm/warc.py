@@ -149,18 +149,20 @@ class _Member:
         if self.held:
             out, self.held = self.held, b""
             return out
-        while True:
+        while not self.z.eof:
             try:
                 out = self.z.decompress(self.raw, CHUNK)
             except zlib.error as e:
                 raise WarcError(f"not a whole gzip member: {e}") from None
-            self.raw = self.z.unconsumed_tail
+            # at the end, what is left may be in both tails; it belongs to the next member, so it must not be given to z again
+            self.raw = b"" if self.z.eof else self.z.unconsumed_tail
             if out or self.z.eof:
                 return out
             if not self.raw:
                 self.raw = self.stream.read(CHUNK)
                 if not self.raw:
                     raise WarcError("the file ends inside a member")
+        return b""
 
     def until_empty_line(self) -> bytes:
         """The bytes before the next empty line, which is passed over."""

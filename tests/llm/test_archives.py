@@ -107,6 +107,17 @@ def test_warc_reader_tells_wrong_digests_and_torn_files(spark):
         warc.read_warc(both, payloads=False).collect()
 
 
+def test_warc_members_longer_than_a_piece_are_read_once_each(spark):
+    rng = random.Random(5)
+    long = ["".join(rng.choices("abcdefgh <>", k=n)) for n in (10, 600_000, 200, 262_144, 300_000, 7, 1_500_000, 40)]
+    html = [*long, *(f"<p>{i} " * (i * 4000) for i in range(12)), *(LONG + str(i) for i in range(50))]
+    files, path = archive(spark, html)
+    assert files.count() == 1
+    got = [(r["page_id"], r["payload_bytes"], r["payload_digest"], r["error"]) for r in warc.records(open(path, "rb"))]
+    assert got == [(i, len(h), hashlib.sha256(h.encode()).hexdigest(), None) for i, h in enumerate(html)]
+    assert warc.read_warc(files, payloads=False).where("verified").count() == len(html)
+
+
 def test_warc_revisits_without_a_response_are_told(spark):
     found = spark.createDataFrame([(1, 5, "d", "response", None), (2, 5, "d", "revisit", 1), (3, 5, "e", "revisit", 1), (4, 5, "d", "revisit", 9)], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
     for n in (500_000, -1):
