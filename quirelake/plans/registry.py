@@ -273,15 +273,23 @@ def date_scorecard_by(spark: SparkSession, sf_dir: str) -> DataFrame:
 # labs: lineitem rows laid out as a grid, read back
 
 
+PAGE_LINES = 250_000  # of a task that draws and parses pages
+
+
 def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each order's lines as a table: a header row, then a row a line with name, result, unit and range."""
     lines = D.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("document_uuid"), F.col("l_quantity").cast("int").alias("q"), F.col("l_partkey").alias("p"), "l_linenumber")
-    lines = lines.withColumn("r", F.row_number().over(Window.partitionBy("document_uuid").orderBy("l_linenumber", "p", "q")))
-    cells = lambda *texts: F.array(*[F.struct(F.lit(x).alias("x"), t.alias("text")) for x, t in zip((0.05, 0.35, 0.55, 0.75), texts)])
-    body = lines.select("document_uuid", "r", F.explode(cells(F.concat(F.lit("Part"), F.translate(F.col("p").cast("string"), "0123456789", "abcdefghij")), F.col("q").cast("string"), F.lit("mg/dL"), F.concat(F.col("q").cast("string"), F.lit("-"), (F.col("q") + 9).cast("string")))).alias("c"))
-    head = lines.select("document_uuid").distinct().select("document_uuid", F.lit(0).alias("r"), F.explode(cells(*map(F.lit, ("Test", "Result", "Unit", "Reference Range")))).alias("c"))
+    # pages cost far more than lines weigh, so lines are dealt by their number
+    lines = io.by_keys(lines, ["document_uuid"], PAGE_LINES).withColumn("r", F.row_number().over(Window.partitionBy("document_uuid").orderBy("l_linenumber", "p", "q")))
+    row = lambda r, *texts: [F.struct(r.alias("r"), F.lit(x).alias("x"), t.alias("text")) for x, t in zip((0.05, 0.35, 0.55, 0.75), texts)]
+    q = F.col("q").cast("string")
+    body = row(F.col("r"), F.concat(F.lit("Part"), F.translate(F.col("p").cast("string"), "0123456789", "abcdefghij")), q, F.lit("mg/dL"), F.concat(q, F.lit("-"), (F.col("q") + 9).cast("string")))
+    head = row(F.lit(0), *map(F.lit, ("Test", "Result", "Unit", "Reference Range")))
+    # the first line brings the header along, so spans are where their lines are
+    cells = F.when(F.col("r") == 1, F.array(*head, *body)).otherwise(F.array(*body))
+    spans = lines.select("document_uuid", F.explode(cells).alias("c")).select("document_uuid", "c.*")
     y = F.col("r") * 0.02 + 0.05
-    return head.union(body).select("document_uuid", F.lit(1).alias("page_number"), (F.col("r") * 4 + F.floor(F.col("c.x") * 4).cast("int")).alias("sequence"), "c.text", F.lit(0.9).alias("confidence"), F.col("c.x").alias("x_min"), y.alias("y_min"), (F.col("c.x") + 0.1).alias("x_max"), (y + 0.01).alias("y_max"))
+    return spans.select("document_uuid", F.lit(1).alias("page_number"), (F.col("r") * 4 + F.floor(F.col("x") * 4).cast("int")).alias("sequence"), "text", F.lit(0.9).alias("confidence"), F.col("x").alias("x_min"), y.alias("y_min"), (F.col("x") + 0.1).alias("x_max"), (y + 0.01).alias("y_max"))
 
 
 _GRID_SQL = "g AS (SELECT l_orderkey AS document_uuid, CAST(l_quantity AS INTEGER) AS q, l_partkey AS p, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, CAST(l_quantity AS INTEGER)) AS r FROM lineitem)"
