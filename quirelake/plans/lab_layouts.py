@@ -6,19 +6,22 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import labs
+from ..sources import io
 from . import driver_tables as D
 from .register import query
 
 PLACES = (0.05, 0.35, 0.55, 0.75)
 #: Rows lie so far apart, and a cell is so high.
 STEP, HEIGHT = 0.006, 0.003
-CELLS = "array<struct<y:int,text:string,x_min:double,y_min:double,x_max:double,y_max:double>>"
+PAGE_LINES = 250_000
+CELLS = "array<struct<y:int,text:string,x_min:double,high:double>>"
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each order's lines, numbered, with its status and priority and its number of lines."""
     orders = D.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("document_uuid"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"))
     lines = D.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("document_uuid"), F.col("l_quantity").cast("int").alias("q"), F.col("l_partkey").alias("p"), "l_linenumber")
+    lines = io.by_keys(lines, ["document_uuid"], PAGE_LINES)  # pages cost far more than lines weigh
     whole = Window.partitionBy("document_uuid")  # an order's lines
     lines = lines.withColumns({"r": F.row_number().over(whole.orderBy("l_linenumber", "p", "q")), "n": F.count("*").over(whole)})
     name = F.concat(F.lit("Part"), F.translate(F.col("p").cast("string"), "0123456789", "abcdefghij"))
@@ -26,10 +29,7 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cell(x: float, text: Column | str, row: Column, high: float = HEIGHT) -> Column:
-    at = row * STEP + 0.02
-    return F.struct(
-        row.alias("y"), (F.lit(text) if isinstance(text, str) else text).alias("text"), F.lit(x).alias("x_min"), (at - high / 2).alias("y_min"), F.lit(x + 0.1).alias("x_max"), (at + high / 2).alias("y_max")
-    )
+    return F.struct(row.alias("y"), (F.lit(text) if isinstance(text, str) else text).alias("text"), F.lit(x).alias("x_min"), F.lit(high).alias("high"))
 
 
 def _spans(lines: DataFrame) -> DataFrame:
@@ -50,7 +50,9 @@ def _spans(lines: DataFrame) -> DataFrame:
     rows = lines.select("document_uuid", "priority", "r", F.explode(cells.cast(CELLS)).alias("c")).select("document_uuid", "priority", "r", "c.*")
     # the sequence on the page, top down and from left to right
     number = F.row_number().over(Window.partitionBy("document_uuid").orderBy("y", "x_min", "text")) - 1
-    return rows.select("document_uuid", F.lit(1).alias("page_number"), number.alias("sequence"), "text", F.lit(0.9).alias("confidence"), "x_min", "y_min", "x_max", "y_max", "priority", "r")
+    # boxes come last: code that makes them for each cell is too long a method for the JVM to compile
+    at, half = F.col("y") * STEP + 0.02, F.col("high") / 2
+    return rows.select("document_uuid", F.lit(1).alias("page_number"), number.alias("sequence"), "text", F.lit(0.9).alias("confidence"), "x_min", (at - half).alias("y_min"), (F.col("x_min") + 0.1).alias("x_max"), (at + half).alias("y_max"), "priority", "r")
 
 
 _GRID = """g AS (SELECT l_orderkey AS document_uuid, CAST(l_quantity AS INTEGER) AS q, 'Part' || translate(CAST(l_partkey AS VARCHAR), '0123456789', 'abcdefghij') AS name, o_orderstatus AS status, o_orderpriority AS priority,

@@ -22,6 +22,37 @@ def test_result_tables_are_parsed_behind_one_shuffle(spark, monkeypatch):
     assert plan(labs.parse_pages(spans)).count("Exchange hashpartitioning") - plan(spans).count("Exchange hashpartitioning") <= 1
 
 
+def test_result_tables_are_parsed_by_compiled_code(spark):
+    spans = lab_layouts._spans(lab_layouts._lines(spark, SF)).drop("priority", "r")
+    parsed = labs.parse_pages(spans)
+    # a generator with a lambda function in it is interpreted as a whole
+    assert not [x for x in plan(parsed).splitlines() if "Generate inline(" in x and "lambdafunction" in x.split("],")[0]]
+    # header lines come along with the first line of their page, so lines are shuffled once and spans never
+    assert plan(labs.parse_pages(registry._spans(spark, SF))).count("Exchange hashpartitioning") == 1
+    # the JVM doesn't compile methods of over 8,000 bytes
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        told = spark._jvm.PythonSQLUtils.explainString(labs.parse_pages(lab_layouts._spans(lab_layouts._lines(spark, SF)).drop("priority", "r"))._jdf.queryExecution(), "codegen")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = [int(x.split("maxMethodCodeSize:")[1].split(";")[0]) for x in told.splitlines() if "maxMethodCodeSize:" in x]
+    assert sizes and max(sizes) < 8000
+
+
+def test_rows_that_creep_down_a_page_are_parted_by_their_mean(spark):
+    at = [0.1 + 0.0006 * i for i in range(12)] + [0.3, 0.3, 0.3004]
+    rows, mean = [], []
+    for n, y in enumerate(at):  # by the rule: near the mean of the last row, or a new one
+        if rows and abs(y - sum(mean) / len(mean)) <= 0.001 * labs.TOLERANCE:
+            rows[-1].append(n), mean.append(y)
+        else:
+            rows.append([n])
+            mean = [y]
+    spans = spark.createDataFrame([("x", 1, n, str(n), 0.9, 0.01 * n, y - 0.0005, 0.01 * n + 0.1, y + 0.0005) for n, y in enumerate(at)], "document_uuid string, page_number int, sequence int, text string, confidence double, x_min double, y_min double, x_max double, y_max double")
+    found = labs.group_rows(labs.shaped(spans)).select(F.transform("rows", lambda r: F.transform(r, lambda c: c["sequence"])).alias("rows")).first()["rows"]
+    assert found == rows and len(rows) > 2
+
+
 def test_rows_keep_their_order_and_lines_without_a_place_stand_alone(spark):
     at = [(0, "b", 0.5, 0.1), (1, "a", 0.1, 0.102), (2, "c", 0.1, 0.2), (3, "lost", 0.1, None), (4, "d", 0.3, 0.203)]
     spans = spark.createDataFrame([("x", 1, n, f" {t} ", 0.9, x, y, x + 0.1, None if y is None else y + 0.01) for n, t, x, y in at], "document_uuid string, page_number int, sequence int, text string, confidence double, x_min double, y_min double, x_max double, y_max double")
